@@ -26,12 +26,19 @@ def mark_runs(df: DataFrame, flag, by=("series",), order="pos", run="run") -> Da
         run, F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
 
 
-def previous_known(value, w) -> Column:
-    return F.last(as_col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+def previous_known(value, by, order="pos") -> Column:
+    return F.last(as_col(value), ignorenulls=True).over(
+        over_series(by, order).rowsBetween(Window.unboundedPreceding, -1))
+
 
+def next_known(value, by, order="pos") -> Column:
+    """Mirror of :func:`previous_known`; a growing frame over the reversed order.
 
-def next_known(value, w) -> Column:
-    return F.first(as_col(value), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    A frame that ends at UNBOUNDED FOLLOWING is re-evaluated for every row, which
+    is quadratic in the series length, so the order is reversed instead.
+    """
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
+    return F.last(as_col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def md5_order(*parts) -> Column:

@@ -68,11 +68,10 @@ def eligibility(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFr
 
 def linear_fill(gated: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
     """Straight line over short inner runs; adds ``filled`` and relabels ``source``."""
-    w = over_series(by)
     observed_pos = F.when(F.col("value").isNotNull(), F.col("pos"))
     sides = gated.withColumns({
-        "_v0": previous_known("value", w), "_v1": next_known("value", w),
-        "_p0": previous_known(observed_pos, w), "_p1": next_known(observed_pos, w)})
+        "_v0": previous_known("value", by), "_v1": next_known("value", by),
+        "_p0": previous_known(observed_pos, by), "_p1": next_known(observed_pos, by)})
     ok = (F.col("_null") & F.col("allowed") & (F.col("run_len") <= policy.linear_max_gap)
           & F.col("_v0").isNotNull() & F.col("_v1").isNotNull())
     if policy.method == "none":
@@ -83,18 +82,6 @@ def linear_fill(gated: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFr
         "source": F.when(ok, "linear").otherwise(F.col("source"))}).drop("_v0", "_v1", "_p0", "_p1")
 
 
-def donor_days(panel: DataFrame, by=("series",)) -> DataFrame:
-    """Per (series, clock slot, day type): the per-day medians of original values.
-
-    The array holds one entry per local day, so its length is bounded by the calendar.
-    """
-    days = panel.where(F.col("value").isNotNull()).withColumn("date", local_date("ts")).groupBy(
-        *by, clock_slot("ts").alias("slot"), day_type("date").alias("day_type"), "date").agg(
-        F.median("value").alias("day_median"))
-    return days.groupBy(*by, "slot", "day_type").agg(
-        F.collect_list(F.struct("day_median", "date")).alias("donors"))
-
-
 def sorted_median(values):
     """Median of an ascending array Column (NULL when empty)."""
     n = F.size(values)
@@ -103,25 +90,34 @@ def sorted_median(values):
 
 
 def seasonal_fill(filled: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
-    """Same clock slot and day type on other dates, median of day medians.
+    """Same clock slot and day type on other dates, median of day values.
 
-    Only the cells still open travel to the donor join; the panel itself meets
-    the (usually tiny) result once, and AQE broadcasts it when its size allows.
+    Cells fold into one row per (series, slot, day type): at most one entry per
+    local day, so the calendar bounds it. The panel is read once, keeps its series
+    partitioning, and needs no join. A date shares a slot at most twice (autumn),
+    so its average is its median.
     """
     if policy.method == "none":
         return filled
-    open_cells = filled.where(F.col("filled").isNull() & F.col("allowed")).select(
-        *by, "pos", clock_slot("ts").alias("slot"), local_date("ts").alias("date")).withColumn(
-        "day_type", day_type("date"))
-    joined = open_cells.join(donor_days(filled, by), [*by, "slot", "day_type"])
-    others = F.filter("donors", lambda d: d["date"] != F.col("date"))
-    values = F.array_sort(F.transform(others, lambda d: d["day_median"]))
-    donated = joined.select(*by, "pos", F.when(F.size(values) >= policy.min_donor_days,
-                                               sorted_median(values)).alias("_donated"))
-    out = filled.join(donated, [*by, "pos"], "left")
-    hit = F.col("filled").isNull() & F.col("_donated").isNotNull()
-    return out.withColumns({"source": F.when(hit, "seasonal_median").otherwise(F.col("source")),
-                            "filled": F.coalesce("filled", "_donated")}).drop("_donated")
+    names = [c for c in filled.columns if c not in by]
+    days = filled.groupBy(*by, clock_slot("ts").alias("_slot"), local_date("ts").alias("_date")).agg(
+        F.collect_list(F.struct(*names)).alias("cells"), F.avg("value").alias("v"),
+        F.max(F.col("filled").isNull() & F.col("allowed")).alias("open"))
+    groups = days.groupBy(*by, "_slot", day_type("_date").alias("_type")).agg(
+        F.collect_list(F.struct(F.col("_date").alias("date"), "v", "open", "cells")).alias("days"))
+
+    def donated(day):
+        others = F.filter("days", lambda e: e["v"].isNotNull() & (e["date"] != day["date"]))
+        ordered = F.array(F.array_sort(F.transform(others, lambda e: e["v"])))
+        return F.transform(ordered, lambda v: F.when(F.size(v) >= policy.min_donor_days, sorted_median(v)))[0]
+
+    per_day = groups.select(*by, F.explode(F.transform("days", lambda d: F.struct(
+        d["cells"].alias("cells"), F.when(d["open"], donated(d)).alias("m")))).alias("d"))
+    cells = per_day.select(*by, F.col("d.m").alias("_donated"), F.explode("d.cells").alias("c")).select(
+        *by, "c.*", "_donated")
+    hit = F.col("filled").isNull() & F.col("allowed") & F.col("_donated").isNotNull()
+    return cells.withColumns({"source": F.when(hit, "seasonal_median").otherwise(F.col("source")),
+                              "filled": F.when(hit, F.col("_donated")).otherwise(F.col("filled"))}).drop("_donated")
 
 
 def fill_gaps(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
@@ -153,14 +149,14 @@ def flow_counts(panel: DataFrame) -> DataFrame:
         F.count_if(F.col("source") == "observed_export").alias("export_periods"))
 
 
-def unbounded_linear(panel: DataFrame, by=("series",)) -> DataFrame:
+def unbounded_linear(panel: DataFrame, by=("series",), out="filled") -> DataFrame:
     """Interpolate every gap; edges take the nearest value. A comparator only."""
-    w = over_series(by)
     op = F.when(F.col("value").isNotNull(), F.col("pos"))
-    v0, v1 = previous_known("value", w), next_known("value", w)
-    p0, p1 = previous_known(op, w), next_known(op, w)
-    line = v0 + (v1 - v0) * (F.col("pos") - p0) / (p1 - p0)
-    return panel.withColumn("filled", F.coalesce("value", line, v0, v1))
+    sides = panel.withColumns({"_v0": previous_known("value", by), "_p0": previous_known(op, by)}).withColumns(
+        {"_v1": next_known("value", by), "_p1": next_known(op, by)})
+    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("pos") - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
+    return sides.withColumn(out, F.coalesce(F.col("value"), line, F.col("_v0"), F.col("_v1"))).drop(
+        "_v0", "_v1", "_p0", "_p1")
 
 
 # The masking patterns, as a share of slots or a block length.
@@ -193,12 +189,13 @@ def mask_patterns(complete: DataFrame, seed=17) -> DataFrame:
 
 
 def recovery(masked: DataFrame, policy=FillPolicy()) -> DataFrame:
-    """Both methods' error on the hidden cells, per (series, pattern, method)."""
+    """Both methods' fills per (series, pattern, method), from one pass over the copies."""
     by = ("series", "pattern")
-    methods = {"hybrid": fill_gaps(masked, policy, by), "unbounded_linear_reference": unbounded_linear(masked, by)}
-    parts = [df.select(*by, F.lit(m).alias("method"), "pos", "ts", "masked", "truth", "filled")
-             for m, df in methods.items()]
-    return parts[0].unionByName(parts[1])
+    both = unbounded_linear(fill_gaps(masked, policy, by), by, out="_line")
+    pair = F.array(F.struct(F.lit("hybrid").alias("method"), F.col("filled").alias("filled")),
+                   F.struct(F.lit("unbounded_linear_reference").alias("method"), F.col("_line").alias("filled")))
+    return both.select(*by, "pos", "ts", "masked", "truth", F.explode(pair).alias("m")).select(
+        *by, "m.method", "pos", "ts", "masked", "truth", "m.filled")
 
 
 def recovery_errors(recovered: DataFrame) -> DataFrame:

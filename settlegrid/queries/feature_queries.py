@@ -14,8 +14,8 @@ def welch_sql(src, key="series"):
     return f"""
 tw AS (SELECT CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, cos(2*pi()*k*n/96) AS c, sin(2*pi()*k*n/96) AS s,
  0.5-0.5*cos(2*pi()*n/96) AS w FROM range(0,49) a(k), range(0,96) b(n)),
-ext AS (SELECT *, pos - min(pos) OVER (PARTITION BY {key}) AS at, count(*) OVER (PARTITION BY {key}) AS size FROM {src}),
-seg AS (SELECT e.*, s.seg, at - s.seg*48 AS n FROM ext e, LATERAL (SELECT unnest([at // 48, at // 48 - 1]) AS seg) s
+ext AS (SELECT *, pos - min(pos) OVER (PARTITION BY {key}) AS off, count(*) OVER (PARTITION BY {key}) AS size FROM {src}),
+seg AS (SELECT e.*, s.seg, off - s.seg*48 AS n FROM ext e, LATERAL (SELECT unnest([off // 48, off // 48 - 1]) AS seg) s
  WHERE s.seg >= 0 AND s.seg*48 + 96 <= size),
 cen AS (SELECT *, value - avg(value) OVER (PARTITION BY {key}, seg) AS x FROM seg),
 dft AS (SELECT {key}, seg, k, (sum(x*w*c)**2 + sum(x*w*s)**2) / (2*36.0) * CASE WHEN k IN (0,48) THEN 1 ELSE 2 END AS p
@@ -32,19 +32,19 @@ spectral AS (SELECT t.{key}, s.area AS power_6_8h, d.area AS power_20_28h, total
  FROM tot t JOIN area s ON s.{key}=t.{key} AND s.band='short' JOIN area d ON d.{key}=t.{key} AND d.band='daily')"""
 
 
-def temporal_sql(src, low_fraction="0.35", hours="6", key="series", extra=""):
+def temporal_sql(src, low_fraction="0.35", hours="6", key="series"):
     return f"""
 q AS (SELECT {key}, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS amp,
  count(*) AS size, min(pos) AS p_first FROM {src} GROUP BY {key}),
-lowrows AS (SELECT s.*, p10, amp, size, p_first, value <= p10 + {low_fraction}*amp AS low FROM {src} s JOIN q USING ({key})),
+lowrows AS (SELECT s.*, p10, amp, size, p_first, value <= p10 + {low_fraction}*amp AS low, {hours} AS hh FROM {src} s JOIN q USING ({key})),
 isl AS (SELECT *, pos - row_number() OVER (PARTITION BY {key} ORDER BY pos) AS isl FROM lowrows WHERE low),
 lr AS (SELECT {key}, isl, min(pos) AS start, max(pos)+1 AS stop, avg(value) AS trough, any_value(p10) AS p10, any_value(amp) AS amp,
- any_value(size) AS size, any_value(p_first) AS p_first FROM isl GROUP BY {key}, isl),
+ any_value(size) AS size, any_value(p_first) AS p_first, any_value(hh) AS hh FROM isl GROUP BY {key}, isl),
 lrp AS (SELECT lr.*, (SELECT max(value) FROM {src} s WHERE s.{key} = lr.{key} AND s.pos >= lr.stop AND s.pos < lr.stop + 16) AS peak,
  start = p_first OR stop + 16 - p_first > size AS censored, (stop-start)/2 AS hours,
  (SELECT date FROM {src} s WHERE s.{key} = lr.{key} AND s.pos = lr.start) AS date FROM lr),
 runagg AS (SELECT {key}, max(hours) FILTER (NOT censored) AS longest,
- count(DISTINCT date) FILTER (NOT censored AND amp > 0 AND hours >= {hours} AND peak > 0 AND peak >= p10 + 0.75*amp) AS qdays,
+ count(DISTINCT date) FILTER (NOT censored AND amp > 0 AND hours >= hh AND peak > 0 AND peak >= p10 + 0.75*amp) AS qdays,
  count(*) FILTER (NOT censored) AS seen, count(*) FILTER (censored) AS cens,
  max(peak/trough) FILTER (NOT censored AND trough > 0) AS ratio FROM lrp GROUP BY {key}),
 diffs AS (SELECT *, value - lag(value) OVER (PARTITION BY {key} ORDER BY pos) AS d FROM {src}),
@@ -165,21 +165,14 @@ def unmatched(spark, sf):
     return X.unmatched_series(panel(spark, sf).select("series").distinct(), boundaries(spark, sf))
 
 
-def _grid_sql():
-    ctes, parts = ZPANEL + "," + welch_sql("zpanel"), []
-    for i, low in enumerate(X.LOW_FRACTIONS):
-        for h in X.MIN_HOURS:
-            text = temporal_sql("zpanel", str(low), str(h))
-            for name in ("q", "lowrows", "isl", "lr", "lrp", "runagg", "diffs", "base", "temporal"):
-                import re
-                text = re.sub(rf"(?<![\w.]){name}(?=( AS \(|\)|\.|\s|$))(?! AS (low|start))",
-                              f"{name}_{i}_{h}", text) if name != "isl" else re.sub(r"\bisl AS \(SELECT", f"isl_{i}_{h} AS (SELECT", text).replace("FROM isl GROUP", f"FROM isl_{i}_{h} GROUP")
-            ctes += "," + text
-            parts.append(f"SELECT {low} AS low_fraction, {h} AS min_low_hours, series, qualifying_day_fraction AS f, negative_periods AS neg FROM temporal_{i}_{h}")
-    return ctes + ", feats AS (" + " UNION ALL ".join(parts) + ")"
+GRID = ZPANEL + """,
+grid AS (SELECT series || '|' || lf || '|' || h AS k, series, CAST(lf AS DOUBLE) AS lf, h, pos, date, value FROM zpanel,
+ (SELECT unnest([0.25,0.35,0.45]) AS lf), (SELECT unnest([6,8]) AS h)),""" + temporal_sql("grid", "s.lf", "s.h", "k") + """,
+feats AS (SELECT DISTINCT g.lf AS low_fraction, g.h AS min_low_hours, g.series, t.qualifying_day_fraction AS f, t.negative_periods AS neg
+ FROM temporal t JOIN (SELECT DISTINCT k, series, lf, h FROM grid) g USING (k)),""" + welch_sql("zpanel")
 
 
-@query("threshold_sensitivity", sql(_grid_sql(), """, lab AS (SELECT CAST(low_fraction AS DOUBLE) AS low_fraction, min_low_hours, t.score_threshold, series,
+@query("threshold_sensitivity", sql(GRID, """, lab AS (SELECT CAST(low_fraction AS DOUBLE) AS low_fraction, min_low_hours, t.score_threshold, series,
  f > 0 AND f >= 0.2 AND neg = 0 AND 0.8*least(f,1) + (1-0.8)*least(fraction_20_28h,1) >= t.score_threshold AS candidate
  FROM feats JOIN spectral USING (series) CROSS JOIN (SELECT unnest([0.15,0.25,0.35])::DOUBLE AS score_threshold) t)
 SELECT l.low_fraction, l.min_low_hours, l.score_threshold, count(*) FILTER (l.candidate) AS candidate_count,
