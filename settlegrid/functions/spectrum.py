@@ -74,3 +74,38 @@ def band_area(dens: dict, n: int, low: float, high: float) -> Column:
     for i in range(len(xs) - 1):
         area = area + (xs[i + 1] - xs[i]) * (ys[i] + ys[i + 1]) / 2
     return area
+
+
+def day_moments(x, idx, size, sizes=(46, 48, 50)) -> dict:
+    """Aggregates over one local day whose length ``size`` varies with the clock changes."""
+    bins = sorted({k for n in sizes for k in needed_bins(n) if k != n // 2})
+    w = 0.5 - 0.5 * F.cos(2 * math.pi * idx / size)
+    out = {"sx": F.sum(x), "sxx": F.sum(x * x * w * w), "sxw": F.sum(x * w * w),
+           "c_top": F.sum(x * w * F.cos(math.pi * idx))}
+    for k in bins:
+        angle = 2 * math.pi * k * idx / size
+        out[f"c{k}"], out[f"s{k}"] = F.sum(x * w * F.cos(angle)), F.sum(x * w * F.sin(angle))
+    return out
+
+
+def day_fractions(size, sizes=(46, 48, 50), bands=BANDS) -> dict:
+    """Band share of the total area for each possible day length, from :func:`day_moments`."""
+    out = {name: F.lit(None).cast("double") for name in bands}
+    for n in sizes:
+        w2, transforms = _window_sums(n)
+        mean, dens = F.col("sx") / n, {}
+        for k, (wc, ws) in transforms.items():
+            if k == n // 2:
+                re, im, side = F.col("c_top") - mean * wc, F.lit(0.0), 1.0
+            else:
+                re, im = F.col(f"c{k}") - mean * wc, F.col(f"s{k}") - mean * ws
+                side = 1.0 if k == 0 else 2.0
+            dens[k] = side * (re * re + im * im) / (RATE * w2)
+        energy = (F.col("sxx") - 2 * mean * F.col("sxw") + mean * mean * w2) / w2
+        total = energy - (dens[0] + dens[n // 2]) * (RATE / n) / 2
+        # A flat day leaves rounding noise only; it has no spectrum.
+        flat = total <= 1e-18 * F.greatest(F.lit(1.0), F.abs(F.col("sxx")))
+        for name, (low, high) in bands.items():
+            share = F.when(flat, 0.0).otherwise(band_area(dens, n, low, high) / total)
+            out[name] = F.when(F.col(size) == n, share).otherwise(out[name])
+    return out

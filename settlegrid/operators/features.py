@@ -68,7 +68,7 @@ def low_runs(df: DataFrame, by, p10, amplitude, low_fraction, following: int, va
     ``_start`` rows carry the run; every step is a window on the same partition.
     """
     v, w = F.col(value), over_series(by)
-    df = df.withColumn("_low", v <= p10 + low_fraction * amplitude)
+    df = df.withColumn("_low", F.coalesce(v <= p10 + low_fraction * amplitude, F.lit(False)))
     df = mark_runs(df, "_low", by, run="_run")
     in_run = Window.partitionBy(*by, "_run")
     ahead = w.rowsBetween(1, following)

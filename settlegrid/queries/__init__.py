@@ -1,7 +1,7 @@
 """Registered queries: each module holds ``Q`` (Spark) and ``SQL`` (the same in SQL)."""
 from importlib import import_module
 
-MODULES = ["panel_queries", "gap_queries", "feature_queries"]
+MODULES = ["panel_queries", "gap_queries", "feature_queries", "forecast_queries", "scoring_queries"]
 
 
 def registry():
