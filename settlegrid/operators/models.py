@@ -1,5 +1,17 @@
 """Fit diagnostics and models beyond the naive baselines."""
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..checks import ContractError
+from ..functions.windows import over_series
+from ..session import durable
+from .forecast import FeatureSpec, at_origins, backtest, build_features, from_origin, lookup_covariate, training_examples
 
 
 def training_audit(examples: DataFrame) -> DataFrame:
@@ -18,3 +30,242 @@ def fit_diagnostics(examples: DataFrame, min_targets: int = 1) -> DataFrame:
     reason = F.when(n == 0, "no_training_targets").when(n < min_targets, "insufficient_observed_targets").otherwise("")
     return examples.groupBy("series").agg(F.count("target").alias("n_train_examples")).withColumn(
         "reason", reason).withColumn("status", F.when(F.col("reason") == "", "ok").otherwise("failed"))
+
+
+# ---- pooled tree model over all series and leads --------------------------------------------
+
+MAX_CATEGORIES = 512
+HASH_BITS = 24
+
+
+@dataclass(frozen=True)
+class PooledTree:
+    """Settings of the pooled regressor (gradient-boosted trees of MLlib)."""
+
+    horizon: int = 48
+    min_history: int = 336
+    training_step: int = 48
+    iterations: int = 20
+    depth: int = 5
+    learning_rate: float = 0.1
+    seed: int = 7
+    min_training_rows: int = 100
+    max_training_rows: int | None = None
+    train_window: int | None = None
+    spec: FeatureSpec = FeatureSpec()
+
+
+def training_row_estimate(n_series: int, history: int, s: PooledTree) -> int:
+    """Examples a fit would build, known before building any; raises over the row budget."""
+    origins = len(range(s.min_history, history - s.horizon + 1, s.training_step))
+    rows = origins * n_series * s.horizon
+    if s.max_training_rows is not None and rows > s.max_training_rows:
+        raise ContractError(f"{rows} training examples exceed max_training_rows={s.max_training_rows}")
+    return rows
+
+
+class PooledModel:
+    """A fitted pooled regressor: predictions, per-series diagnostics and importance."""
+
+    def __init__(self, settings, names, categories, pipeline, counts):
+        self.settings, self.names, self.categories = settings, names, categories
+        self.pipeline, self.counts = pipeline, counts
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Add ``prediction``; a series without training targets gets NULL, never a fallback."""
+        known = self.counts.where("n_train_examples > 0").select("series", F.lit(True).alias("_known"))
+        out = rows.join(known, "series", "left")
+        if self.pipeline is None:
+            return out.withColumn("prediction", F.lit(None).cast("double")).drop("_known")
+        scored = self.pipeline.transform(prepare_matrix(out, self.names))
+        return scored.select(*rows.columns, F.when(F.col("_known"), F.col("prediction")).alias("prediction"))
+
+    def importance(self, origin_pos: int) -> DataFrame:
+        """Importance per feature as rows, with its share."""
+        tree = self.pipeline.stages[-1]
+        assembled = self.pipeline.stages[-2].getInputCols()
+        values = tree.featureImportances.toArray()
+        total = float(values.sum())
+        rows = [(n, origin_pos, float(v), float(v) / total if total > 0 else 0.0) for n, v in zip(assembled, values)]
+        return self.counts.sparkSession.createDataFrame(rows, "feature string, origin_pos int, gain double, gain_fraction double")
+
+
+def prepare_matrix(rows: DataFrame, names) -> DataFrame:
+    """MLlib trees refuse missing values: keep an indicator and a constant fill side by side."""
+    out = rows.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in names})
+    return out.withColumns({**{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names},
+                            **{f"series_bit_{b}": ((F.shiftright(F.xxhash64("series"), b)) % 2).cast("double") for b in range(HASH_BITS)}})
+
+
+def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=()) -> PooledModel:
+    """Fit on observed targets of all series and leads; repeated fits are identical.
+
+    Series identity is a category while the checked number of series allows it and
+    a fixed-width hash code beyond, so the tree never holds a table per series.
+    """
+    names = [*settings.spec.names, *extra]
+    examples = durable(examples)  # the fit reads it many times; its lineage is long
+    counts = examples.groupBy("series").agg(F.count("target").alias("n_train_examples"))
+    shape = counts.agg(F.sum("n_train_examples").alias("rows"), F.count_if(F.col("n_train_examples") > 0).alias("k")).first()
+    if (shape["rows"] or 0) < settings.min_training_rows:
+        return PooledModel(settings, names, 0, None, counts)
+    observed = examples.where(F.col("target").isNotNull())
+    few = shape["k"] <= MAX_CATEGORIES
+    identity = ["series_index"] if few else [f"series_bit_{b}" for b in range(HASH_BITS)]
+    stages = [StringIndexer(inputCol="series", outputCol="series_index", handleInvalid="keep",
+                            stringOrderType="alphabetAsc")] if few else []
+    inputs = names + [f"{c}__missing" for c in names if c != "lead"] + identity
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
+               GBTRegressor(labelCol="target", maxIter=settings.iterations, maxDepth=settings.depth, stepSize=settings.learning_rate,
+                            seed=settings.seed, maxBins=max(32, shape["k"] + 2) if few else 32)]
+    # A fixed row order and partitioning make repeated fits identical.
+    ordered = prepare_matrix(observed, names).orderBy("series", "origin_pos", "pos")
+    return PooledModel(settings, names, shape["k"], Pipeline(stages=stages).fit(ordered), counts)
+
+
+def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="validation", covariate: DataFrame | None = None):
+    """One fit per origin, predictions of all origins as case rows, and the importance table."""
+    extra = ("temperature_c",) if covariate is not None else ()
+    attach = (lambda df: lookup_covariate(df, covariate)) if covariate is not None else (lambda df: df)
+    importance, predicted = [], None
+    for origin in plan.positions(split):
+        examples = attach(training_examples(panel, origin, settings.horizon, settings.min_history, settings.training_step,
+                                            settings.spec, None, settings.train_window))
+        model = fit_pooled(examples, settings, extra)
+        rows = attach(build_features(panel.where(F.col("pos") < origin + plan.longest), range(origin, origin + 1), plan.longest, settings.spec))
+        part = model.predict(rows).select("series", "origin_pos", "pos", "prediction")
+        predicted = part if predicted is None else predicted.unionByName(part)
+        if model.pipeline is not None:
+            importance.append(model.importance(origin))
+    cases = backtest(panel, plan, {"pooled_tree": lambda *_: predicted}, split)
+    return cases, importance
+
+
+def importance_summary(tables) -> DataFrame:
+    """Mean, deviation and origin count of each feature's share."""
+    out = None
+    for t in tables:
+        out = t if out is None else out.unionByName(t)
+    return out.groupBy("feature").agg(F.avg("gain_fraction").alias("mean_gain_fraction"), F.stddev_samp("gain_fraction").alias("std_gain_fraction"),
+                                      F.count_distinct("origin_pos").alias("n_origins"))
+
+
+# ---- per-series models ------------------------------------------------------------------------
+
+SEASON = 48
+
+
+def seasonal_ar(panel: DataFrame, origins: range, horizon: int, min_observations=336, train_window: int | None = None) -> DataFrame:
+    """y(t) = a y(t-1) + b y(t-48) + c y(t-49) by least squares on the complete rows before each origin.
+
+    Normal-equation sums are trailing windows, so all origins come from one pass.
+    For leads up to 48 the seasonal lags are history and the recursion is a fold
+    over at most 48 known values. Too little data, a singular system or a missing
+    last value gives NULL and a reason.
+    """
+    if horizon > SEASON:
+        raise ContractError("Seasonal AR forecasts at most one season ahead")
+    w = over_series(["series"])
+    lags = panel.withColumns({"_1": F.lag("value", 1).over(w), "_48": F.lag("value", SEASON).over(w), "_49": F.lag("value", SEASON + 1).over(w)})
+    usable = F.col("value").isNotNull() & F.col("_1").isNotNull() & F.col("_48").isNotNull() & F.col("_49").isNotNull()
+    xs = {"1": F.col("_1"), "2": F.col("_48"), "3": F.col("_49"), "y": F.col("value")}
+    start = Window.unboundedPreceding if train_window is None else -(train_window - SEASON - 1)
+    frame = w.rowsBetween(start, -1)
+    seen = w.rowsBetween(Window.unboundedPreceding if train_window is None else -train_window, -1)
+    sums = {f"s{i}{j}": F.sum(F.when(usable, xs[i] * xs[j])).over(frame) for i, j in ("11", "12", "13", "22", "23", "33", "1y", "2y", "3y")}
+    rows = lags.withColumns({**sums, "_obs": F.count("value").over(seen), "_last": F.col("_1")})
+    m = {"11": "s11", "12": "s12", "13": "s13", "21": "s12", "22": "s22", "23": "s23", "31": "s13", "32": "s23", "33": "s33"}
+    cell = lambda k: F.col(m[k])
+
+    def det(c1, c2, c3):
+        return (c1[0] * (c2[1] * c3[2] - c2[2] * c3[1]) - c2[0] * (c1[1] * c3[2] - c1[2] * c3[1])
+                + c3[0] * (c1[1] * c2[2] - c1[2] * c2[1]))
+    col = lambda j: [cell(f"{i}{j}") for i in (1, 2, 3)]
+    rhs = [F.col("s1y"), F.col("s2y"), F.col("s3y")]
+    d = det(col(1), col(2), col(3))
+    size = F.col("s11") * F.col("s22") * F.col("s33")
+    rows = rows.withColumn("_det", F.when(F.abs(d) > 1e-12 * size, d)).withColumns({
+        "_a": det(rhs, col(2), col(3)) / F.col("_det"), "_b": det(col(1), rhs, col(3)) / F.col("_det"),
+        "_c": det(col(1), col(2), rhs) / F.col("_det")})
+    targets = at_origins(rows, origins, horizon).withColumn("_o", from_origin(["_a", "_b", "_c", "_last", "_obs"]))
+    targets = targets.withColumn("_k", F.col("_o._b") * F.col("_48") + F.col("_o._c") * F.col("_49"))
+    steps = F.collect_list(F.struct(F.col("_k").alias("k"))).over(
+        Window.partitionBy("series", "origin_pos").orderBy("lead").rowsBetween(Window.unboundedPreceding, 0))
+    targets = targets.withColumn("_steps", steps)
+    path = F.aggregate("_steps", F.col("_o._last"), lambda acc, s: F.col("_o._a") * acc + s["k"])
+    minimum = max(min_observations, 2 * SEASON)
+    reason = (F.when(F.col("_o._obs") < minimum, "insufficient_observations").when(F.col("_o._a").isNull(), "singular_system")
+              .when(path.isNull(), "missing_donor").otherwise(""))
+    return targets.withColumn("reason", reason).select(
+        "series", "origin_pos", "pos", "lead", F.when(F.col("reason") == "", path).alias("prediction"), "reason")
+
+
+def _smooth(y, season, grid, phi):
+    """One-step errors and final states of additive smoothing for all grid points at once."""
+    alpha, beta, gamma = (grid[:, i] for i in range(3))
+    level = np.full(len(grid), y[:season].mean())
+    trend = np.full(len(grid), (y[season:2 * season].mean() - y[:season].mean()) / season if phi else 0.0)
+    seasonal = np.tile(y[:season] - y[:season].mean(), (len(grid), 1))
+    sse = np.zeros(len(grid))
+    for t in range(season, len(y)):
+        s = seasonal[:, t % season]
+        base = level + phi * trend
+        e = y[t] - base - s
+        sse += e * e
+        level, trend = base + alpha * e, phi * trend + beta * e
+        seasonal[:, t % season] = s + gamma * e
+    return sse, level, trend, seasonal
+
+
+def _ets_forecast(y, horizon, season, trend, damped):
+    phi = (0.98 if damped else 1.0) if trend else 0.0
+    betas = (0.0, 0.01, 0.05) if trend else (0.0,)
+    grid = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.4, 0.7) for b in betas for g in (0.01, 0.05, 0.1, 0.2)])
+    factor = float(np.abs(y).max()) or 1.0
+    sse, level, slope, seasonal = _smooth(y / factor, season, grid, phi)
+    i = int(np.argmin(sse))
+    steps = np.arange(1, horizon + 1)
+    carry = np.cumsum(phi ** steps) if phi else np.zeros(horizon)
+    return (level[i] + slope[i] * carry + seasonal[i, (len(y) + steps - 1) % season]) * factor
+
+
+def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=False, damped=False, min_observations=336,
+        train_window: int | None = None) -> DataFrame:
+    """Additive exponential smoothing per series on a fixed smoothing grid, for every origin.
+
+    One group is one series, whose length the calendar bounds. A gap or too little
+    data gives NULL with a reason; nothing is interpolated. Forecasts scale with the input.
+    """
+    if damped and not trend:
+        raise ContractError("Damping requires a trend")
+    positions, minimum = list(origins), max(min_observations, 2 * season)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        base, values, out = int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(float), []
+        for o in positions:
+            y = values[:max(0, o - base)]
+            if train_window is not None:
+                y = y[-train_window:]
+            reason, forecast = "", np.full(horizon, np.nan)
+            if np.isfinite(y).sum() < minimum:
+                reason = "insufficient_observations"
+            elif not np.isfinite(y).all():
+                reason = "missing_training_values"
+            else:
+                forecast = _ets_forecast(y, horizon, season, trend, damped)
+                if not np.isfinite(forecast).all():
+                    reason, forecast = "nonfinite_forecast", np.full(horizon, np.nan)
+            out.append(pd.DataFrame({"series": pdf["series"].iloc[0], "origin_pos": o, "pos": range(o, o + horizon),
+                                     "lead": range(1, horizon + 1), "prediction": forecast, "reason": reason}))
+        return pd.concat(out)
+    schema = "series string, origin_pos int, pos int, lead int, prediction double, reason string"
+    fitted = panel.select("series", "pos", "value").groupBy("series").applyInPandas(run, schema)
+    return fitted.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+
+
+def model_diagnostics(predictions: DataFrame) -> DataFrame:
+    """Status and reason of every (series, origin) of a per-series model."""
+    worst = F.max("reason")
+    return predictions.groupBy("series", "origin_pos").agg(worst.alias("reason"), F.count("prediction").alias("n_predictions")).withColumn(
+        "status", F.when(F.col("reason") == "", "ok").otherwise("failed"))

@@ -20,7 +20,7 @@ class Season:
     name: str
     start: str
     end: str
-    development_fraction: float = 0.6667
+    development_fraction: float = 0.6666666667
 
     @property
     def split(self) -> str:

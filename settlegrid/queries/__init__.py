@@ -1,7 +1,8 @@
 """Registered queries: each module holds ``Q`` (Spark) and ``SQL`` (the same in SQL)."""
 from importlib import import_module
 
-MODULES = ["panel_queries", "gap_queries", "feature_queries", "forecast_queries", "scoring_queries"]
+MODULES = ["panel_queries", "gap_queries", "feature_queries", "forecast_queries", "scoring_queries", "recurrence_queries",
+           "weather_queries", "association_queries", "latent_queries", "model_queries"]
 
 
 def registry():
