@@ -44,3 +44,20 @@ def next_known(value, by, order="pos") -> Column:
 def md5_order(*parts) -> Column:
     """Reproducible pseudo-random order key (same text in any engine that has md5)."""
     return F.md5(F.concat_ws("|", *[as_col(p).cast("string") for p in parts]))
+
+
+def hash_sample(df: DataFrame, by, n: int, draw: Column) -> DataFrame:
+    """The ``n`` rows of every group with the smallest hash text, for groups of any size.
+
+    Rows are counted per hash prefix first (65,536 prefixes); only prefixes up to
+    the one that reaches ``n`` go on to be ordered, so no task sees a whole group.
+    """
+    by = list(by)
+    rows = df.withColumn("_draw", draw).withColumn("_prefix", F.substring("_draw", 1, 4))
+    counts = rows.groupBy(*by, "_prefix").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_prefix").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(*by).agg(F.max("_prefix").alias("_last"))
+    near = rows.join(last, by).where(F.col("_prefix") <= F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_draw", "_prefix", "_last", "_rank")

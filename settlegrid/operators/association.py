@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..checks import ContractError
 from ..functions.clock import calendar_slices, season_name
 from ..functions.ranks import exact_quantiles, pearson, spearman, window_average_rank
-from ..functions.windows import md5_order, whole
+from ..functions.windows import hash_sample, md5_order, whole
 
 SCOPES = ("season", "hour", "daytype", "year")
 
@@ -223,11 +223,10 @@ def pooled_mi(sample: DataFrame, size=30000, seed=7) -> DataFrame:
     rows = sample.select("series", "ts", "temperature_c", F.explode(F.array(
         *[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("demand", "demand_z")])).alias("t")).where(
         F.col("t.y").isNotNull())
-    drawn = rows.withColumn("_d", md5_order(F.lit(seed), "series", F.unix_seconds("ts"), F.col("t.target")))
-    kept = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy("t.target").orderBy("_d", "series", "ts"))).where(
-        F.col("_rn") <= size)
-    rows = kept.select(F.col("t.target").alias("series"), F.lit("all").alias("year"),
-                       F.col("temperature_c").cast("double").alias("x"), F.col("t.y").alias("y"))
+    drawn = rows.select(F.col("t.target").alias("target"), "series", "ts", "temperature_c", F.col("t.y").alias("y"))
+    kept = hash_sample(drawn, ["target"], size, md5_order(F.lit(seed), "series", F.unix_seconds("ts"), "target"))
+    rows = kept.select(F.col("target").alias("series"), F.lit("all").alias("year"),
+                       F.col("temperature_c").cast("double").alias("x"), "y")
 
     def estimate(pdf):
         pdf = pdf.sort_values(["x", "y"])

@@ -46,17 +46,13 @@ def segments(panel: DataFrame, by=("series",), n: int = 96) -> DataFrame:
 
 def welch_density(panel: DataFrame, by=("series",), n: int = 96) -> DataFrame:
     """Mean one-sided density at the bins the bands need, and mean total area, per series."""
-    parts = segments(panel, by, n).groupBy(*by, "segment").agg(
-        *[c.alias(k) for k, c in moments(F.col("value"), F.col("_idx"), n).items()])
-    dens, total = densities(n)
-    return parts.groupBy(*by).agg(F.avg(total).alias("total_power"),
-                                  *[F.avg(d).alias(f"p{k}") for k, d in dens.items()])
+    parts = segments(panel, by, n).groupBy(*by, "segment").agg(*moments("value", "_idx", n))
+    return parts.groupBy(*by).agg(*[F.avg(c).alias(name) for name, c in densities(n).items()])
 
 
 def spectral_features(panel: DataFrame, by=("series",), n: int = 96) -> DataFrame:
     mean = welch_density(panel, by, n)
-    dens = {int(c[1:]): F.col(c) for c in mean.columns if c.startswith("p") and c[1:].isdigit()}
-    out = mean.select(*by, *[band_area(dens, n, *edges).alias(name) for name, edges in BANDS.items()], "total_power")
+    out = mean.select(*by, *[band_area(n, *edges).alias(name) for name, edges in BANDS.items()], "total_power")
     share = lambda c: F.when(F.col("total_power") > 0, F.col(c) / F.col("total_power")).otherwise(0.0)
     return out.withColumns({"fraction_6_8h": share("power_6_8h"), "fraction_20_28h": share("power_20_28h"),
                             "frequency_resolution_cph": F.lit(2.0 / n)})

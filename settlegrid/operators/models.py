@@ -127,7 +127,7 @@ def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="valida
     """One fit per origin, predictions of all origins as case rows, and the importance table."""
     extra = ("temperature_c",) if covariate is not None else ()
     attach = (lambda df: lookup_covariate(df, covariate)) if covariate is not None else (lambda df: df)
-    importance, predicted = [], None
+    importance, predicted, panel = [], None, durable(panel)
     for origin in plan.positions(split):
         examples = attach(training_examples(panel, origin, settings.horizon, settings.min_history, settings.training_step,
                                             settings.spec, None, settings.train_window))

@@ -92,7 +92,6 @@ def daily_features(panel: DataFrame, season: Season, rule=RecurrenceRule()) -> D
     hours = F.col("_len") / 2
     good = seen & (F.col("_amp") > 0) & (F.col("_peak") > 0) & (
         F.col("_peak") >= F.col("_p10") + rule.min_peak_fraction * F.col("_amp"))
-    idx = F.when(F.col("_focal"), F.col("pos") - F.col("_base"))
     agg = runs.groupBy(*by).agg(
         F.count("*").alias("_rows"), F.count("value").alias("_known"), F.count("_y").alias("observed_periods"),
         F.first("_len_day").alias("_n"), F.first("_amp").alias("p90_minus_p10"),
@@ -103,7 +102,7 @@ def daily_features(panel: DataFrame, season: Season, rule=RecurrenceRule()) -> D
         *[F.coalesce(F.max(good & (hours >= h)), F.lit(False)).alias(f"_q{h}") for h in rule.durations],
         F.max(F.when(F.col("_first"), F.col("_low"))).alias("_starts_low"),
         F.min(F.when(F.col("_focal"), F.col("_low"))).alias("_all_low"),
-        *[c.alias(k) for k, c in day_moments(F.col("_y"), idx, F.col("_len_day")).items()])
+        *day_moments("_y", "(pos - _base)", "_len_day"))
     expected = slots_between(F.date_sub("date", 1), F.date_add("date", 2))
     complete = (F.col("_rows") == expected) & (F.col("_known") == expected)
     shares = day_fractions("_n")

@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import forecast as W, models as M, scoring as S
-from ..session import durable
 from .forecast_queries import PLAN, covariate
 from .inputs import N, PANEL, ZPANEL, panel, registrar, sql, zero_panel
 
@@ -52,8 +51,7 @@ SPARSE_PLAN = W.WalkForward(min_train=672, test_pos=1152, n_slots=N, step=216)
 
 
 def pooled(spark, sf, with_covariate=False):
-    p = durable(panel(spark, sf))
-    return M.pooled_backtest(p, SPARSE_PLAN, TREE, covariate=covariate(spark, sf) if with_covariate else None)
+    return M.pooled_backtest(panel(spark, sf), SPARSE_PLAN, TREE, covariate=covariate(spark, sf) if with_covariate else None)
 
 
 @query("pooled_tree_scores")

@@ -2,7 +2,6 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checks import ContractError, enforce
-from ..functions.windows import over_series
 from ..operators.panel import OBSERVED
 
 
@@ -20,21 +19,24 @@ def read_panel(spark: SparkSession, observed_path: str | None = None, filled_pat
     return observed_only(spark.read.parquet(filled_path))
 
 
-def contract_report(panel: DataFrame, by=("series",)) -> DataFrame:
-    """One row of contract violation counts: ids, alignment, contiguity, duplicates, infinities."""
-    w = over_series(by, "ts")
-    step = F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))
-    marked = panel.withColumn("_step", step)
-    per_series = marked.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.count_if(F.col("_step") == 0).alias("duplicates"), F.count_if(F.col("_step") > 1800).alias("holes"),
-        F.count_if((F.unix_micros("ts") % 1_800_000_000) != 0).alias("unaligned"),
-        F.count_if(F.abs("value") == float("inf")).alias("infinite"))
-    return per_series.agg(
-        F.count("*").alias("n_series"), F.count_if(F.col(by[0]).isNull()).alias("null_ids"),
-        F.sum("duplicates").alias("duplicate_slots"), F.sum("holes").alias("holes"),
+def contract_report(panel: DataFrame, by="series") -> DataFrame:
+    """One row of contract violation counts: ids, alignment, contiguity, duplicates, infinities.
+
+    Repeats are counted per (series, ts) first, with map-side combining, so a
+    broken source that repeats one series without end stays spread out; holes
+    follow from the span, with no ordering at all.
+    """
+    slots = panel.groupBy(by, "ts").agg(F.count("*").alias("n"), F.count_if(F.abs("value") == float("inf")).alias("inf"))
+    off = (F.unix_micros("ts") % 1_800_000_000) != 0
+    span = (F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 1800 + 1
+    per = slots.groupBy(by).agg(
+        F.count("*").alias("slots"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if(off).alias("unaligned"),
+        F.sum("inf").alias("infinite"), (span.cast("long") - F.count_if(~off)).alias("absent"))
+    return per.agg(
+        F.count("*").alias("n_series"), F.count_if(F.col(by).isNull()).alias("null_ids"),
+        F.sum("repeated").alias("duplicate_slots"), F.sum("absent").alias("absent_slots"),
         F.sum("unaligned").alias("unaligned"), F.sum("infinite").alias("infinite"),
-        (F.max("rows") - F.min("rows")).alias("ragged_rows"))
+        (F.max("slots") - F.min("slots")).alias("ragged_slots"))
 
 
 def check_panel(panel: DataFrame) -> DataFrame:
