@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..checks import ContractError
 from ..functions.ranks import spearman
 from ..functions.windows import md5_order
+from ..session import durable
 from .recurrence import held_out
 
 
@@ -240,8 +241,8 @@ def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFr
     """Rank agreement of two embeddings' distances (id, z in both); NULL when either is constant.
 
     The statistic's sample is the set of distances itself. Blocks compute them in
-    numpy and count equal rounded-free (a, b) values before anything is shuffled;
-    the ranks come from the distributed value counts.
+    numpy, they are stored once, and the ranks come from distributed value counts.
+    The cost grows with the square of the number of *series*, as the definition does.
     """
     both = first.select("id", F.col("z").alias("p")).join(second.select("id", F.col("z").alias("q")), "id")
     packed = both.select("id", F.concat(F.col("p").cast("array<double>"), F.col("q").cast("array<double>")).alias("z"), F.size("p").alias("label"))
@@ -257,7 +258,7 @@ def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFr
                         diff = (zb[later] - row) ** 2
                         yield pd.DataFrame({"x": np.sqrt(diff[:, :w].sum(1)), "y": np.sqrt(diff[:, w:].sum(1))})
     rows = _tile_pairs(packed, tile).select("a", "b").mapInPandas(work, "x double, y double").withColumn("g", F.lit(1))
-    return spearman(rows, ["g"], "x", "y").select("n_paired", F.col("spearman").alias("distance_rank_stability"))
+    return spearman(durable(rows), ["g"], "x", "y").select("n_paired", F.col("spearman").alias("distance_rank_stability"))
 
 
 def two_way_clusters(points: DataFrame, seed=7) -> DataFrame:

@@ -2,7 +2,7 @@
 from importlib import import_module
 
 MODULES = ["panel_queries", "gap_queries", "feature_queries", "forecast_queries", "scoring_queries", "recurrence_queries",
-           "weather_queries", "association_queries", "latent_queries", "model_queries"]
+           "weather_queries", "association_queries", "latent_queries", "model_queries", "sink_queries"]
 
 
 def registry():

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import association as A, forecast as W
+from ..session import durable
 from .forecast_queries import PLAN, covariate, features
 from .inputs import CALENDAR, panel, registrar, sql, table
 
@@ -139,7 +140,7 @@ SELECT scope, slice, metric, count(*) AS n_series, count(r) AS n_defined, round(
  round(avg(CASE WHEN abs(r) > 0.3 THEN 1 WHEN r IS NOT NULL THEN 0 END),6) AS fraction_abs_above_0_3, round(median(r),6) AS median, round(quantile_cont(r,0.25),6) AS q25, round(quantile_cont(r,0.75),6) AS q75
 FROM long WHERE scope <> 'calendar_adjusted' GROUP BY 1,2,3"""))
 def distribution(spark, sf):
-    s = A.correlation_summary(A.association_table(study(spark, sf)).where("scope != 'calendar_adjusted'"))
+    s = A.correlation_summary(durable(A.association_table(study(spark, sf)).where("scope != 'calendar_adjusted'")))
     return rounded(s, "fraction_negative", "fraction_abs_above_0_3", "median", "q25", "q75")
 
 
@@ -153,7 +154,8 @@ sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDE
 
 
 def sample(spark, sf):
-    return A.hourly_sample(study_z(spark, sf))
+    """The stored association sample (at most 2,000 rows a series)."""
+    return durable(A.hourly_sample(study_z(spark, sf)))
 
 
 @query("hourly_association_sample", sql(SAMPLE, "SELECT series, date, round(demand_z,6) AS demand_z FROM sampled"))

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import features as X, gaps as G
+from ..session import durable
 from .gap_queries import POLICY, QUALITY, filled
 from .inputs import PANEL, ZPANEL, panel, records, registrar, sql, table, zero_panel
 
@@ -131,7 +132,7 @@ joined AS (SELECT q.series, q.status, q.eligible, CASE WHEN q.eligible THEN f.ca
 
 
 def screened(spark, sf):
-    f = filled(spark, sf)
+    f = durable(filled(spark, sf))  # the filled panel is a stored output; quality and features both read it
     return X.screen_with_quality(f, G.quality(f))
 
 

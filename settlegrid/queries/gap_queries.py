@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import features as X, gaps as G, panel as P
+from ..session import durable
 from .inputs import PANEL, ZPANEL, panel, registrar, sql, zero_panel
 
 Q, SQL, query = registrar()
@@ -172,5 +173,5 @@ def recovery_summary(spark, sf):
 
 @query("mask_label_changes")
 def label_changes(spark, sf):
-    d = G.recovery_details(masked(spark, sf), feature_fn=features_of)
+    d = G.recovery_details(durable(masked(spark, sf)), feature_fn=features_of)
     return G.recovery_summary(d)

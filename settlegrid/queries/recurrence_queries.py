@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import recurrence as R
+from ..session import durable
 from .inputs import ZPANEL, panel, registrar, sql, zero_panel
 
 Q, SQL, query = registrar()
@@ -178,10 +179,14 @@ cohort AS (SELECT season, day_type, series FROM (SELECT season, day_type, series
  INTERSECT SELECT season, day_type, series, phase FROM slots) GROUP BY 1,2,3 HAVING count(*) = 2)"""
 
 
+def stored(spark, sf):
+    """The day table, written once: every summary, vector and comparison reads it again."""
+    return durable(daily(spark, sf))
+
+
 def cohort(spark, sf):
-    z = zero_panel(spark, sf)
-    d = R.daily_features(z, SEASON, RULE)
-    return R.cohort(R.summarize_days(d, RULE), R.representative_inputs(d, R.profiles(z)))
+    d = stored(spark, sf)
+    return R.cohort(R.summarize_days(d, RULE), R.representative_inputs(d, R.profiles(zero_panel(spark, sf))))
 
 
 @query("benchmark_cohort", sql(COHORT, "SELECT * FROM cohort"))
@@ -193,7 +198,9 @@ def benchmark_cohort(spark, sf):
  round(avg(abs(a.median-b.median)),6) AS later_median_mae FROM slots a JOIN slots b ON a.season=b.season AND a.day_type=b.day_type AND a.series=b.series AND a.slot=b.slot
  AND a.phase='development' AND b.phase='holdout' JOIN cohort c ON c.season=a.season AND c.day_type=a.day_type AND c.series=a.series GROUP BY 1,2"""))
 def persistence(spark, sf):
-    return rounded(R.persistence_score(slots(spark, sf), cohort(spark, sf)), "later_median_rmse", "later_median_mae")
+    d, p = stored(spark, sf), R.profiles(zero_panel(spark, sf))
+    members = R.cohort(R.summarize_days(d, RULE), R.representative_inputs(d, p))
+    return rounded(R.persistence_score(R.representative_slots(d, p), members), "later_median_rmse", "later_median_mae")
 
 
 @query("regime_summary", sql(SUMMARY, """, pairs AS (SELECT season, day_type, series, max(observed_pattern_frequency_6h) FILTER (phase='development') AS e, max(observed_pattern_frequency_6h) FILTER (phase='holdout') AS l FROM summary GROUP BY 1,2,3),
@@ -206,8 +213,8 @@ c AS (SELECT season, day_type, count(DISTINCT date) AS calendar_days FROM daily
 SELECT f.season, f.day_type, n_series, sufficient_series, valid_series_days, expected_series_days, calendar_days, round(m6,6) AS median_recurrence_6h, round(m8,6) AS median_recurrence_8h,
  paired_series, round(rho,6) AS early_late_spearman_6h, round(ch,6) AS median_absolute_change_6h FROM f JOIN c USING (season, day_type) LEFT JOIN ag USING (season, day_type)"""))
 def regimes(spark, sf):
-    d = daily(spark, sf)
-    return rounded(R.regime_summary(d, R.summarize_days(d, RULE)), "median_recurrence_6h", "median_recurrence_8h",
+    d = stored(spark, sf)
+    return rounded(R.regime_summary(d, durable(R.summarize_days(d, RULE))), "median_recurrence_6h", "median_recurrence_8h",
                    "early_late_spearman_6h", "median_absolute_change_6h")
 
 
@@ -221,7 +228,7 @@ cmp2 AS (SELECT c.*, s.observed_pattern_frequency_6h AS s6 FROM cmp c LEFT JOIN
 
 
 def week_comparison(spark, sf):
-    d = daily(spark, sf)
+    d = stored(spark, sf)
     return R.reference_week(d, R.summarize_days(d, RULE), "winter", "2024-01-08", "2024-01-12")
 
 
@@ -234,7 +241,7 @@ def reference_week(spark, sf):
 
 @query("reference_week_gap", sql(WEEK, "SELECT count(*) FILTER (abs(r6-o6) >= 0.2) AS series_at_least_limit, round(median(abs(r6-o6)),6) AS median_gap FROM cmp2"))
 def reference_gap(spark, sf):
-    return rounded(R.reference_gap(week_comparison(spark, sf)), "median_gap")
+    return rounded(R.reference_gap(durable(week_comparison(spark, sf))), "median_gap")
 
 
 @query("model_score_summary", sql(COHORT, """, e AS (SELECT a.season, a.day_type, a.series, sqrt(avg((a.median-b.median)**2)) AS rmse FROM slots a JOIN slots b ON a.season=b.season AND a.day_type=b.day_type AND a.series=b.series

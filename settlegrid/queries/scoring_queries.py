@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import forecast as W, scoring as S
+from ..session import durable
 from .forecast_queries import CASES, COVARIATE, MODELS, SELECTION, cases, covariate
 from .inputs import CALENDAR, panel, registrar, sql
 
@@ -79,7 +80,7 @@ paired_s AS (SELECT * REPLACE (CASE WHEN shared2 THEN prediction END AS predicti
 
 @query("metric_tables", _tables_sql())
 def metric_tables(spark, sf):
-    return rounded(S.metric_tables(sliced(spark, sf), PAIR))
+    return rounded(S.metric_tables(durable(sliced(spark, sf)), PAIR))  # case rows are a study's stored output
 
 
 def per_series(spark, sf, dims=()):
@@ -115,7 +116,7 @@ def benefit_table(spark, sf):
  round(quantile_cont(relative_improvement_pct,0.25),6) AS q25_relative_improvement_pct,
  round(quantile_cont(relative_improvement_pct,0.75),6) AS q75_relative_improvement_pct FROM benefits GROUP BY 1,2,3"""))
 def benefit_summary(spark, sf):
-    s = S.benefit_summary(benefits(spark, sf), ["split", "horizon", "daytype"])
+    s = S.benefit_summary(durable(benefits(spark, sf)), ["split", "horizon", "daytype"])
     return rounded(s, *[c for c, t in s.dtypes if t == "double"])
 
 
@@ -135,7 +136,7 @@ def ablation(spark, sf):
 r AS (SELECT model, CAST(horizon AS INTEGER) AS horizon, avg(abs(prediction-actual)) AS mae FROM cases GROUP BY 1,2)
 SELECT model, horizon, true AS bad FROM s JOIN r USING (model, horizon) WHERE model <> 'seasonal_336' AND abs(s.mae-r.mae) > 1e-9"""))
 def disagreement(spark, sf):
-    c = cases(spark, sf)
+    c = durable(cases(spark, sf))
     stacked = S.stack_experiments({"common": S.summarize(S.common_cases(c), ["model", "horizon"]),
                                    "raw": S.summarize(c, ["model", "horizon"])})
     return S.disagreeing_baselines(stacked, "seasonal_336", columns=("mae",), tol=1e-9)
@@ -160,7 +161,7 @@ def contribution(spark, sf):
 
 @query("median_series_mase", sql(RAWS, """SELECT model, horizon, count(mase) AS n_series_mase_defined, round(median(mase),6) AS median_series_mase FROM ps GROUP BY 1,2"""))
 def median_mase(spark, sf):
-    return rounded(S.median_mase(raw_per_series(spark, sf)), "median_series_mase")
+    return rounded(S.median_mase(durable(raw_per_series(spark, sf))), "median_series_mase")
 
 
 @query("series_mae_by_model", sql(RAWS, """SELECT horizon, series, round(max(mae) FILTER (model='persistence'),6) AS persistence, round(max(mae) FILTER (model='seasonal_48'),6) AS seasonal_48,
@@ -184,7 +185,7 @@ ch AS (SELECT a.horizon, a.series, a.n, a.mase AS mb, b.mase AS mc, coalesce(b.m
 
 
 def changes(spark, sf):
-    m = per_series(spark, sf)
+    m = durable(per_series(spark, sf))
     return S.contribution_changes(m.where(F.col("model") == PAIR[0]), m.where(F.col("model") == PAIR[1]))
 
 
@@ -263,7 +264,7 @@ SELECT horizon, count(*) AS n_compared, count(*) FILTER (d > 1e-12) AS wins, cou
  round(avg(ma),6) AS macro_mae_base, round(avg(mb),6) AS macro_mae_candidate, round(quantile_cont(100*d/nullif(ma,0),0.5),6) AS median_pct,
  round(quantile_cont(100*d/nullif(ma,0),0.25),6) AS q25_pct, round(quantile_cont(100*d/nullif(ma,0),0.75),6) AS q75_pct FROM d GROUP BY 1"""))
 def win_loss(spark, sf):
-    s = S.paired_counts(S.paired_benefits(S.common_cases(cases(spark, sf), PAIR), *PAIR, dimension="series"))
+    s = S.paired_counts(durable(S.paired_benefits(S.common_cases(cases(spark, sf), PAIR), *PAIR, dimension="series")))
     return rounded(s, *[c for c, t in s.dtypes if t == "double"])
 
 

@@ -1,5 +1,6 @@
 """Session settings every operator relies on, and the one way to cut lineage."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,21 @@ def build_session(app: str = "settlegrid", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` wins; only a session without any (a test) gets a
-    private temporary folder.
-    """
-    spark = df.sparkSession
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path under the shared folder for a table that outlives one job."""
+    return f"{_shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so a lost executor does not replay the whole chain."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint()
