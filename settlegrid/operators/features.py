@@ -66,24 +66,26 @@ def low_runs(df: DataFrame, by, p10, amplitude, low_fraction, following: int, va
     v, w = F.col(value), over_series(by)
     df = df.withColumn("_low", F.coalesce(v <= p10 + low_fraction * amplitude, F.lit(False)))
     df = mark_runs(df, "_low", by, run="_run")
-    in_run = Window.partitionBy(*by, "_run")
     ahead = w.rowsBetween(1, following)
-    df = df.withColumns({"_ahead": F.max(v).over(ahead), "_n_ahead": F.count("*").over(ahead)})
+    df = df.withColumns({"_ahead": F.max(v).over(ahead), "_n_ahead": F.count("*").over(ahead)}).withColumn(
+        "_first", F.min("pos").over(whole(by)) == F.col("pos"))
+    # One more sort, by run and position, serves the ordered and then the whole-run windows.
+    in_run = Window.partitionBy(*by, "_run")
     last = in_run.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({
-        "_len": F.count("*").over(in_run), "_trough": F.avg(v).over(in_run),
         "_peak": F.last("_ahead").over(last), "_room": F.last("_n_ahead").over(last),
-        "_start": F.col("_low") & (F.row_number().over(in_run.orderBy("pos")) == 1),
-        "_first": F.min("pos").over(whole(by)) == F.col("pos")})
+        "_start": F.col("_low") & (F.row_number().over(in_run.orderBy("pos")) == 1)})
+    df = df.withColumns({"_len": F.count("*").over(in_run), "_trough": F.avg(v).over(in_run)})
     return df.withColumn("_censored", F.col("_start") & (F.col("_first") | (F.col("_room") < following)))
 
 
 def temporal_rows(panel: DataFrame, by=("series",), rule=RunRule(), low_fraction=None) -> DataFrame:
+    w = over_series(by)
+    day = local_date("ts")
+    df = panel.withColumns({"_ramp": (F.col("value") - F.lag("value").over(w)) * 2, "_date": day,
+                            "_new_day": F.coalesce(F.lag(day).over(w) != day, F.lit(True))})
     q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.9))).over(whole(by))
-    df = panel.withColumn("_q", q).withColumns({
-        "_p10": F.col("_q")[0], "_amp": F.col("_q")[1] - F.col("_q")[0],
-        "_ramp": (F.col("value") - F.lag("value").over(over_series(by))) * 2,
-        "_date": local_date("ts")}).drop("_q")
+    df = df.withColumn("_q", q).withColumns({"_p10": F.col("_q")[0], "_amp": F.col("_q")[1] - F.col("_q")[0]}).drop("_q")
     fraction = F.lit(rule.low_fraction) if low_fraction is None else F.col(low_fraction)
     return low_runs(df, by, F.col("_p10"), F.col("_amp"), fraction, int(2 * rule.following_hours))
 
@@ -98,9 +100,10 @@ def temporal_features(panel: DataFrame, by=("series",), rule=RunRule(), low_frac
     limits = {"": rule.min_hours} if min_hours is None else {f"_{h}h": h for h in min_hours}
     out = df.groupBy(*by).agg(
         F.coalesce(F.max(F.when(seen, hours)), F.lit(0.0)).alias("longest_observed_low_hours"),
-        *[F.count_distinct(F.when(peak_ok & (hours >= h), F.col("_date"))).alias(f"qualifying_start_days{s}")
+        # A set of days is bounded by the calendar; unlike count(distinct) it needs no further shuffle.
+        *[F.size(F.collect_set(F.when(peak_ok & (hours >= h), F.col("_date")))).cast("long").alias(f"qualifying_start_days{s}")
           for s, h in limits.items()],
-        F.count_distinct("_date").alias("_days"),
+        F.count_if("_new_day").alias("_days"),
         F.count_if(seen).alias("observed_low_runs"), F.count_if(F.col("_censored")).alias("censored_low_runs"),
         F.max(F.when(seen & (F.col("_trough") > 0), F.col("_peak") / F.col("_trough"))).alias("max_peak_trough_ratio"),
         F.greatest(F.lit(0.0), F.max("_ramp")).alias("max_up_ramp_per_hour"),

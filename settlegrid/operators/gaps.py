@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..checks import ContractError, guard, positive_int
 from ..functions.clock import clock_slot, day_type, local_date
-from ..functions.windows import mark_runs, md5_order, next_known, over_series, previous_known, whole
+from ..functions.windows import md5_order, next_known, over_series, previous_known, whole
 
 
 @dataclass(frozen=True)
@@ -44,17 +44,21 @@ def missing_mask(panel: DataFrame) -> DataFrame:
 
 
 def gate(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
-    """Add missing fraction, longest run and the fill permission of the series."""
-    flagged = mark_runs(panel.withColumn("_null", F.col("value").isNull()), "_null", by)
-    run_len = F.count("*").over(Window.partitionBy(*by, "run"))
-    flagged = flagged.withColumn("run_len", F.when(F.col("_null"), run_len).otherwise(0))
+    """Add missing fraction, longest run and the fill permission of the series.
+
+    On a dense panel the distance to the last known slot counts a run as it grows,
+    so the longest run needs no run numbering and no second sort.
+    """
     w = whole(by)
-    return flagged.withColumns({
+    known = F.when(F.col("value").isNotNull(), F.col("pos"))
+    df = panel.withColumn("_p0", previous_known(known, by)).withColumn("_null", F.col("value").isNull())
+    grown = F.col("pos") - F.coalesce(F.col("_p0"), F.min("pos").over(w) - 1)
+    df = df.withColumn("_grown", F.when(F.col("_null"), grown).otherwise(0)).withColumns({
         "missing_before": F.count_if("_null").over(w),
         "missing_fraction": F.count_if("_null").over(w) / F.count("*").over(w),
-        "longest_run": F.max("run_len").over(w)}).withColumn(
-        "allowed", (F.col("missing_fraction") <= policy.max_missing_fraction)
-        & (F.col("longest_run") <= policy.max_gap))
+        "longest_run": F.max("_grown").over(w)}).drop("_grown")
+    return df.withColumn("allowed", (F.col("missing_fraction") <= policy.max_missing_fraction)
+                         & (F.col("longest_run") <= policy.max_gap))
 
 
 def eligibility(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
@@ -68,14 +72,11 @@ def eligibility(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFr
 
 def linear_fill(gated: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
     """Straight line over short inner runs; adds ``filled`` and relabels ``source``."""
-    observed_pos = F.when(F.col("value").isNotNull(), F.col("pos"))
-    sides = gated.withColumns({
-        "_v0": previous_known("value", by), "_v1": next_known("value", by),
-        "_p0": previous_known(observed_pos, by), "_p1": next_known(observed_pos, by)})
-    ok = (F.col("_null") & F.col("allowed") & (F.col("run_len") <= policy.linear_max_gap)
-          & F.col("_v0").isNotNull() & F.col("_v1").isNotNull())
-    if policy.method == "none":
-        ok = F.lit(False)
+    known = F.when(F.col("value").isNotNull(), F.col("pos"))
+    sides = gated.withColumn("_v0", previous_known("value", by)).withColumns(
+        {"_v1": next_known("value", by), "_p1": next_known(known, by)})
+    ok = (F.col("_null") & F.col("allowed") & (F.col("_p1") - F.col("_p0") - 1 <= policy.linear_max_gap))
+    ok = F.lit(False) if policy.method == "none" else F.coalesce(ok, F.lit(False))
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("pos") - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
     return sides.withColumns({
         "filled": F.when(ok, line).otherwise(F.col("value")),

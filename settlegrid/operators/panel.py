@@ -61,7 +61,7 @@ def build_panel(records: DataFrame, calendar: SettlementCalendar, direction="sig
                 ids: DataFrame | None = None) -> DataFrame:
     """Typed records to the dense panel (series, pos, ts, value, source, estimated)."""
     signed = sign_volumes(records) if direction == "signed_net" else records
-    resolved = locate(resolve_revisions(signed, direction), calendar)
+    resolved = locate(resolve_revisions(signed), calendar)
     return panel_from_resolved(resolved, calendar, direction, ids)
 
 
@@ -82,7 +82,7 @@ def build_observed_panel(records, calendar, check_days=True) -> DataFrame:
 def panel_audit(records: DataFrame, calendar: SettlementCalendar, direction="signed_net") -> DataFrame:
     """Counts of one panel build from the resolved rows alone: no dense panel is made."""
     signed = sign_volumes(records) if direction == "signed_net" else records
-    resolved = locate(resolve_revisions(signed, direction), calendar)
+    resolved = locate(resolve_revisions(signed), calendar)
     per_series = resolved.groupBy("series").agg(
         F.sum("n_rows").alias("n_in"), F.count("*").alias("n_res"), F.count("volume").alias("n_obs"),
         F.count_if(F.col("volume").isNotNull() & (F.col("flow") == "I")).alias("n_imp"),
@@ -102,7 +102,7 @@ def daily_audit(records: DataFrame, direction="signed_net") -> DataFrame:
     """Per settlement day: raw rows, resolved rows, series, imports, exports, estimates."""
     signed = sign_volumes(records) if direction == "signed_net" else records
     observed = F.col("volume").isNotNull()
-    return resolve_revisions(signed, direction).groupBy("settle_date", "series").agg(
+    return resolve_revisions(signed).groupBy("settle_date", "series").agg(
         F.sum("n_rows").alias("n_in"), F.count("*").alias("n_res"),
         F.count_if(observed & (F.col("flow") == "I")).alias("n_imp"),
         F.count_if(observed & (F.col("flow") == "E")).alias("n_exp"),

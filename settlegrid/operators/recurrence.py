@@ -80,11 +80,10 @@ def daily_features(panel: DataFrame, season: Season, rule=RecurrenceRule()) -> D
     ctx = ctx.where(F.col("date").between(F.lit(season.start).cast("date"), F.lit(season.end).cast("date")))
     focal = F.col("_own") == F.col("date")
     ctx = ctx.withColumns({"_focal": focal, "_y": F.when(focal, F.col("value"))})
-    ctx = ctx.withColumns({
+    ctx = ctx.withColumn("_ramp", (F.col("_y") - F.lag("_y").over(over_series(by))) * 2).withColumns({
         "_q": F.percentile("_y", F.array(F.lit(0.1), F.lit(0.9))).over(whole(by)),
         "_base": F.min(F.when(F.col("_focal"), F.col("pos"))).over(whole(by)),
-        "_len_day": F.count_if("_focal").over(whole(by)),
-        "_ramp": (F.col("_y") - F.lag("_y").over(over_series(by))) * 2}).withColumns({
+        "_len_day": F.count_if("_focal").over(whole(by))}).withColumns({
         "_p10": F.col("_q")[0], "_amp": F.col("_q")[1] - F.col("_q")[0]}).drop("_q")
     runs = low_runs(ctx, by, F.col("_p10"), F.col("_amp"), rule.low_fraction, int(2 * rule.following_hours))
     mine = F.col("_start") & F.col("_focal")

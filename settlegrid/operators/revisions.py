@@ -59,40 +59,34 @@ def sign_volumes(records: DataFrame) -> DataFrame:
 
 def latest_candidates(records: DataFrame, key=KEY, revision=REVISION, value="volume", flow="flow",
                       keep=("estimated",)) -> DataFrame:
-    """Newest revision of every key, with what its tied rows disagree about.
+    """Newest revision of every key, and whether its tied rows disagree.
 
     ``max`` over structs combines on the map side, so a key (or a series) that
-    holds a large share of the raw rows is reduced before the single shuffle.
+    holds a large share of the raw rows is reduced before the single shuffle. Tied
+    rows agree when the largest and the smallest signature of (value, direction)
+    at the newest revision are the same; NULL counts as a value of its own.
     """
     rev = [F.col(c) for c in revision]
-    code = (F.col(flow) == "E").cast("int") if flow else F.lit(0)
-    v = F.col(value)
-    top = F.max(F.struct(*rev, v.alias("v"), (F.col(flow) if flow else F.lit(None).cast("string")).alias("f"),
-                         *[F.col(c) for c in keep]))
-    low = F.max(F.struct(*rev, (-v).alias("v")))
-    null = F.max(F.struct(*rev, v.isNull().alias("v")))
-    fmax = F.max(F.struct(*rev, code.alias("v")))
-    fmin = F.max(F.struct(*rev, (-code).alias("v")))
-    g = records.groupBy(*key).agg(top.alias("top"), low.alias("low"), null.alias("anynull"),
-                                  fmax.alias("fmax"), fmin.alias("fmin"), F.count("*").alias("n_rows"))
-    conflict = F.coalesce(F.col("top.v") != -F.col("low.v"), F.lit(False)) | (
-        F.col("anynull.v") & F.col("top.v").isNotNull())
-    flip = F.coalesce(F.col("fmax.v") != -F.col("fmin.v"), F.lit(False))
+    direction = F.col(flow) if flow else F.lit(None).cast("string")
+    parts = [F.coalesce(F.col(value).cast("string"), F.lit("null"))] + ([F.coalesce(direction, F.lit("null"))] if flow else [])
+    signature = F.xxhash64(*parts)
+    g = records.groupBy(*key).agg(
+        F.max(F.struct(*rev, F.col(value).alias("v"), direction.alias("f"), *[F.col(c) for c in keep])).alias("top"),
+        F.max(F.struct(*rev, signature.alias("s"))).alias("hi"),
+        F.max(F.struct(*rev, F.bitwise_not(signature).alias("s"))).alias("lo"), F.count("*").alias("n_rows"))
     return g.select(*key, *[F.col(f"top.{c}").alias(c) for c in revision], F.col("top.v").alias(value),
                     F.col("top.f").alias("flow"), *[F.col(f"top.{c}").alias(c) for c in keep], "n_rows",
-                    conflict.alias("volume_conflict"), flip.alias("flow_conflict"))
+                    (F.col("hi.s") != F.bitwise_not("lo.s")).alias("conflict"))
 
 
-def resolve_revisions(records: DataFrame, direction="signed_net", **options) -> DataFrame:
+def resolve_revisions(records: DataFrame, **options) -> DataFrame:
     """One row per key at its newest revision; a contradiction at that revision is an error."""
-    c = latest_candidates(records, **options)
     value = options.get("value", "volume")
-    checked = guard(F.col(value), F.col("volume_conflict"), "Conflicting volumes at the latest revision", "double")
-    if direction == "signed_net":
-        checked = guard(checked, F.col("flow_conflict"), "Conflicting directions at the latest revision", "double")
-    return c.withColumn(value, checked).drop("volume_conflict", "flow_conflict")
+    c = latest_candidates(records, **options)
+    return c.withColumn(value, guard(F.col(value), F.col("conflict"),
+                                     "Conflicting volumes or directions at the latest revision", "double")).drop("conflict")
 
 
 def conflicting_keys(records: DataFrame, **options) -> DataFrame:
     """Keys whose newest revision carries several volumes or directions."""
-    return latest_candidates(records, **options).where(F.col("volume_conflict") | F.col("flow_conflict"))
+    return latest_candidates(records, **options).where("conflict")
