@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .clock import as_col
 
-BUCKETS = 64
+BUCKETS = 128
 _GRID = [i / BUCKETS for i in range(1, BUCKETS)]
 
 

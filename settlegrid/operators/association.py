@@ -4,8 +4,6 @@ A ``study`` table has (series, ts, demand, temperature_c). Per-series groups are
 bounded by the calendar; anything pooled over series goes through exact
 distributed ranks and quantiles.
 """
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -286,7 +284,7 @@ def spline_curves(sample_z: DataFrame, alpha=1.0, points=150) -> DataFrame:
         solved.append((r["scope"], r["slice"], r["lo"], r["hi"], r["q01"], r["q99"], r["n_sample"], r["n_series"],
                        float(r["sy"] / r["sw"] - mean @ coef), [float(c) for c in coef]))
     if not solved:
-        raise ContractError("Insufficient temperature support for a spline")
+        raise ContractError("Too few temperatures for a spline")
     models = sample_z.sparkSession.createDataFrame(
         solved, "scope string, slice string, lo double, hi double, q01 double, q99 double, n_sample long, n_series long, "
                 "intercept double, coef array<double>")
@@ -323,7 +321,7 @@ def season_derangement(origins: DataFrame, repeats: int, seed=7) -> DataFrame:
     group = Window.partitionBy("repeat", "season")
     out = rows.withColumns({"_prev": F.lag("origin_pos").over(w), "_n": F.count("*").over(group),
                             "_last": F.max_by("origin_pos", F.struct("_h", "origin_pos")).over(group)})
-    alone = F.raise_error(F.lit("Permutation needs at least two origins per season")).cast("int")
+    alone = F.raise_error(F.lit("A season has fewer than two origins to swap")).cast("int")
     return out.select("repeat", "season", "origin_pos",
                       F.when(F.col("_n") < 2, alone).otherwise(F.coalesce("_prev", "_last")).alias("donor_origin_pos"))
 

@@ -23,9 +23,9 @@ class FillPolicy:
 
     def __post_init__(self):
         if self.method not in ("hybrid", "none"):
-            raise ContractError("method must be hybrid or none")
+            raise ContractError("Unknown fill method: use hybrid or none")
         if not 0 <= self.max_missing_fraction < 1:
-            raise ContractError("max_missing_fraction must be in [0,1)")
+            raise ContractError("max_missing_fraction lies in [0, 1)")
         for name in ("max_gap", "linear_max_gap", "min_donor_days"):
             positive_int(getattr(self, name), name)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checks import ContractError

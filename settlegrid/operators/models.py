@@ -237,7 +237,7 @@ def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=Fal
     data gives NULL with a reason; nothing is interpolated. Forecasts scale with the input.
     """
     if damped and not trend:
-        raise ContractError("Damping requires a trend")
+        raise ContractError("Only a trend can be damped")
     positions, minimum = list(origins), max(min_observations, 2 * season)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,8 +1,8 @@
 """Dense panel building, provenance and audits."""
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..checks import ContractError, guard, require_empty
-from ..functions.clock import SettlementCalendar, local, local_date
+from ..checks import guard, require_empty
+from ..functions.clock import SettlementCalendar, local
 from ..functions.windows import over_series, whole
 from .revisions import resolve_revisions, sign_volumes
 
@@ -75,7 +75,7 @@ def panel_from_resolved(located, calendar, direction="signed_net", ids=None):
 def build_observed_panel(records, calendar, check_days=True) -> DataFrame:
     """Multi-year build in one job: no per-day staging, revisions resolved per key."""
     if check_days:
-        require_empty(missing_days(records, calendar), "No source observations for settlement day")
+        require_empty(missing_days(records, calendar), "No records at all for settlement day")
     return build_panel(records, calendar, "signed_net")
 
 

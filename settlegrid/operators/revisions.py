@@ -34,11 +34,11 @@ def parse_records(raw: DataFrame) -> DataFrame:
     broken = lambda *names: F.coalesce(reduce(or_, [rules[n] for n in names]), F.lit(False))
     keep = [c for c in ("source",) if c in raw.columns]
     return raw.select(
-        guard(F.col("series"), broken("missing_series"), "Missing series id", "string").alias("series"),
-        guard(_yyyymmdd("settle_date"), broken("missing_date", "bad_date"), "Invalid settlement date",
+        guard(F.col("series"), broken("missing_series"), "Record without a series id", "string").alias("series"),
+        guard(_yyyymmdd("settle_date"), broken("missing_date", "bad_date"), "Unreadable settlement date",
               "date").alias("settle_date"),
         guard(F.col("period").try_cast("double").cast("int"), broken("bad_period"),
-              "Settlement periods must be finite integers", "int").alias("period"),
+              "Settlement period is not a whole number", "int").alias("period"),
         guard(F.col("volume").try_cast("double"), broken("bad_volume"), "Non-finite volume",
               "double").alias("volume"),
         "flow",
@@ -84,7 +84,7 @@ def resolve_revisions(records: DataFrame, **options) -> DataFrame:
     value = options.get("value", "volume")
     c = latest_candidates(records, **options)
     return c.withColumn(value, guard(F.col(value), F.col("conflict"),
-                                     "Conflicting volumes or directions at the latest revision", "double")).drop("conflict")
+                                     "Conflicting volume or direction among rows of the newest revision", "double")).drop("conflict")
 
 
 def conflicting_keys(records: DataFrame, **options) -> DataFrame:

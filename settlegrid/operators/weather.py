@@ -5,8 +5,6 @@ y = R * sin(lat). Grid cells stay rectangles there, so the cells a region can
 touch follow from arithmetic and the range join becomes an equi-join on cell
 indexes.
 """
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from ..operators import association as A, forecast as W
 from ..session import durable
-from .forecast_queries import PLAN, covariate, features
-from .inputs import CALENDAR, panel, registrar, sql, table
+from .forecast_queries import CASES, COVARIATE, PLAN, covariate, features
+from .inputs import CALENDAR, registrar, sql, table
 
 Q, SQL, query = registrar()
 YEAR = 1995
@@ -235,8 +235,6 @@ def detail(spark, sf):
     return A.permutation_detail(scored_rows(spark, sf), donors(spark, sf), respond)
 
 
-from .forecast_queries import CASES, COVARIATE  # noqa: E402
-
 PERMUTE = CASES + COVARIATE + """,
 oo AS (SELECT o, r.repeat, md5(concat_ws('|', 7, r.repeat, o)) AS h FROM origins, (SELECT unnest([0,1,2]) AS repeat) r),
 dn AS (SELECT repeat, o, coalesce(lag(o) OVER w, last_value(o) OVER (PARTITION BY repeat ORDER BY h, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS d FROM oo WINDOW w AS (PARTITION BY repeat ORDER BY h, o)),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X, gaps as G
 from ..session import durable
-from .gap_queries import POLICY, QUALITY, filled
+from .gap_queries import QUALITY, filled
 from .inputs import PANEL, ZPANEL, panel, records, registrar, sql, table, zero_panel
 
 Q, SQL, query = registrar()

@@ -1,7 +1,7 @@
 """Fold, feature, baseline and case queries."""
 from pyspark.sql import functions as F
 
-from ..operators import forecast as W, scoring as S
+from ..operators import forecast as W
 from .inputs import CALENDAR, N, PANEL, events, panel, registrar, sql
 
 Q, SQL, query = registrar()

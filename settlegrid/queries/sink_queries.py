@@ -6,7 +6,7 @@ from ..session import scratch
 from ..sources import panels as S, records as SR
 from .forecast_queries import CASES, cases
 from .gap_queries import POLICY, QUALITY
-from .inputs import CALENDAR, PANEL, RECORDS, panel, records, registrar, sql
+from .inputs import CALENDAR, PANEL, panel, registrar, sql
 from .panel_queries import raw_text
 from .weather_queries import HALF, grid, weights
 

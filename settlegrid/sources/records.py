@@ -50,7 +50,7 @@ def by_settlement_date(records: DataFrame, start: str, end: str) -> DataFrame:
 
 def by_direction(records: DataFrame, direction: str) -> DataFrame:
     if direction not in DIRECTIONS:
-        raise ContractError("direction must be I, E or signed_net")
+        raise ContractError("Unknown direction: use I, E or signed_net")
     return records if direction == "signed_net" else records.where(F.col("flow") == direction)
 
 
