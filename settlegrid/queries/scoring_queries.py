@@ -194,7 +194,7 @@ def contribution_changes(spark, sf):
     return changes(spark, sf).select("horizon", "series", "n_base", F.round("delta_contribution", 6).alias("delta_contribution"))
 
 
-@query("leave_one_out_mase", sql(CHANGES, """, top AS (SELECT horizon, arg_max(series, d) AS excluded_series FROM ch GROUP BY 1)
+@query("leave_one_out_mase", sql(CHANGES, """, top AS (SELECT horizon, first(series ORDER BY d DESC, series) AS excluded_series FROM ch GROUP BY 1)
 SELECT CAST(horizon AS INTEGER) AS horizon, excluded_series, CAST(sum(n) AS BIGINT) AS n_mase, round(sum(mb*n)/sum(n),6) AS mase_base, round(sum(mc*n)/sum(n),6) AS mase_candidate
 FROM ch JOIN top USING (horizon) WHERE series <> excluded_series GROUP BY 1, 2"""))
 def leave_one_out(spark, sf):
