@@ -76,8 +76,10 @@ def _template_score(words: Column, key: str, template: str, anchors, agree: int)
     wanted = _literal([w for w, _ in anchors])
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(w.alias("w"), i.alias("i")))),
                     lambda h: h.isNotNull())
-    offsets = F.flatten(F.array(*[
-        F.transform(F.filter(hits, lambda h, w=w: h["w"] == w), lambda h, p=p: h["i"] - p) for w, at in anchors for p in at]))
+
+    def starts(word, position):
+        return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - position)
+    offsets = F.flatten(F.array(*[starts(w, p) for w, at in anchors for p in at]))
     agreed = F.filter(F.array_distinct(offsets), lambda o: F.size(F.filter(offsets, lambda p: p == o)) >= agree)
     agreed = F.filter(agreed, lambda o: (o + key_at >= 0) & (F.slice(words, F.greatest(o + key_at, F.lit(0)) + 1, len(key_words)) == _literal(key_words)))
 

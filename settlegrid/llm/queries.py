@@ -58,15 +58,15 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 @_query("op7_decontamination", rf"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
  WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
  FROM bw, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM dw, sizes,
+runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM dw, sizes,
  LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
-hit AS (SELECT doc_id, i, n, item_id FROM at JOIN win USING (n, k)),
+hit AS (SELECT doc_id, i, n, item_id FROM runs JOIN win USING (n, k)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
  FROM hit GROUP BY doc_id)

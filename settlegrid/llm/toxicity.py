@@ -123,8 +123,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
         return ToxicityModel(None, None, None, float(share or 0.0))
     lexicon = learn_lexicon(rows.where(F.col("_fold").isin(1, 2)))
     described = stored(featurise(rows.where(F.col("_fold").isin(3, 4)), lexicon).drop("text").coalesce(2))
-    trees = GBTClassifier(featuresCol="_x", labelCol="toxic", maxIter=15, maxDepth=3, stepSize=0.3, seed=7, predictionCol="_predicted",
-                          probabilityCol="_probability", rawPredictionCol="_raw").fit(described.where("_fold = 3"))
+    trees = GBTClassifier(featuresCol="_x", labelCol="toxic", maxIter=15, maxDepth=3, stepSize=0.3, seed=7, predictionCol="_predicted")
+    trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(described.where("_fold = 3"))
     model = ToxicityModel(lexicon, trees, None, float(share))
     if {(4, 0), (4, 1)} <= kinds:
         raw = model._raw(described.where("_fold = 4")).select(F.col("_p").alias("_feature"), F.col("toxic").cast("double").alias("toxic"))
