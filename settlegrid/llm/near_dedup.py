@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import connected_components, partitions, stored
 
 WORDS = 5
-SKETCH = 64
+SKETCH = 128
 LISTED = 32
+LISTS = 14
 SHARE = 75
-HUBS = 2
-ORDERS = 4
+HUBS = 3
+ORDERS = 3
 LIST_BLOCK = 1_024
-SETS = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
+SIGMAS = 6
+SETS = "doc_id long, n_shingles long, set_key binary, listed array<long>, sketch binary"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,14 +56,16 @@ def spare_values(size: int, exact: bool, share: float = SHARE / 100, risk: float
 def _sets(words, sketch):
     def run(batches):
         for batch in batches:
-            n, keys, sketches = [], [], []
+            n, keys, listed, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sketches.append(s[:sketch].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                                              pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sketch"])
+                listed.append(s[:LISTED].view(np.int64))
+                sketches.append(s[:sketch].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(listed, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "listed", "sketch"])
     return run
 
 
@@ -71,33 +75,36 @@ def shingle_table(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH, id_
     return rows.mapInArrow(_sets(words, sketch), SETS)
 
 
-def inverted_lists(classes: DataFrame, listed: int = LISTED, share: int = SHARE) -> DataFrame:
-    """(v, rep, n): the listed values of each class that others have too, less those that it can spare.
+def inverted_lists(classes: DataFrame, share: int = SHARE) -> DataFrame:
+    """(v, rep, n, weight): the listed values of each class that others have too, less those that it can spare.
 
     Values are ordered by how many classes list them. A class leaves out its most frequent ones (:func:`spare_values`), so
-    a passage that many texts share makes no list unless it is a large part of a text.
+    a passage that many texts share makes no list unless it is a large part of a text; of the others the ``LISTS``
+    smallest are kept, of which two similar sets share none with a probability of 0.25 ** LISTS. ``weight`` adds up the
+    counts: it is largest for the text that most others were made from.
     """
-    exact = listed * share // 100
-    spare = F.coalesce(F.element_at(F.array(*[F.lit(spare_values(k, k <= exact, share / 100)) for k in range(1, listed + 1)]), F.least(
-        F.col("n"), F.lit(listed)).cast("int")), F.lit(0))
-    index = stored(classes.select("rep", "n", F.explode(F.slice("sketch", 1, listed)).alias("v")))
+    exact = LISTED * share // 100
+    spare = F.element_at(F.array(*[F.lit(spare_values(k, k <= exact, share / 100)) for k in range(1, LISTED + 1)]),
+                         F.least(F.col("n"), F.lit(LISTED)).cast("int"))
+    index = stored(classes.select("rep", "n", F.explode("listed").alias("v")))
     counts = index.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    common = index.join(counts, "v")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("df").desc(), "v"))  # at most ``listed`` rows a class
-    return stored(common.withColumn("rank", rank).where(F.col("rank") > spare).select("v", "rep", "n"))
+    own = Window.partitionBy("rep")  # at most LISTED rows a class
+    common = index.join(counts, "v").withColumn("rank", F.row_number().over(own.orderBy(F.col("df").desc(), "v")))
+    common = common.where(F.col("rank") > spare).withColumns({"place": F.row_number().over(own.orderBy("v")), "weight": F.sum("df").over(own)})
+    return stored(common.where(F.col("place") <= LISTS).select("v", "rep", "n", "weight"))
 
 
 def hub_pairs(lists: DataFrame, share: int = SHARE, orders: int = ORDERS, hubs: int = HUBS) -> DataFrame:
     """(a, b): each class with the ``hubs`` classes it meets most often as hub of a list.
 
-    A hub is the first class of a list in one of ``orders`` orders of all classes; it is found by aggregation, and a list
-    yields as many rows as it has members. Lists of thousands of copies are joined up by their hubs.
+    The hubs of a list are its class of largest weight and its first ones in ``orders`` hash orders of all classes; they
+    are found by aggregation, and a list yields a few rows per member. Lists of thousands of copies are joined by their hubs.
     """
-    names = [F.min(F.struct(F.xxhash64("rep", F.lit(o)), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{o}")
-             for o in range(orders)]
-    heads = lists.groupBy("v").agg(*names).select("v", F.array_distinct(F.array(
-        *[F.struct(F.col(f"h{o}.hub").alias("hub"), F.col(f"h{o}.hub_n").alias("hub_n")) for o in range(orders)])).alias("heads"))
-    met = lists.join(heads, "v").select("rep", "n", F.explode("heads").alias("h"))
+    def head(order):
+        return F.min(F.struct(order, F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
+    heads = lists.groupBy("v").agg(head(-F.col("weight")).alias("h"), *[head(F.xxhash64("rep", F.lit(o))).alias(f"h{o}") for o in range(orders)])
+    each = [F.struct(F.col(f"{h}.hub").alias("hub"), F.col(f"{h}.hub_n").alias("hub_n")) for h in ["h"] + [f"h{o}" for o in range(orders)]]
+    met = lists.join(heads.select("v", F.array_distinct(F.array(*each)).alias("heads")), "v").select("rep", "n", F.explode("heads").alias("h"))
     alike = (F.least("n", "h.hub_n") * 100 >= F.greatest("n", "h.hub_n") * share) & (F.col("h.hub") != F.col("rep"))
     met = met.where(alike).groupBy("rep", F.col("h.hub").alias("hub")).agg(F.count("*").alias("shared"))
     order = Window.partitionBy("rep").orderBy(F.col("shared").desc(), "hub")
@@ -127,80 +134,132 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, share: int
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, share), "a long, b long"))
 
 
-def _compare(share, sketch):
-    """Task over one block of a list, or two blocks against each other: pairs of different components whose union sketch
-    does not rule the similarity out."""
-    def floor(k, whole):
-        return share / 100 - (0 if whole else 6 * math.sqrt(share / 100 * (1 - share / 100) / k))
-
-    def run(key, table):
-        v, i, j = (k.as_py() for k in key)
-        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        comp, part = table.column("component").to_numpy(), table.column("part").to_numpy()
-        sketches = [np.asarray(s, np.int64).view(np.uint64) for s in table.column("sketch").to_pylist()]
-        mine = [set(s) for s in table.column("own").to_pylist()]
-        size = np.array([len(s) for s in sketches])
-        bounds = np.r_[0, np.cumsum(size)][:-1]
-        _, ids = np.unique(np.concatenate(sketches), return_inverse=True)
-        mark = np.zeros(ids.max() + 1, np.int32)
-        kinds, of, held = np.unique(comp, return_inverse=True, return_counts=True)
-        largest = held.argmax()
-        done, out = np.zeros(len(rep), bool), []
-        for u in np.flatnonzero(of != largest):
-            done[u] = True
-            mark[ids[bounds[u]:bounds[u] + size[u]]] = 1
-            shared = np.add.reduceat(mark[ids], bounds)
-            mark[ids[bounds[u]:bounds[u] + size[u]]] = 0
-            near = (of != of[u]) & ~done & (np.minimum(n, n[u]) * 100 >= np.maximum(n, n[u]) * share)
-            near &= shared >= np.ceil(max(floor(sketch, False), 0.05) * np.minimum(size, size[u]))
-            if i != j:
-                near &= part != part[u]
+def _likeness(u, size, n, top, ids, bounds, mark, grid, sketches, sketch, share):
+    """Union-sketch estimates of member ``u`` against all members of a group, and the least ones that do not rule out the
+    similarity: ``SIGMAS`` deviations of a sample without return below it, none where both sketches hold the whole sets."""
+    mine = ids[bounds[u]:bounds[u] + size[u]]
+    mark[mine] = 1
+    shared = np.add.reduceat(mark[ids], bounds)
+    mark[mine] = 0
+    union = np.searchsorted(sketches[u], top, "right") + np.minimum((grid <= top[u]).sum(1), size) - shared
+    all_ = np.maximum((n[u] + n) / (1 + share / 100), union)
+    spread = share / 100 * (1 - share / 100) / union * np.maximum(all_ - union, 0) / np.maximum(all_ - 1, 1)
+    whole = (n <= sketch) & (n[u] <= sketch)
+    return shared / union, share / 100 - np.where(whole, 1e-9, SIGMAS * np.sqrt(spread))
+
+
+def _group_pairs(group, share, sketch, best):
+    """Pairs of one block of a list, or of two blocks, in different components. ``best``: only each member's best one."""
+    rep, n, comp, part = (group[c] for c in ("rep", "n", "component", "part"))
+    kinds, of, held = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(kinds) == 1:
+        return
+    sketches = [np.frombuffer(s, np.uint64) for s in group["sketch"]]
+    size = np.array([len(s) for s in sketches])
+    bounds = np.cumsum(size) - size
+    flat = np.concatenate(sketches)
+    values, ids = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    top = np.where(n > sketch, flat[bounds + size - 1], np.uint64(2 ** 64 - 1))
+    grid = np.full((len(rep), size.max()), np.uint64(2 ** 64 - 1))
+    grid[np.arange(size.max()) < size[:, None]] = flat
+    done = np.zeros(len(rep), bool)
+    for u in np.flatnonzero(of != held.argmax()):
+        done[u] = True
+        near = (of != of[u]) & (np.minimum(n, n[u]) * 100 >= np.maximum(n, n[u]) * share)
+        if not best:
+            near &= ~done
+        if group["i"] != group["j"]:
+            near &= part != part[u]
+        if not near.any():
+            continue
+        like, least = _likeness(u, size, n, top, ids, bounds, mark, grid, sketches, sketch, share)
+        near &= like >= least
+        if not near.any():
+            continue
+        if best:
+            w = int(np.where(near, like, -1).argmax())
+            yield int(rep[u]), int(rep[w]), float(like[w])
+        else:
+            own = set(group["own"][u])
             for w in np.flatnonzero(near):
-                whole = n[u] <= sketch and n[w] <= sketch
-                union = np.union1d(sketches[u], sketches[w])
-                union = union if whole else union[:min(sketch, len(union))]
-                k = len(union)
-                both = len(np.intersect1d(np.intersect1d(union, sketches[u], True), sketches[w], True))
-                if both >= floor(k, whole) * k - 1e-9 and min(mine[u] & mine[w]) == v:
-                    out.append((min(rep[u], rep[w]), max(rep[u], rep[w])))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+                if min(own.intersection(group["own"][w])) == group["v"]:
+                    yield int(rep[u]), int(rep[w]), float(like[w])
+
+
+def _compare(share, sketch, best):
+    """Task over rows in the order of their groups; a group is a block of a list, so what it holds is bounded."""
+    def flush(table):
+        v, i, j = (table.column(c).to_numpy() for c in ("v", "i", "j"))
+        starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        cols = {c: table.column(c).to_numpy() for c in ("rep", "n", "component", "part")}
+        cols |= {c: table.column(c).to_pylist() for c in ("own", "sketch")}
+        out = []
+        for a, b in zip(starts, np.r_[starts[1:], len(v)]):
+            out.extend(_group_pairs({c: x[a:b] for c, x in cols.items()} | {"v": v[a], "i": i[a], "j": j[a]}, share, sketch, best))
+        a, b, like = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "like"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            v, i, j = (table.column(c).to_numpy() for c in ("v", "i", "j"))
+            last = np.flatnonzero((v != v[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield flush(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield flush(held)
     return run
 
 
-def cross_pairs(lists: DataFrame, classes: DataFrame, parts: DataFrame, share: int = SHARE, sketch: int = SKETCH,
+def cross_pairs(lists: DataFrame, classes: DataFrame, parts: DataFrame, best: bool, share: int = SHARE, sketch: int = SKETCH,
                 block: int = LIST_BLOCK) -> DataFrame:
-    """(a, b): pairs in one list that are not in one component yet and may be similar, each from its smallest shared value.
+    """(a, b): pairs in one list that are not in one component yet and may be similar.
 
     Lists whose classes are all joined up are left out. The others are compared in blocks of about ``block`` classes,
-    each block with each, so a list of any length is done in full by tasks of bounded size; in a task only members outside
-    its largest component are held against the rest.
+    each block with each, so a list of any length is done in full by tasks of bounded size; only members outside a
+    group's largest component are held against the rest. With ``best``, each class comes with its best partner only, as
+    most components are joined by these; else with all, each pair from the smallest value that both list.
     """
+    spark = lists.sparkSession
     known = lists.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.withColumn("component", F.coalesce("component", "rep"))
     state = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     open_ = stored(known.join(state.where("lo <> hi"), "v").select("v", "rep", "n", "component", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    own = open_.groupBy("rep").agg(F.collect_set("v").alias("own"))  # at most LISTED values
+    own = open_.groupBy("rep").agg(F.collect_set("v").alias("own"))  # at most LISTS values
     rows = open_.join(own, "rep").join(classes.select("rep", "sketch"), "rep")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("part", o).alias("i"), F.greatest("part", o).alias("j"))))
     rows = rows.withColumn("p", pair).select("v", "p.i", "p.j", "rep", "n", "component", "part", "own", "sketch")
-    found = rows.groupBy("v", "i", "j").applyInArrow(_compare(share, sketch), "a long, b long")
-    return stored(found.distinct())
+    rows = rows.repartition(partitions(spark, open_.count(), 20_000), "v", "i", "j").sortWithinPartitions("v", "i", "j")
+    found = rows.mapInArrow(_compare(share, sketch, best), "a long, b long, like double")
+    if best:
+        order = Window.partitionBy("a").orderBy(F.col("like").desc(), "b")
+        found = stored(found).withColumn("k", F.row_number().over(order)).where("k = 1")
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Rows with equal shingle sets are one class from the start, however many. Classes are linked in two steps: each with its
-    best hubs, then whatever pairs of the inverted lists are still in different components; every link is confirmed on
-    the full sets of whole texts, and a link between differing texts is missed with a probability under 1e-7. Null and
+    Rows with equal shingle sets are one class from the start, however many. Classes are linked step by step: each with its
+    best hubs, twice each with its best partner in another component, and at last all pairs of the inverted lists that
+    are still in different components. Every link is confirmed on the full sets of whole texts, and a link that would join
+    two components is missed with a probability under 1e-7. Null and
     empty texts have no shingles and are linked with nothing, rows without an id neither: they are their own component
     (null id: null) and kept. Repeated rows share a component. Empty input gives an empty result.
     """
     table = stored(shingle_table(docs, words, id_col=id_col, text_col=text_col))
     full = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("listed").alias("listed"),
+                                          F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     lists = inverted_lists(classes, share=share)
 
@@ -208,9 +267,10 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
         texts = class_texts(docs, classes, pairs, words, id_col, text_col)
         return verified(pairs, texts, words, share)
     links = confirm(stored(hub_pairs(lists, share)))
+    for best in (True, True, False):
+        parts = connected_components(links)
+        links = stored(links.unionByName(confirm(cross_pairs(lists, classes, parts, best, share))))
     parts = connected_components(links)
-    more = confirm(cross_pairs(lists, classes, parts, share))
-    parts = connected_components(links.unionByName(more))
     placed = classes.select("set_key", "least_id", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
