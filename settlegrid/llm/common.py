@@ -18,6 +18,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """The rows of Arrow batches a few at a time, so that only so many texts are Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, stored
+from .common import partitions, slices, stored
 
 BLANK = " \t\n\x0b\x0c\r"
 LINES = "hi long, lo long, doc_id long, version long, pos array<int>"
@@ -22,7 +22,7 @@ def key_of(line: str) -> str:
 
 def _hash_lines(shortest: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out, where = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc is None or not text:
@@ -104,10 +104,10 @@ def dropped_lines(docs: DataFrame, shortest: int = 40, least: int = 5, id_col: s
     down = F.col("doc_id").desc()
     ordered = lines.repartitionByRange(tasks, "hi", "lo", down).sortWithinPartitions("hi", "lo", down, "version")
     marks = stored(ordered.mapInArrow(_stream(least), MARKS))
-    # at most two totals per task; the range keys end at the id, so no document of a hash is shared by two tasks
+    # at most two totals per task bound what is broadcast; the range keys end at the id, so no document of a hash is shared by two tasks
     totals = marks.where(F.col("kind") == TOTAL).groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("top"))
     undecided = marks.where(F.col("kind") == OPEN).select("hi", "lo", "doc_id", "version", "pos")
-    late = undecided.join(totals, ["hi", "lo"]).where((F.col("docs") >= least) & (F.col("doc_id") < F.col("top")))
+    late = undecided.join(F.broadcast(totals), ["hi", "lo"]).where((F.col("docs") >= least) & (F.col("doc_id") < F.col("top")))
     return (marks.where(F.col("kind") == DROP).select("doc_id", "version", "pos")
             .unionByName(late.select("doc_id", "version", "pos")))
 
@@ -134,7 +134,7 @@ def keep_bitmaps(docs: DataFrame, shortest: int = 40, least: int = 5, **columns)
 
 def _cut(with_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lines, lost, sums, texts = [], [], [], []
             for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
                 parts = (text or "").split("\n")
@@ -172,7 +172,7 @@ def line_dedup(docs: DataFrame, shortest: int = 40, least: int = 5, with_text: b
 
 def _pick(batches):
     """Choose the bitmap that belongs to the row's own text."""
-    for batch in batches:
+    for batch in slices(batches):
         found = []
         for text, maps in zip(batch.column("text").to_pylist(), batch.column("maps").to_pylist()):
             one = None

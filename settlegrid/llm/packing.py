@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, stored
+from .common import partitions, slices, stored
 
 LIMIT = 2048
 END = 0
@@ -51,7 +51,7 @@ def cuts(total: int, limit: int = LIMIT):
 def _tokenise(path, limit, with_ids):
     def run(batches):
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             out, doc_ids = [], batch.column(0).to_pylist()
             for doc, text in zip(doc_ids, batch.column(1).to_pylist()):
                 ids = np.array(encode(text or "") + [END], "<u4")

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold, stored
+from .common import fold, slices, stored
 
 SAMPLE = 12_000
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -71,7 +71,7 @@ def describe(text, words_known=frozenset(), stems=frozenset(), seeds=frozenset(S
 
 def _describer(words, stems):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [describe(t, words, stems) for t in batch.column("_text").to_pylist()]
             flat = pa.array(np.array(rows, np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, len(FEATURES)), pa.int32()), flat)
