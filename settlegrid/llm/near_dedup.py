@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import connected_components, partitions, stored
+from .common import connected_components, partitions, slices, stored
 
 WORDS = 5
 SKETCH = 128
@@ -55,7 +55,7 @@ def spare_values(size: int, exact: bool, share: float = SHARE / 100, risk: float
 
 def _sets(words, sketch):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, listed, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
@@ -129,6 +129,8 @@ def _verify(words, share):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity. ``texts`` is one text per class (rep, text)."""
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep")
+    texts = stored(texts.join(named, "rep"))
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, share), "a long, b long"))
@@ -250,8 +252,8 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Rows with equal shingle sets are one class from the start, however many. Classes are linked step by step: each with its
-    best hubs, twice each with its best partner in another component, and at last all pairs of the inverted lists that
-    are still in different components. Every link is confirmed on the full sets of whole texts, and a link that would join
+    best hubs, each with its best partner in another component, and at last all pairs of the inverted lists that are still in
+    different components. Every link is confirmed on the full sets of whole texts, and a link that would join
     two components is missed with a probability under 1e-7. Null and
     empty texts have no shingles and are linked with nothing, rows without an id neither: they are their own component
     (null id: null) and kept. Repeated rows share a component. Empty input gives an empty result.
@@ -263,13 +265,12 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     lists = inverted_lists(classes, share=share)
 
-    def confirm(pairs):
-        texts = class_texts(docs, classes, pairs, words, id_col, text_col)
-        return verified(pairs, texts, words, share)
-    links = confirm(stored(hub_pairs(lists, share)))
-    for best in (True, True, False):
+    listed = stored(classes.select("rep", "least_id", "set_key", "sketch").join(lists.select("rep").distinct(), "rep"))
+    texts = stored(class_texts(docs, listed, words, id_col, text_col))
+    links = verified(stored(hub_pairs(lists, share)), texts, words, share)
+    for best in (True, False):
         parts = connected_components(links)
-        links = stored(links.unionByName(confirm(cross_pairs(lists, classes, parts, best, share))))
+        links = stored(links.unionByName(verified(cross_pairs(lists, listed, parts, best, share), texts, words, share)))
     parts = connected_components(links)
     placed = classes.select("set_key", "least_id", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
@@ -282,20 +283,19 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
                       (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int = WORDS, id_col="doc_id",
-                text_col="text") -> DataFrame:
-    """(rep, text): one text for each class that ``pairs`` name, found by the class's smallest id and its set."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep")
-    named = stored(classes.select("rep", F.col("least_id").alias("id"), F.col("set_key").alias("want")).join(wanted, "rep"))
+def class_texts(docs: DataFrame, classes: DataFrame, words: int = WORDS, id_col="doc_id", text_col="text") -> DataFrame:
+    """(rep, text): one text for each class, found by the class's smallest id and its set."""
+    named = classes.select("rep", F.col("least_id").alias("id"), F.col("set_key").alias("want"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.join(named, "id").select("rep", "want", "text").mapInArrow(_same_set(words), "rep long, text string")
-    return stored(found.groupBy("rep").agg(F.first("text").alias("text")))
+    # repeated rows meet in the join's own partitions
+    found = rows.join(named, "id").select("id", "rep", "want", "text").distinct()
+    return found.mapInArrow(_same_set(words), "rep long, text string")
 
 
 def _same_set(words):
     """Task: leaves out texts that merely stand under the same id."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = [hashlib.blake2b(shingle_set(t, words).tobytes(), digest_size=16).digest() for t in batch.column("text").to_pylist()]
             same = [k == w for k, w in zip(keys, batch.column("want").to_pylist())]
             yield batch.select(["rep", "text"]).filter(pa.array(same, pa.bool_()))
