@@ -116,17 +116,18 @@ def scan_documents(docs: DataFrame, bench: DataFrame, width: int = WINDOW, text_
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     if len(blocks) == 1:
         return one(rows, blocks[0], kinds)
-    found = None
+    # rows under one id are told apart by their texts; equal rows have equal hits
+    rows, kinds, found = rows.withColumn("_v", F.xxhash64("_text")), f"{kinds}, _v bigint", None
     for block in blocks:
         hits = one(rows, block, kinds)
         found = hits if found is None else found.unionByName(hits)
-    merged = found.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.count("*").alias("_rows"),
-                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                                      F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return _joined(merged, docs, keep, text_col, len(blocks))
+    merged = found.groupBy(*keep, "_v").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return _joined(merged, rows, keep)
 
 
-def _joined(merged, docs, keep, text_col, blocks):
+def _joined(merged, texts, keep):
     """Spans of several blocks over one text overlap: count the words under their union."""
     def count(batches):
         for batch in batches:
@@ -136,14 +137,9 @@ def _joined(merged, docs, keep, text_col, blocks):
                 for s in spans:
                     marked[s["start"]:s["stop"]] = True
                 hit.append(sum(1 for m in WORD.finditer(text or "") if marked[m.start()]) if spans else 0)
-            cols = [n for n in batch.schema.names if n not in ("_text", "_rows")]
+            cols = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in cols] + [pa.array(hit, pa.int64())], cols + ["n_hit"])
-    texts = docs.select(*keep, F.col(text_col).alias("_text"))
-    on = [texts[k].eqNullSafe(merged[k]) for k in keep]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    both = texts.join(merged, cond).select(*[texts[k] for k in keep], "_text", "n_words", "items", "spans")
+    both = texts.join(merged, [texts[k].eqNullSafe(merged[k]) for k in (*keep, "_v")]).select(*[texts[k] for k in keep], "_text", "n_words", "items", "spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.drop("_text").schema)
     return both.mapInArrow(count, f"{kinds}, n_hit long")
 
