@@ -7,10 +7,10 @@ come from a sketch, but every rank is exact whatever the cut points are.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import durable
 from .clock import as_col
 
-BUCKETS = 128
-_GRID = [i / BUCKETS for i in range(1, BUCKETS)]
+LEAST_BUCKETS = 128
 
 
 def pearson(x, y) -> Column:
@@ -31,7 +31,9 @@ def window_average_rank(value, by) -> Column:
 
 
 def _cut_points(df, by, value):
-    cuts = F.percentile_approx(as_col(value), _GRID, 2000)
+    """Cut points for four buckets per shuffle task, so that buckets do not grow with data that more tasks share."""
+    buckets = max(LEAST_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = F.percentile_approx(as_col(value), [i / buckets for i in range(1, buckets)], 20 * buckets)
     return df.groupBy(*by).agg(F.array_distinct(cuts).alias("_cuts"))
 
 
@@ -50,7 +52,7 @@ def value_counts(df: DataFrame, by, value: str) -> DataFrame:
     counts = known.groupBy(*by, value).agg(F.count("*").alias("n"))
     bucketed = _with_bucket(counts, _cut_points(counts, by, value), by, value)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_t"))
-    # At most 2 * BUCKETS + 1 rows per group reach this window.
+    # At most two rows per cut point and group reach this window.
     seq = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     totals = totals.withColumns({
         "_before": F.coalesce(F.sum("_t").over(seq.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -92,31 +94,16 @@ def exact_quantiles(df: DataFrame, by, value: str, probabilities: dict) -> DataF
     return counts.groupBy(*by).agg(*picks)
 
 
-def _prefix_code(column) -> Column:
-    """First six bytes of a text id as a number with the same order."""
-    return F.conv(F.hex(F.substring(F.rpad(as_col(column), 6, "\u0000"), 1, 6)), 16, 10).cast("double")
-
-
 def ordered_positions(df: DataFrame, value: str, key: str, out="position") -> DataFrame:
     """0-based position in the total order (value, key) over the whole table, plus ``size``.
 
-    Values equal to a cut point have a bucket of their own, which is cut again by
-    the key, so many equal values do not pile up in one task.
+    The table is dealt by ranges of the whole order, key included, so equal values do not pile up in one task; it is
+    stored, and only one row count per range is put in sequence.
     """
-    coded = df.withColumn("_code", _prefix_code(key))
-    sketch = lambda c: coded.agg(F.array_distinct(F.percentile_approx(c, _GRID, 2000))).scalar()
-    joined = coded.withColumns({"_cuts": sketch(value), "_codes": sketch("_code")})
-    tie = F.array_contains("_cuts", F.col(value))
-    joined = joined.withColumns({
-        "_b": F.size(F.filter("_cuts", lambda c: c < F.col(value))) * 2 + tie.cast("int"),
-        "_s": F.when(tie, F.size(F.filter("_codes", lambda c: c < F.col("_code")))).otherwise(0)}).drop(
-        "_cuts", "_codes", "_code")
-    totals = joined.groupBy("_b", "_s").agg(F.count("*").alias("_t"))
-    # Bounded: at most (2 * BUCKETS + 1) * BUCKETS bucket totals.
-    seq = Window.partitionBy(F.lit(0)).orderBy("_b", "_s")
-    totals = totals.select("_b", "_s", F.coalesce(
-        F.sum("_t").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_t").over(Window.partitionBy(F.lit(0))).alias("size"))
-    inside = Window.partitionBy("_b", "_s").orderBy(value, key)
-    return joined.withColumn("_in", F.row_number().over(inside)).join(totals, ["_b", "_s"]).withColumn(
-        out, F.col("_before") + F.col("_in") - 1).drop("_b", "_s", "_before", "_in")
+    dealt = durable(df.repartitionByRange(as_col(value), as_col(key)).withColumn("_p", F.spark_partition_id()))
+    seq = Window.partitionBy(F.lit(0))
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(
+        seq.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(seq).alias("size"))
+    inside = Window.partitionBy("_p").orderBy(value, key)
+    return dealt.withColumn("_in", F.row_number().over(inside)).join(totals, "_p").withColumn(
+        out, F.col("_before") + F.col("_in") - 1).drop("_p", "_before", "_in")

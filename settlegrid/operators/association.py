@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..checks import ContractError
+from ..checks import ContractError, require_empty
 from ..functions.clock import calendar_slices, season_name
 from ..functions.ranks import exact_quantiles, pearson, spearman, window_average_rank
 from ..functions.windows import hash_sample, md5_order, whole
@@ -262,7 +262,7 @@ def spline_curves(sample_z: DataFrame, alpha=1.0, points=150) -> DataFrame:
     per = rows.groupBy(*keys, "series").agg(F.count("*").alias("_k"))
     span = rows.groupBy(*keys).agg(F.min("temperature_c").alias("_lo"), F.max("temperature_c").alias("_hi"))
     shape = per.groupBy(*keys).agg(F.count("*").alias("n_series"), F.sum("_k").alias("n_sample"))
-    weighted = rows.join(per, [*keys, "series"]).join(span, keys).join(shape, keys).where("_hi > _lo").withColumn(
+    weighted = rows.join(per, [*keys, "series"]).join(span, keys).join(shape, keys).withColumn(
         "w", F.col("n_sample") / (F.col("_k") * F.col("n_series")))
     terms = {f"b{j}": b for j, b in enumerate(_basis(F.col("temperature_c"), F.col("_lo"), F.col("_hi")))}
     m = len(terms)
@@ -276,7 +276,9 @@ def spline_curves(sample_z: DataFrame, alpha=1.0, points=150) -> DataFrame:
                                     F.first("n_sample").alias("n_sample"), *sums)
     fits = fits.join(exact_quantiles(rows, keys, "temperature_c", {"q01": 0.01, "q99": 0.99}), keys)
     solved = []
-    for r in fits.where("n_sample >= 20").collect():
+    thin = fits.where("n_sample < 20 OR hi <= lo").select(*keys, "n_sample")
+    require_empty(thin, "A scope has too few temperatures for a spline")
+    for r in fits.collect():
         mean = np.array([r[f"m{i}"] for i in range(m)]) / r["sw"]
         gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) - r["sw"] * np.outer(mean, mean)
         right = np.array([r[f"v{i}"] for i in range(m)]) - mean * r["sy"]

@@ -147,8 +147,7 @@ def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
             for a, b in zip(pdf["a"], pdf["b"]):
                 za, zb = _matrix(a), _matrix(b)
                 labels = np.array([r["label"] for r in b])
-                d = np.sqrt(np.maximum(((za[:, None, :] - zb[None, :, :]) ** 2).sum(-1), 0)) if len(a) * len(b) * za.shape[1] < 5e7 else \
-                    np.stack([np.sqrt(((zb - row) ** 2).sum(1)) for row in za])
+                d = np.stack([np.sqrt(((zb - row) ** 2).sum(1)) for row in za])
                 ids, own = [r["id"] for r in a], [r["label"] for r in a]
                 for lab in np.unique(labels):
                     hit = labels == lab

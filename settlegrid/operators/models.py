@@ -4,7 +4,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,8 +34,7 @@ def fit_diagnostics(examples: DataFrame, min_targets: int = 1) -> DataFrame:
 
 # ---- pooled tree model over all series and leads --------------------------------------------
 
-MAX_CATEGORIES = 512
-HASH_BITS = 24
+LEVEL = "series_level"
 
 
 @dataclass(frozen=True)
@@ -67,16 +66,16 @@ def training_row_estimate(n_series: int, history: int, s: PooledTree) -> int:
 class PooledModel:
     """A fitted pooled regressor: predictions, per-series diagnostics and importance."""
 
-    def __init__(self, settings, names, categories, pipeline, counts):
-        self.settings, self.names, self.categories = settings, names, categories
+    def __init__(self, settings, names, pipeline, counts):
+        self.settings, self.names = settings, names
         self.pipeline, self.counts = pipeline, counts
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``prediction``; a series without training targets gets NULL, never a fallback."""
-        known = self.counts.where("n_train_examples > 0").select("series", F.lit(True).alias("_known"))
+        known = self.counts.where("n_train_examples > 0").select("series", LEVEL, F.lit(True).alias("_known"))
         out = rows.join(known, "series", "left")
         if self.pipeline is None:
-            return out.withColumn("prediction", F.lit(None).cast("double")).drop("_known")
+            return out.withColumn("prediction", F.lit(None).cast("double")).drop("_known", LEVEL)
         scored = self.pipeline.transform(prepare_matrix(out, self.names))
         return scored.select(*rows.columns, F.when(F.col("_known"), F.col("prediction")).alias("prediction"))
 
@@ -93,52 +92,77 @@ class PooledModel:
 def prepare_matrix(rows: DataFrame, names) -> DataFrame:
     """MLlib trees refuse missing values: keep an indicator and a constant fill side by side."""
     out = rows.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in names})
-    return out.withColumns({**{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names},
-                            **{f"series_bit_{b}": ((F.shiftright(F.xxhash64("series"), b)) % 2).cast("double") for b in range(HASH_BITS)}})
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
+
+
+def _levels(examples: DataFrame) -> DataFrame:
+    """Training rows with their series' mean target over all other inner origins, so no target explains itself."""
+    mine = examples.groupBy("series", "origin_pos").agg(F.sum("target").alias("_s"), F.count("target").alias("_k"))
+    every = mine.groupBy("series").agg(F.sum("_s").alias("_all"), F.sum("_k").alias("_n"))
+    level = mine.join(every, "series").select("series", "origin_pos", F.try_divide(
+        F.col("_all") - F.coalesce("_s", F.lit(0.0)), F.col("_n") - F.col("_k")).alias(LEVEL))
+    return examples.join(level, ["series", "origin_pos"])
 
 
 def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=()) -> PooledModel:
     """Fit on observed targets of all series and leads; repeated fits are identical.
 
-    Series identity is a category while the checked number of series allows it and
-    a fixed-width hash code beyond, so the tree never holds a table per series.
+    A series is told by its lags and by its mean target outside the row's own inner origin: one encoding for any
+    number of series, and no table per series in the tree.
     """
     names = [*settings.spec.names, *extra]
     examples = durable(examples)  # the fit reads it many times; its lineage is long
-    counts = examples.groupBy("series").agg(F.count("target").alias("n_train_examples"))
-    shape = counts.agg(F.sum("n_train_examples").alias("rows"), F.count_if(F.col("n_train_examples") > 0).alias("k")).first()
-    if (shape["rows"] or 0) < settings.min_training_rows:
-        return PooledModel(settings, names, 0, None, counts)
-    observed = examples.where(F.col("target").isNotNull())
-    few = shape["k"] <= MAX_CATEGORIES
-    identity = ["series_index"] if few else [f"series_bit_{b}" for b in range(HASH_BITS)]
-    stages = [StringIndexer(inputCol="series", outputCol="series_index", handleInvalid="keep",
-                            stringOrderType="alphabetAsc")] if few else []
-    inputs = names + [f"{c}__missing" for c in names if c != "lead"] + identity
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
-               GBTRegressor(labelCol="target", maxIter=settings.iterations, maxDepth=settings.depth, stepSize=settings.learning_rate,
-                            seed=settings.seed, maxBins=max(32, shape["k"] + 2) if few else 32)]
-    # A fixed row order and partitioning make repeated fits identical.
-    ordered = prepare_matrix(observed, names).orderBy("series", "origin_pos", "pos")
-    return PooledModel(settings, names, shape["k"], Pipeline(stages=stages).fit(ordered), counts)
+    counts = examples.groupBy("series").agg(F.count("target").alias("n_train_examples"), F.avg("target").alias(LEVEL))
+    if (counts.agg(F.sum("n_train_examples")).first()[0] or 0) < settings.min_training_rows:
+        return PooledModel(settings, names, None, counts)
+    names = [*names, LEVEL]
+    inputs = names + [f"{c}__missing" for c in names if c != "lead"]
+    stages = [VectorAssembler(inputCols=inputs, outputCol="features"),
+              GBTRegressor(labelCol="target", maxIter=settings.iterations, maxDepth=settings.depth, stepSize=settings.learning_rate,
+                           seed=settings.seed)]
+    # Rows dealt by hash and sorted inside make repeated fits identical.
+    tasks = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = prepare_matrix(_levels(examples).where(F.col("target").isNotNull()), names).repartition(
+        tasks, "series", "origin_pos").sortWithinPartitions("series", "origin_pos", "pos")
+    return PooledModel(settings, names, Pipeline(stages=stages).fit(ordered), counts)
 
 
 def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="validation", covariate: DataFrame | None = None):
-    """One fit per origin, predictions of all origins as case rows, and the importance table."""
+    """One fit per origin, predictions of all origins as case rows, and the importance tables.
+
+    The row budget is checked for the longest history before any feature is built. Without a training window the inner
+    origins of one origin are those of the last that have ended, so features are built once. An origin with less
+    history than ``min_history`` and a horizon gets NULL predictions and no fit, as do series without training
+    targets; leads beyond the trained horizon are refused.
+    """
+    if plan.longest > settings.horizon:
+        raise ContractError(f"Leads up to {plan.longest} were asked of a model trained for {settings.horizon}")
+    origins, panel = plan.positions(split), durable(panel)
+    if settings.max_training_rows is not None:
+        length = min(origins[-1], settings.train_window or origins[-1])
+        training_row_estimate(panel.select("series").distinct().count(), length, settings)
     extra = ("temperature_c",) if covariate is not None else ()
     attach = (lambda df: lookup_covariate(df, covariate)) if covariate is not None else (lambda df: df)
-    importance, predicted, panel = [], None, durable(panel)
-    for origin in plan.positions(split):
-        examples = attach(training_examples(panel, origin, settings.horizon, settings.min_history, settings.training_step,
-                                            settings.spec, None, settings.train_window))
-        model = fit_pooled(examples, settings, extra)
-        rows = attach(build_features(panel.where(F.col("pos") < origin + plan.longest), range(origin, origin + 1), plan.longest, settings.spec))
-        part = model.predict(rows).select("series", "origin_pos", "pos", "prediction")
-        predicted = part if predicted is None else predicted.unionByName(part)
+
+    def built(origin):
+        return attach(training_examples(panel, origin, settings.horizon, settings.min_history, settings.training_step, settings.spec,
+                                        None, settings.train_window))
+
+    def enough(origin):
+        return min(origin, settings.train_window or origin) >= settings.min_history + settings.horizon
+    whole = durable(built(origins[-1])) if settings.train_window is None and enough(origins[-1]) else None
+    targets = durable(attach(build_features(panel.where(F.col("pos") < origins[-1] + plan.longest), origins, plan.longest, settings.spec)))
+    importance, predicted = [], {}
+    for origin in origins:
+        rows = targets.where(F.col("origin_pos") == origin)
+        if not enough(origin):
+            predicted[origin] = rows.select("series", "origin_pos", "pos", F.lit(None).cast("double").alias("prediction"))
+            continue
+        model = fit_pooled(built(origin) if whole is None else whole.where(F.col("origin_pos") <= origin - settings.horizon), settings, extra)
+        predicted[origin] = model.predict(rows).select("series", "origin_pos", "pos", "prediction")
         if model.pipeline is not None:
             importance.append(model.importance(origin))
-    cases = backtest(panel, plan, {"pooled_tree": lambda *_: predicted}, split)
-    return cases, importance
+    return backtest(panel, plan, {"pooled_tree": lambda _, at, __: predicted[at.start]}, split), importance
 
 
 def importance_summary(tables) -> DataFrame:

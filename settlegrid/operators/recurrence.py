@@ -130,14 +130,14 @@ def bootstrap_interval(blocks, repetitions: int, seed: int):
 
     ``blocks`` is an array of (s, n) per week, bounded by the weeks of a season, so
     the resampling is array arithmetic in place: nothing is exploded or shuffled.
-    The draw is a linear congruence, equal in distribution to any random stream.
+    Draw j of repetition r is the start of md5("seed|r|j"), so positions of one resample are independent of each other.
     """
     size = F.size(blocks)
 
     def ratio(r):
         def add(acc, j):
-            x = ((r * 1009 + j * 9176 + seed * 7919) * 1103515245 + 12345) % (1 << 31)
-            b = F.get(blocks, (F.floor(x / 65536) % size).cast("int"))
+            mark = F.md5(F.concat_ws("|", F.lit(str(seed)), r.cast("string"), j.cast("string")).cast("binary"))
+            b = F.get(blocks, (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % size).cast("int"))
             return F.struct((acc["s"] + b["s"]).alias("s"), (acc["n"] + b["n"]).alias("n"))
         zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(F.sequence(F.lit(0).cast("long"), size.cast("long") - 1), zero, add, lambda a: F.try_divide(a["s"], a["n"]))

@@ -159,12 +159,12 @@ def training_audit(spark, sf):
     return training_audit(examples(spark, sf))
 
 
-@query("fit_diagnostics", sql(EXAMPLES, """SELECT series, count(target) FILTER (lead <= 2) AS n_train_examples,
- CASE WHEN count(target) FILTER (lead <= 2) >= 14 THEN 'ok' ELSE 'failed' END AS status,
- CASE WHEN count(target) FILTER (lead <= 2) >= 14 THEN '' ELSE 'insufficient_observed_targets' END AS reason FROM examples GROUP BY 1"""))
+@query("fit_diagnostics", sql(EXAMPLES, """SELECT series, count(target) AS n_train_examples,
+ CASE WHEN count(target) >= 336 THEN 'ok' ELSE 'failed' END AS status,
+ CASE WHEN count(target) >= 336 THEN '' ELSE 'insufficient_observed_targets' END AS reason FROM examples GROUP BY 1"""))
 def diagnostics(spark, sf):
     from ..operators.models import fit_diagnostics
-    return fit_diagnostics(examples(spark, sf).where("lead <= 2"), min_targets=14)
+    return fit_diagnostics(examples(spark, sf), min_targets=336)
 
 
 @query("trailing_training_window", sql(PANEL, """SELECT series, count(*) AS n, count(value) AS observed, round(sum(value),6) AS total

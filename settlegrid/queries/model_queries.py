@@ -1,9 +1,9 @@
 """Per-series and pooled model queries."""
 from pyspark.sql import functions as F
 
-from ..operators import forecast as W, models as M, scoring as S
+from ..operators import models as M, scoring as S
 from .forecast_queries import PLAN, covariate
-from .inputs import N, PANEL, ZPANEL, panel, registrar, sql, zero_panel
+from .inputs import PANEL, ZPANEL, panel, registrar, sql, zero_panel
 
 Q, SQL, query = registrar()
 
@@ -46,12 +46,8 @@ def ets_refusal(spark, sf):
     return M.model_diagnostics(M.ets(panel(spark, sf), PLAN.positions(), 48)).select("series", "origin_pos", "reason")
 
 
-TREE = M.PooledTree(iterations=5, depth=4, training_step=96, spec=W.FeatureSpec((1, 48), (48,), (48,), 1, (48,)))
-SPARSE_PLAN = W.WalkForward(min_train=672, test_pos=1152, n_slots=N, step=216)
-
-
 def pooled(spark, sf, with_covariate=False):
-    return M.pooled_backtest(panel(spark, sf), SPARSE_PLAN, TREE, covariate=covariate(spark, sf) if with_covariate else None)
+    return M.pooled_backtest(panel(spark, sf), PLAN, covariate=covariate(spark, sf) if with_covariate else None)
 
 
 @query("pooled_tree_scores")

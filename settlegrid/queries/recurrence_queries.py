@@ -137,7 +137,7 @@ def weekly_recurrence(spark, sf):
 @query("bootstrap_recurrence_interval", sql(SUMMARY, """, blocks AS (SELECT day_type, series, phase, week, count(*) FILTER (qualifies_6h) AS s, count(*) FILTER (valid_day) AS n,
  row_number() OVER (PARTITION BY day_type, series, phase ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY day_type, series, phase) AS b FROM phased WHERE valid_day GROUP BY 1,2,3,4),
 g AS (SELECT DISTINCT day_type, series, phase, b FROM blocks WHERE b >= 4),
-draws AS (SELECT g.*, r, (((r*1009 + j*9176 + 7*7919) * 1103515245 + 12345) % 2147483648) // 65536 % b AS i FROM g, range(1, 1001) t(r), LATERAL (SELECT unnest(range(0, b)) AS j)),
+draws AS (SELECT g.*, r, CAST('0x' || substr(md5('7|' || r || '|' || j), 1, 8) AS BIGINT) % b AS i FROM g, range(1, 1001) t(r), LATERAL (SELECT unnest(range(0, b)) AS j)),
 ratios AS (SELECT d.day_type, d.series, d.phase, r, sum(s)/sum(n) AS v FROM draws d JOIN blocks k ON k.day_type=d.day_type AND k.series=d.series AND k.phase=d.phase AND k.i=d.i GROUP BY 1,2,3,4)
 SELECT day_type, series, phase, round(quantile_cont(v, 0.025),6) AS ci_low_6h, round(quantile_cont(v, 0.975),6) AS ci_high_6h FROM ratios GROUP BY 1,2,3"""))
 def bootstrap(spark, sf):

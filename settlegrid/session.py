@@ -1,9 +1,12 @@
 """Session settings every operator relies on, and the one way to cut lineage."""
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .checks import ContractError
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the UTC session zone: local clock columns are derived, never implied."""
@@ -27,10 +30,13 @@ def build_session(app: str = "settlegrid", master: str | None = None, **conf) ->
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local master, whose tasks share this machine's
+    disk, gets one of its own where that is unset; on a cluster it has to be named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ContractError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

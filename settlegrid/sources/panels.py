@@ -47,14 +47,14 @@ def check_panel(panel: DataFrame) -> DataFrame:
     return panel
 
 
-def write_table(df: DataFrame, path: str, partition_by=(), spread="series", files=8) -> str:
+def write_table(df: DataFrame, path: str, partition_by=()) -> str:
     """Parquet sink that refuses to overwrite.
 
-    Rows of one folder go to at most ``files`` tasks by hash of ``spread``: neither
-    one task per folder nor one small file per task and folder.
+    Rows of one folder are brought together and cut into tasks of the advised size by a rebalance: neither one
+    task for a large folder nor one small file per task and folder.
     """
     if partition_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(spread), F.lit(files)))
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -74,4 +74,4 @@ def write_cases(cases: DataFrame, path: str) -> str:
 
 def write_monthly_temperature(temperature: DataFrame, path: str) -> str:
     monthly = temperature.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return write_table(monthly, path, ("month",), spread="region")
+    return write_table(monthly, path, ("month",))

@@ -2,6 +2,8 @@
 import math
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from settlegrid.functions.clock import SettlementCalendar
 from settlegrid.operators import recurrence as R
 from zoneinfo import ZoneInfo
@@ -93,3 +95,15 @@ def test_calendar_positions_round_trip(spark):
     cal = SettlementCalendar("2022-10-29", "2022-10-31")
     f = cal.frame(spark)
     assert f.where(cal.pos_of_period("settle_date", "period") != f["pos"]).count() == 0 and math.isclose(cal.n_slots, 146)
+
+
+def test_bootstrap_width_equals_independent_draws(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for weeks in (4, 8, 26):
+        blocks = [(int(rng.integers(0, 6)), 5) for _ in range(weeks)]
+        df = spark.createDataFrame([(blocks,)], "b array<struct<s:long,n:long>>")
+        low, high = df.select(R.bootstrap_interval(F.col("b"), 1000, 7).alias("c")).select("c.*").first()
+        s = np.array([x for x, _ in blocks])
+        want = np.quantile(s[rng.integers(0, weeks, (4000, weeks))].sum(1) / (5 * weeks), [0.025, 0.975])
+        assert abs((high - low) - (want[1] - want[0])) < 0.12 * (want[1] - want[0]) + 0.01
