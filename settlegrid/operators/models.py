@@ -1,4 +1,5 @@
 """Fit diagnostics and models beyond the naive baselines."""
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,7 @@ class PooledTree:
     min_training_rows: int = 100
     max_training_rows: int | None = None
     train_window: int | None = None
+    parallelism: int = 5
     spec: FeatureSpec = FeatureSpec()
 
 
@@ -121,9 +123,8 @@ def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=()) -> PooledMo
               GBTRegressor(labelCol="target", maxIter=settings.iterations, maxDepth=settings.depth, stepSize=settings.learning_rate,
                            seed=settings.seed)]
     # Rows dealt by hash and sorted inside make repeated fits identical.
-    tasks = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = prepare_matrix(_levels(examples).where(F.col("target").isNotNull()), names).repartition(
-        tasks, "series", "origin_pos").sortWithinPartitions("series", "origin_pos", "pos")
+        "series", "origin_pos").sortWithinPartitions("series", "origin_pos", "pos")
     return PooledModel(settings, names, Pipeline(stages=stages).fit(ordered), counts)
 
 
@@ -152,13 +153,18 @@ def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="valida
         return min(origin, settings.train_window or origin) >= settings.min_history + settings.horizon
     whole = durable(built(origins[-1])) if settings.train_window is None and enough(origins[-1]) else None
     targets = durable(attach(build_features(panel.where(F.col("pos") < origins[-1] + plan.longest), origins, plan.longest, settings.spec)))
+
+    def fitted(origin):
+        if enough(origin):
+            return fit_pooled(built(origin) if whole is None else whole.where(F.col("origin_pos") <= origin - settings.horizon), settings, extra)
+    with ThreadPoolExecutor(settings.parallelism) as pool:  # a fit is many small jobs, so a few run side by side
+        models = dict(zip(origins, pool.map(fitted, origins)))
     importance, predicted = [], {}
-    for origin in origins:
+    for origin, model in models.items():
         rows = targets.where(F.col("origin_pos") == origin)
-        if not enough(origin):
+        if model is None:
             predicted[origin] = rows.select("series", "origin_pos", "pos", F.lit(None).cast("double").alias("prediction"))
             continue
-        model = fit_pooled(built(origin) if whole is None else whole.where(F.col("origin_pos") <= origin - settings.horizon), settings, extra)
         predicted[origin] = model.predict(rows).select("series", "origin_pos", "pos", "prediction")
         if model.pipeline is not None:
             importance.append(model.importance(origin))
