@@ -201,9 +201,9 @@ def leave_one_out(spark, sf):
     return rounded(S.without_top_contributor(changes(spark, sf)), "mase_base", "mase_candidate")
 
 
-@query("match_two_runs", sql(CASES, """SELECT a.series, a.origin_pos, a.pos, CAST(a.horizon AS INTEGER) AS horizon, a.lead, round(a.actual,6) AS actual_reference,
- round(a.prediction,6) AS prediction_reference, round(b.prediction,6) AS prediction_candidate FROM cases a JOIN cases b
- ON a.series=b.series AND a.origin_pos=b.origin_pos AND a.pos=b.pos AND a.horizon=b.horizon AND a.model='seasonal_48' AND b.model='seasonal_336'"""))
+@query("match_two_runs", sql(CASES, """SELECT series, origin_pos, pos, CAST(horizon AS INTEGER) AS horizon, lead, round(max(actual) FILTER (model = 'seasonal_48'),6) AS actual_reference,
+ round(max(prediction) FILTER (model = 'seasonal_48'),6) AS prediction_reference, round(max(prediction) FILTER (model = 'seasonal_336'),6) AS prediction_candidate
+ FROM cases WHERE model IN ('seasonal_48', 'seasonal_336') GROUP BY split, series, origin_pos, pos, horizon, lead"""))
 def match(spark, sf):
     c = cases(spark, sf)
     m = S.match_cases(c.where(F.col("model") == PAIR[0]), c.where(F.col("model") == PAIR[1]))
