@@ -118,7 +118,7 @@ def agreement(spark, sf):
     return L.nearest_label_agreement(points(spark, sf)).withColumn("knn_label_agreement", F.round("knn_label_agreement", 6))
 
 
-@query("latent_metrics")
+@query("latent_metrics", f"SELECT * FROM ({SQL['label_silhouette']}) a, ({SQL['centroid_scores']}) b, ({SQL['nearest_label_agreement']}) c")
 def metrics(spark, sf):
     m = L.latent_metrics(points(spark, sf))
     return m.withColumns({c: F.round(c, 6) for c in m.columns})
