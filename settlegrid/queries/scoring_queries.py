@@ -80,7 +80,7 @@ paired_s AS (SELECT * REPLACE (CASE WHEN shared2 THEN prediction END AS predicti
 
 @query("metric_tables", _tables_sql())
 def metric_tables(spark, sf):
-    return rounded(S.metric_tables(durable(sliced(spark, sf)), PAIR))  # case rows are a study's stored output
+    return rounded(S.metric_tables(durable(sliced(spark, sf)), PAIR, len(MODELS)))  # case rows are a study's stored output
 
 
 def per_series(spark, sf, dims=()):
