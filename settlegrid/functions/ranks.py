@@ -65,15 +65,18 @@ def value_counts(df: DataFrame, by, value: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, by, value: str, out: str) -> DataFrame:
     """Add the exact average rank of ``value``; equal values meet again by an equi-join."""
-    counts = value_counts(df, by, value).select(*by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(counts, [*by, value])
+    return df.join(_value_ranks(df, by, value, out), [*by, value])
+
+
+def _value_ranks(df: DataFrame, by, value: str, out: str) -> DataFrame:
+    return value_counts(df, by, value).select(*by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, by, x: str, y: str) -> DataFrame:
     """Pair counts, distinct counts, Pearson and Spearman for groups of any size."""
     by = list(by)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(pairs, by, x, "_rx"), by, y, "_ry")
+    ranked = pairs.join(_value_ranks(pairs, by, x, "_rx"), [*by, x]).join(_value_ranks(pairs, by, y, "_ry"), [*by, y])
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n_paired"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
 

@@ -113,10 +113,15 @@ def _scoped(rows: DataFrame, scopes=SCOPES) -> DataFrame:
 
 
 def _rank_correlation(rows: DataFrame, by, x="temperature_c", y="demand") -> DataFrame:
-    ranked = rows.withColumns({"_rx": window_average_rank(x, by), "_ry": window_average_rank(y, by)})
+    """Distinct values are counted as the first rows of their ties, in the order that the ranks need anyway."""
+    def first(value):
+        order = Window.partitionBy(*by).orderBy(value)
+        return F.row_number().over(order) == F.rank().over(order)
+    ranked = rows.withColumns({"_rx": window_average_rank(x, by), "_nx": first(x)}).withColumns(
+        {"_ry": window_average_rank(y, by), "_ny": first(y)})
     return ranked.groupBy(*by).agg(
-        F.count("*").alias("n_paired"), F.count_distinct(x).alias("n_unique_temperature"),
-        F.count_distinct(y).alias("n_unique_demand"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
+        F.count("*").alias("n_paired"), F.count_if("_nx").alias("n_unique_temperature"),
+        F.count_if("_ny").alias("n_unique_demand"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
 
 
 def association_table(study: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..checks import ContractError
 from ..functions.ranks import spearman
-from ..functions.windows import md5_order
+from ..functions.windows import hash_sample, md5_order
 from ..session import durable
 from .recurrence import held_out
 
@@ -276,9 +276,8 @@ def marginal_members(points: DataFrame, ranges: dict, per_region=2, seed=7) -> D
                         for n, (a, lo, hi) in ranges.items()])
     rows = points.withColumn("r", F.explode(regions)).withColumn("x", F.get("z", F.col("r.axis"))).where(
         (F.col("x") > F.col("r.lo")) & (F.col("x") < F.col("r.hi")))
-    w = Window.partitionBy("r.region").orderBy("_h", "id")
-    rows = rows.withColumn("_h", md5_order(F.lit(seed), "r.region", "id")).withColumn("_rn", F.row_number().over(w))
-    return rows.where(F.col("_rn") <= per_region).select(F.col("r.region").alias("region"), "id")
+    inside = rows.select(F.col("r.region").alias("region"), "id")
+    return hash_sample(inside, ["region"], per_region, md5_order(F.lit(seed), "region", "id"))
 
 
 def transfer_scores(inputs: DataFrame, members: DataFrame, width=48) -> DataFrame:

@@ -57,26 +57,30 @@ def sign_volumes(records: DataFrame) -> DataFrame:
     return records.withColumn("volume", guard(signed, ~known, "Unknown or missing direction flag", "double"))
 
 
+def _reversed(text):
+    """Text whose order is the reverse of ``text``'s: complemented hex digits and an end mark; NULL comes last of all."""
+    digits = "0123456789ABCDEF"
+    return F.coalesce(F.concat(F.translate(F.hex(text), digits, digits[::-1]), F.lit("G")), F.lit("H"))
+
+
 def latest_candidates(records: DataFrame, key=KEY, revision=REVISION, value="volume", flow="flow",
                       keep=("estimated",)) -> DataFrame:
     """Newest revision of every key, and whether its tied rows disagree.
 
     ``max`` over structs combines on the map side, so a key (or a series) that
     holds a large share of the raw rows is reduced before the single shuffle. Tied
-    rows agree when the largest and the smallest signature of (value, direction)
-    at the newest revision are the same; NULL counts as a value of its own.
+    rows agree when the largest and the smallest pair of value and direction at the
+    newest revision are the same; NULL counts as a value of its own and sorts first.
     """
     rev = [F.col(c) for c in revision]
     direction = F.col(flow) if flow else F.lit(None).cast("string")
-    parts = [F.coalesce(F.col(value).cast("string"), F.lit("null"))] + ([F.coalesce(direction, F.lit("null"))] if flow else [])
-    signature = F.xxhash64(*parts)
     g = records.groupBy(*key).agg(
         F.max(F.struct(*rev, F.col(value).alias("v"), direction.alias("f"), *[F.col(c) for c in keep])).alias("top"),
-        F.max(F.struct(*rev, signature.alias("s"))).alias("hi"),
-        F.max(F.struct(*rev, F.bitwise_not(signature).alias("s"))).alias("lo"), F.count("*").alias("n_rows"))
+        F.max(F.struct(*rev, F.col(value).isNull().alias("none"), (-F.col(value)).alias("v"), _reversed(direction).alias("f"))).alias("low"),
+        F.count("*").alias("n_rows"))
+    same = F.col("top.v").eqNullSafe(-F.col("low.v")) & _reversed(F.col("top.f")).eqNullSafe(F.col("low.f"))
     return g.select(*key, *[F.col(f"top.{c}").alias(c) for c in revision], F.col("top.v").alias(value),
-                    F.col("top.f").alias("flow"), *[F.col(f"top.{c}").alias(c) for c in keep], "n_rows",
-                    (F.col("hi.s") != F.bitwise_not("lo.s")).alias("conflict"))
+                    F.col("top.f").alias("flow"), *[F.col(f"top.{c}").alias(c) for c in keep], "n_rows", (~same).alias("conflict"))
 
 
 def resolve_revisions(records: DataFrame, **options) -> DataFrame:

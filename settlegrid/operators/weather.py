@@ -5,7 +5,6 @@ y = R * sin(lat). Grid cells stay rectangles there, so the cells a region can
 touch follow from arithmetic and the range join becomes an equi-join on cell
 indexes.
 """
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checks import ContractError, guard
@@ -36,34 +35,28 @@ def alias_sources(regions: DataFrame, label="label") -> DataFrame:
         F.concat_ws(";", F.sort_array(F.collect_set("source"))).alias("source_regions"))
 
 
-def _clip(points, x0, x1, y0, y1):
-    """Polygon points inside a rectangle, one half-plane at a time."""
-    for axis, bound, keep_low in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        kept = []
-        for (a, b) in zip(points, points[1:] + points[:1]):
-            ia = a[axis] <= bound if keep_low else a[axis] >= bound
-            ib = b[axis] <= bound if keep_low else b[axis] >= bound
-            if ia:
-                kept.append(a)
-            if ia != ib:
-                t = (bound - a[axis]) / (b[axis] - a[axis])
-                kept.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-        points = kept
-        if not points:
-            return []
-    return points
+def _edge_area(ax, ay, bx, by, x0, x1, y0, y1) -> Column:
+    """Signed area between the rectangle's lower side and the part of an edge over it, the edge held within the rectangle.
 
-
-def _area(points):
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2
+    Added up over a closed ring these are the area of the ring inside the rectangle.
+    """
+    left, right = (F.least(F.greatest(x, x0), x1) for x in (ax, bx))
+    slope = F.try_divide(by - ay, bx - ax)
+    u, v = (ay + slope * (left - ax) - y0, ay + slope * (right - ax) - y0)
+    height, low, high = y1 - y0, F.least(u, v), F.greatest(u, v)
+    inner_low, inner_high = (F.least(F.greatest(e, F.lit(0.0)), height) for e in (low, high))
+    rise = F.nullif(high - low, F.lit(0.0))
+    mean = F.coalesce((inner_high - inner_low) / rise * (inner_low + inner_high) / 2
+                      + F.greatest(high - F.greatest(low, height), F.lit(0.0)) / rise * height, inner_low)
+    return F.when(left != right, (right - left) * mean).otherwise(0.0)
 
 
-def polygon_cell_area(*columns) -> Column:
-    """Area of a polygon ring (x array, y array) inside a rectangle (x0, x1, y0, y1)."""
-    def areas(xs: pd.Series, ys: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([_area(_clip(list(zip(px, py)), a, b, c, d))
-                          for px, py, a, b, c, d in zip(xs, ys, x0, x1, y0, y1)], dtype="float64")
-    return F.pandas_udf(areas, "double")(*columns)
+def ring_cell_area(px, py, x0, x1, y0, y1) -> Column:
+    """Signed area of a ring (arrays of x and y, the last point joined to the first) inside a rectangle."""
+    n = F.size(px)
+    point = lambda i: (F.get(px, i), F.get(py, i))
+    edge = lambda i: _edge_area(*point(i), *point((i + 1) % n), x0, x1, y0, y1)
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda total, i: total + edge(i))
 
 
 def _candidates(regions, cells, grid):
@@ -95,12 +88,20 @@ def box_weights(regions: DataFrame, cells: DataFrame, grid) -> DataFrame:
 
 
 def polygon_weights(regions: DataFrame, cells: DataFrame, grid) -> DataFrame:
-    """Overlap areas of polygon rings (``lats``, ``lons`` arrays) and valid cells."""
-    boxed = regions.withColumns({
-        "lat_min": F.array_min("lats"), "lat_max": F.array_max("lats"), "lon_min": F.array_min("lons"), "lon_max": F.array_max("lons"),
-        "_px": F.transform("lons", plane_x), "_py": F.transform("lats", plane_y)})
-    p = _candidates(boxed, cells, grid)
-    return p.select("region", "cell", polygon_cell_area("_px", "_py", "_x0", "_x1", "_y0", "_y1").alias("area")).where("area > 0")
+    """Overlap areas of polygons (``lats``, ``lons`` arrays) and valid cells.
+
+    A region may have several rows: parts, and holes whose points run the other way round. Only boxes are spread over
+    the grid; a ring meets the cells its box touches after that.
+    """
+    boxes = regions.select("region", F.array_min("lats").alias("lat_min"), F.array_max("lats").alias("lat_max"),
+                           F.array_min("lons").alias("lon_min"), F.array_max("lons").alias("lon_max")).groupBy("region").agg(
+        F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max"))
+    near = _candidates(boxes, cells, grid).select("region", "cell", "_x0", "_x1", "_y0", "_y1")
+    rings = regions.where(F.size("lats") > 2).select("region", F.transform("lons", plane_x).alias("_px"), F.transform("lats", plane_y).alias("_py"))
+    p = near.join(rings, "region").withColumn("_a", ring_cell_area(*map(F.col, ("_px", "_py", "_x0", "_x1", "_y0", "_y1"))))
+    whole = F.max((F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))).alias("_whole")
+    # what the sums leave by rounding is no overlap
+    return p.groupBy("region", "cell").agg(F.abs(F.sum("_a")).alias("area"), whole).where("area > 1e-9 * _whole").drop("_whole")
 
 
 def box_area() -> Column:
@@ -149,16 +150,19 @@ def half_hourly(hourly: DataFrame, value="temperature_c") -> DataFrame:
     """Exact hours kept, :30 = mean of both neighbours; nothing bridged or extrapolated."""
     clean = hourly.withColumn("ts", guard(F.col("ts"), (F.unix_micros("ts") % 3_600_000_000) != 0,
                                           "Exact hourly timestamps required", "timestamp"))
-    lo, hi = (clean.agg(f("ts")).scalar() for f in (F.min, F.max))
-    axis = clean.select("region").distinct().withColumns({"_a": lo, "_b": hi}).select(
-        "region", F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    full = axis.join(clean.select("region", "ts", value), ["region", "ts"], "left")
-    after = F.lead(value).over(Window.partitionBy("region").orderBy("ts"))
-    pair = F.array(F.struct(F.lit(0).alias("m"), F.col(value).alias("v")),
-                   F.struct(F.lit(30).alias("m"), ((F.col(value) + F.col("_next")) / 2).alias("v")))
-    rows = full.withColumn("_next", after).withColumn("h", F.explode(pair))
-    return rows.select("region", (F.timestamp_seconds(F.unix_seconds("ts") + F.col("h.m") * 60)).alias("ts"),
-                       F.col("h.v").alias(value))
+    span = clean.agg(F.struct(F.min("ts").alias("first"), F.max("ts").alias("last"))).scalar()
+    hour, order = F.expr("INTERVAL 1 HOUR"), Window.partitionBy("region").orderBy("ts")
+    rows = clean.select("region", "ts", value).withColumns({
+        "_span": span, "_to": F.lead("ts").over(order), "_after": F.lead(value).over(order), "_start": F.lag("ts").over(order).isNull()})
+    # each reading covers the hours up to the next one, the first also those before it
+    hours = F.sequence(F.when(F.col("_start"), F.col("_span.first")).otherwise(F.col("ts")),
+                       F.greatest(F.coalesce(F.col("_to") - hour, F.col("_span.last")), F.col("ts")), hour)
+    rows = rows.withColumn("_hour", F.explode(hours))
+    own = F.when(F.col("_hour") == F.col("ts"), F.col(value))
+    middle = F.when(F.col("_to") == F.col("_hour") + hour, (own + F.col("_after")) / 2)
+    pair = F.array(F.struct(F.lit(0).alias("m"), own.alias("v")), F.struct(F.lit(30).alias("m"), middle.alias("v")))
+    rows = rows.withColumn("h", F.explode(pair))
+    return rows.select("region", F.timestamp_seconds(F.unix_seconds("_hour") + F.col("h.m") * 60).alias("ts"), F.col("h.v").alias(value))
 
 
 def with_method(temperature: DataFrame, value="temperature_c") -> DataFrame:

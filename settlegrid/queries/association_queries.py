@@ -52,8 +52,7 @@ def correlation(spark, sf):
 SELECT count(*) AS n_paired, round(corr(x, y),6) AS pearson, round(corr(rx, ry),6) AS spearman FROM r"""))
 def pooled_spearman(spark, sf):
     from ..functions.ranks import spearman
-    s = study(spark, sf).withColumn("g", F.lit(1))
-    return rounded(spearman(s, ["g"], "temperature_c", "demand").drop("g"), "pearson", "spearman")
+    return rounded(spearman(study(spark, sf), [], "temperature_c", "demand"), "pearson", "spearman")
 
 
 @query("calendar_adjusted_residuals", sql(STUDY, "SELECT series, date, round(dr+1e-10,6) AS demand_residual, round(tr+1e-10,6) AS temperature_residual FROM resid"))

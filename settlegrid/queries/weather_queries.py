@@ -126,10 +126,18 @@ def box_weights(spark, sf):
     return w.select("region", "cell", F.round(F.col("area") / 1000000, 4).alias("area_km2"))
 
 
-@query("grid_polygon_weights")
+@query("grid_polygon_weights", sql(BOX, """, tri AS (SELECT region, cell, 6371007.2*radians(greatest(lon-0.25, lon_min)) AS a, 6371007.2*radians(least(lon+0.25, lon_max)) AS b,
+ 6371007.2*sin(radians(greatest(lat-0.25, lat_min))) AS low, 6371007.2*sin(radians(lat+0.25)) AS high, 6371007.2*radians(lon_min) AS x0, 6371007.2*radians(lon_max) AS x1,
+ 6371007.2*sin(radians(lat_min)) AS y0, 6371007.2*sin(radians(lat_max)) AS y1
+ FROM cells JOIN boxes ON least(lon+0.25, lon_max) > greatest(lon-0.25, lon_min) AND least(lat+0.25, lat_max) > greatest(lat-0.25, lat_min)),
+cut AS (SELECT *, (y1-y0)/(x1-x0) AS fall, least(greatest(x0 + (y1-high)*(x1-x0)/(y1-y0), a), b) AS p, least(greatest(x0 + (y1-low)*(x1-x0)/(y1-y0), a), b) AS q FROM tri),
+ar AS (SELECT region, cell, (p-a)*(high-low) + (q-p)*(y1 - fall*((p+q)/2-x0) - low) AS area FROM cut)
+SELECT region, cell, round(area/1000000,4) AS area_km2 FROM ar WHERE area > 1"""))
 def polygon_weights(spark, sf):
+    """Triangles: the halves of the boxes below a falling diagonal."""
     b = boxes(spark, sf).select("region", F.array("lat_min", "lat_min", "lat_max").alias("lats"), F.array("lon_min", "lon_max", "lon_min").alias("lons"))
-    return T.polygon_weights(b, cells(spark, sf), GRID_SPEC).withColumn("area", F.round("area", 2))
+    w = T.polygon_weights(b, cells(spark, sf), GRID_SPEC).where("area > 1")
+    return w.select("region", "cell", F.round(F.col("area") / 1000000, 4).alias("area_km2"))
 
 
 @query("region_coverage", sql(BOX, """SELECT b.region, round(coalesce(sum(area),0)/(6371007.2*6371007.2*(radians(max(lon_max))-radians(max(lon_min)))*(sin(radians(max(lat_max)))-sin(radians(max(lat_min))))),6) AS coverage_fraction,

@@ -47,6 +47,26 @@ def test_polygons_agree_with_boxes_and_sea_stays_out(spark):
     assert 0.6 < cover["coverage_fraction"] < 1 and cover["grid_cells"] == len(a)
 
 
+def test_polygon_with_hole_and_parts(spark):
+    cells = spark.createDataFrame([(i, 0.5 + i // 4, 0.5 + i % 4) for i in range(16)], "cell int, lat double, lon double")
+    rings = [("R", [0.0, 0.0, 3.0, 3.0], [0.0, 3.0, 3.0, 0.0]), ("R", [1.0, 2.0, 2.0, 1.0], [1.0, 1.0, 2.0, 2.0]), ("R", [3.5, 3.5, 4.0], [3.5, 4.0, 4.0])]
+    got = {r["cell"]: r["area"] for r in T.polygon_weights(spark.createDataFrame(rings, "region string, lats array<double>, lons array<double>"),
+                                                          cells, (0.5, 0.5, 1.0, 1.0)).collect()}
+    y = lambda lat: math.sin(math.radians(lat)) * T.EARTH_RADIUS
+    width = math.radians(1) * T.EARTH_RADIUS
+    want = {i: width * (y(i // 4 + 1) - y(i // 4)) for i in (0, 1, 2, 4, 6, 8, 9, 10)} | {15: width / 2 * (y(4) - y(3.5)) / 2}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_half_hours_fill_the_common_axis_with_gaps(spark):
+    rows = [("A", at(1), 1.0), ("A", at(2), 3.0), ("A", at(5), 9.0), ("B", at(0), 4.0), ("B", at(6), 8.0)]
+    filled = T.half_hourly(spark.createDataFrame(rows, "region string, ts timestamp, temperature_c double"))
+    got = {(r["region"], r["h"], r["m"]): r["temperature_c"] for r in filled.select("region", F.hour("ts").alias("h"), F.minute("ts").alias("m"), "temperature_c").collect()}
+    assert len(got) == 2 * 14
+    assert {k: v for k, v in got.items() if v is not None} == {
+        ("A", 23, 0): 1.0, ("A", 23, 30): 2.0, ("A", 0, 0): 3.0, ("A", 3, 0): 9.0, ("B", 22, 0): 4.0, ("B", 4, 0): 8.0}
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows share one value and one group holds most rows."""
