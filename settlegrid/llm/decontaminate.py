@@ -154,6 +154,6 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WINDOW, **opti
 
 def clean_documents(docs: DataFrame, bench: DataFrame, width: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns."""
-    rows = docs.withColumn("_n", F.lit(0))
-    found = scan_documents(rows, bench, width, text_col, keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes with those of the hits
+    found = scan_documents(docs.toDF(*names), bench, width, names[docs.columns.index(text_col)], keep=tuple(names))
+    return found.where("n_hit = 0").select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns)])

@@ -199,6 +199,9 @@ def test_contamination_in_blocks_and_spans(spark):
     assert all(sum(len(split(x.text[s.start:s.stop])) for s in x.spans) == x.n_hit for x in spans)
     clean = decontaminate.clean_documents(docs, items)
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[2])
+    named = docs.toDF("doc_id", "text", "n_hit", "n_words", "spans")
+    assert decontaminate.clean_documents(named, items).columns == named.columns
+    assert decontaminate.clean_documents(named, items).exceptAll(clean.toDF(*named.columns)).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
