@@ -230,40 +230,46 @@ def seasonal_ar(panel: DataFrame, origins: range, horizon: int, min_observations
         "series", "origin_pos", "pos", "lead", F.when(F.col("reason") == "", path).alias("prediction"), "reason")
 
 
-def _smooth(y, season, grid, phi):
-    """One-step errors and final states of additive smoothing for all grid points at once."""
+def _smooth(y, season, grid, phi, stops):
+    """Additive smoothing for all grid points at once; (level, trend, seasonal) of the best one after each of ``stops`` rows."""
     alpha, beta, gamma = (grid[:, i] for i in range(3))
     level = np.full(len(grid), y[:season].mean())
     trend = np.full(len(grid), (y[season:2 * season].mean() - y[:season].mean()) / season if phi else 0.0)
     seasonal = np.tile(y[:season] - y[:season].mean(), (len(grid), 1))
-    sse = np.zeros(len(grid))
-    for t in range(season, len(y)):
+    sse, kept, wanted = np.zeros(len(grid)), {}, set(stops)
+    for t in range(season, max(wanted) + 1):
+        if t in wanted:
+            i = int(np.argmin(sse))
+            kept[t] = level[i], trend[i], seasonal[i].copy()
+        if t == max(wanted):
+            break
         s = seasonal[:, t % season]
         base = level + phi * trend
         e = y[t] - base - s
         sse += e * e
         level, trend = base + alpha * e, phi * trend + beta * e
         seasonal[:, t % season] = s + gamma * e
-    return sse, level, trend, seasonal
+    return kept
 
 
-def _ets_forecast(y, horizon, season, trend, damped):
+def _ets_forecasts(y, stops, horizon, season, trend, damped):
+    """Forecasts after each of ``stops`` rows of ``y`` from one pass: the best grid point does not depend on the scale."""
     phi = (0.98 if damped else 1.0) if trend else 0.0
     betas = (0.0, 0.01, 0.05) if trend else (0.0,)
     grid = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.4, 0.7) for b in betas for g in (0.01, 0.05, 0.1, 0.2)])
-    factor = float(np.abs(y).max()) or 1.0
-    sse, level, slope, seasonal = _smooth(y / factor, season, grid, phi)
-    i = int(np.argmin(sse))
+    factor = float(np.abs(y[:min(stops)]).max()) or 1.0  # rows that every origin knows
     steps = np.arange(1, horizon + 1)
     carry = np.cumsum(phi ** steps) if phi else np.zeros(horizon)
-    return (level[i] + slope[i] * carry + seasonal[i, (len(y) + steps - 1) % season]) * factor
+    return {n: (level + slope * carry + seasonal[(n + steps - 1) % season]) * factor
+            for n, (level, slope, seasonal) in _smooth(y / factor, season, grid, phi, stops).items()}
 
 
 def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=False, damped=False, min_observations=336,
         train_window: int | None = None) -> DataFrame:
     """Additive exponential smoothing per series on a fixed smoothing grid, for every origin.
 
-    One group is one series, whose length the calendar bounds. A gap or too little
+    One group is one series, whose length the calendar bounds; without a training window one pass over it serves all
+    origins. A gap or too little
     data gives NULL with a reason; nothing is interpolated. Forecasts scale with the input.
     """
     if damped and not trend:
@@ -273,6 +279,11 @@ def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=Fal
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         base, values, out = int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(float), []
+        whole = np.isfinite(values).cumprod().sum()  # rows before the first gap
+        runs = {}
+        if train_window is None:
+            stops = [o - base for o in positions if minimum <= o - base <= whole]
+            runs = _ets_forecasts(values[:max(stops)], stops, horizon, season, trend, damped) if stops else {}
         for o in positions:
             y = values[:max(0, o - base)]
             if train_window is not None:
@@ -283,7 +294,7 @@ def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=Fal
             elif not np.isfinite(y).all():
                 reason = "missing_training_values"
             else:
-                forecast = _ets_forecast(y, horizon, season, trend, damped)
+                forecast = runs[len(y)] if len(y) in runs else _ets_forecasts(y, [len(y)], horizon, season, trend, damped)[len(y)]
                 if not np.isfinite(forecast).all():
                     reason, forecast = "nonfinite_forecast", np.full(horizon, np.nan)
             out.append(pd.DataFrame({"series": pdf["series"].iloc[0], "origin_pos": o, "pos": range(o, o + horizon),

@@ -72,10 +72,13 @@ def panel_from_resolved(located, calendar, direction="signed_net", ids=None):
     return dense.withColumn("source", F.coalesce("source", F.lit("missing")))
 
 
-def build_observed_panel(records, calendar, check_days=True) -> DataFrame:
-    """Multi-year build in one job: no per-day staging, revisions resolved per key."""
-    if check_days:
-        require_empty(missing_days(records, calendar), "No records at all for settlement day")
+def build_observed_panel(records, calendar, days: DataFrame | None = None) -> DataFrame:
+    """Multi-year build in one job: no per-day staging, revisions resolved per key.
+
+    A calendar day without any record is refused. ``days`` names the days there are (settle_date), such as the stored
+    inventory of the sources; without it the records are scanned for them.
+    """
+    require_empty(missing_days(records if days is None else days, calendar), "No records at all for settlement day")
     return build_panel(records, calendar, "signed_net")
 
 

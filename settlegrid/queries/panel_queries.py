@@ -174,7 +174,7 @@ def by_month(spark, sf):
  count(value) AS observed, round(sum(value),6) AS total FROM panel GROUP BY ALL"""))
 def multi_day(spark, sf):
     from ..functions.clock import local_date
-    p = P.build_observed_panel(records(spark, sf), CALENDAR, check_days=False)
+    p = P.build_observed_panel(records(spark, sf), CALENDAR, days=coverage(spark, sf))
     return p.groupBy("series", local_date("ts").alias("settle_date")).agg(
         F.count("*").alias("periods"), F.count("value").alias("observed"), F.round(F.sum("value"), 6).alias("total"))
 
