@@ -12,7 +12,6 @@ from .common import connected_components, partitions, slices, stored
 WORDS = 5
 SKETCH = 128
 LISTED = 32
-LISTS = 14
 SHARE = 75
 HUBS = 3
 ORDERS = 3
@@ -79,9 +78,10 @@ def inverted_lists(classes: DataFrame, share: int = SHARE) -> DataFrame:
     """(v, rep, n, weight): the listed values of each class that others have too, less those that it can spare.
 
     Values are ordered by how many classes list them. A class leaves out its most frequent ones (:func:`spare_values`), so
-    a passage that many texts share makes no list unless it is a large part of a text; of the others the ``LISTS``
-    smallest are kept, of which two similar sets share none with a probability of 0.25 ** LISTS. ``weight`` adds up the
-    counts: it is largest for the text that most others were made from.
+    a passage that many texts share makes no list unless it is a large part of a text. All others are kept: the last one
+    in the order that two sets share is then a list of both, as soon as they share more listed values than either leaves
+    out. Similar sets always do if one of them has at most ``LISTED`` shingles, larger ones with a probability of
+    1 - 1e-8. ``weight`` adds up the counts: it is largest for the text that most others were made from.
     """
     exact = LISTED * share // 100
     spare = F.element_at(F.array(*[F.lit(spare_values(k, k <= exact, share / 100)) for k in range(1, LISTED + 1)]),
@@ -90,8 +90,8 @@ def inverted_lists(classes: DataFrame, share: int = SHARE) -> DataFrame:
     counts = index.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")  # at most LISTED rows a class
     common = index.join(counts, "v").withColumn("rank", F.row_number().over(own.orderBy(F.col("df").desc(), "v")))
-    common = common.where(F.col("rank") > spare).withColumns({"place": F.row_number().over(own.orderBy("v")), "weight": F.sum("df").over(own)})
-    return stored(common.where(F.col("place") <= LISTS).select("v", "rep", "n", "weight"))
+    common = common.where(F.col("rank") > spare).withColumn("weight", F.sum("df").over(own))
+    return stored(common.select("v", "rep", "n", "weight"))
 
 
 def hub_pairs(lists: DataFrame, share: int = SHARE, orders: int = ORDERS, hubs: int = HUBS) -> DataFrame:
@@ -234,7 +234,7 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, parts: DataFrame, best: bo
     known = known.withColumn("component", F.coalesce("component", "rep"))
     state = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     open_ = stored(known.join(state.where("lo <> hi"), "v").select("v", "rep", "n", "component", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    own = open_.groupBy("rep").agg(F.collect_set("v").alias("own"))  # at most LISTS values
+    own = open_.groupBy("rep").agg(F.collect_set("v").alias("own"))  # at most LISTED values
     rows = open_.join(own, "rep").join(classes.select("rep", "sketch"), "rep")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
@@ -253,9 +253,9 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
 
     Rows with equal shingle sets are one class from the start, however many. Classes are linked step by step: each with its
     best hubs, each with its best partner in another component, and at last all pairs of the inverted lists that are still in
-    different components. Every link is confirmed on the full sets of whole texts, and a link that would join
-    two components is missed with a probability under 1e-7. Null and
-    empty texts have no shingles and are linked with nothing, rows without an id neither: they are their own component
+    different components. Every link is confirmed on the full sets of whole texts. Two similar texts share a list always if
+    one has at most ``LISTED`` shingles, else with a probability of 1 - 1e-8; sketches then rule out pairs ``SIGMAS``
+    deviations below the similarity. Null and empty texts have no shingles and are linked with nothing, rows without an id neither: they are their own component
     (null id: null) and kept. Repeated rows share a component. Empty input gives an empty result.
     """
     table = stored(shingle_table(docs, words, id_col=id_col, text_col=text_col))

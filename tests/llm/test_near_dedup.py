@@ -69,6 +69,36 @@ def test_one_large_family_of_copies_of_copies(spark):
     assert got == brute(rows)
 
 
+def test_short_families_of_several_lengths(spark):
+    r = random.Random(3)
+    rows = []
+    for family in range(200):  # a text of 28-32 words, the same with a word more, and that with its second word changed
+        words = ["f%dw%d" % (family, i) for i in range(r.choice([28, 28, 28, 30, 32]))]
+        more = words + ["more%d" % family] * r.randint(1, 4)
+        rows += [" ".join(x) for x in (words, more, more[:1] + ["other"] + more[2:])]
+    rows = list(enumerate(rows))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_similar_sets_of_few_values_share_a_list(spark):
+    """Sets of 21-42 values, at least one of them wholly listed, among others that make values of one side common."""
+    r = random.Random(4)
+    rows, pairs = [], []
+    for _ in range(300):
+        n = r.randint(21, 42)
+        big = [r.randrange(1, 2 ** 60) for _ in range(n)]
+        least = -(-3 * n // 4)
+        small = r.sample(big, min(32, r.choice([least, n - 1])))
+        extra = [x for x in big if x not in small] + [r.randrange(1, 2 ** 60) for _ in range(40)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, len(s), sorted(s)[:N.LISTED]) for i, s in enumerate((small, big, extra))]
+    lists = {}
+    for x in N.inverted_lists(spark.createDataFrame(rows, "rep long, n long, listed array<long>")).collect():
+        lists.setdefault(x.rep, set()).add(x.v)
+    assert all(lists[a] & lists[b] for a, b in pairs)
+
+
 def test_nulls_repeated_rows_and_clashing_columns(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (2, "a b c d e f g", None, 2), (None, "a b c d e f g", "y", 3),
             (3, None, None, None), (4, "", "z", 0), (5, "q r s t u", "z", 0), (5, "k l m n o p", "z", 0)]
