@@ -5,7 +5,9 @@ from .common import ascii_lower, connected_components, stored
 
 #: (verdict, host and path), as given: allow com/, block example.com/en/, allow www.example.com/en/, block net/es/ and net/fr/.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-TARGET = "https?://[^\\s\"'<>]+"
+ATTRIBUTE = "([^\\s\"'<>/=]+)\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+REFRESH = "(?is)^\\s*+[\\d.]*+\\s*+[;,]?+\\s*+(?:url\\s*+=\\s*+)?+(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+BASE_TAG = "(?i)<base\\b[^>]*\\bhref\\b[^>]*>"
 LINK_TAG = "(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>"
 REFRESH_TAG = "(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 
@@ -37,10 +39,38 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), F.coalesce(query, F.lit(""))))
 
 
-def targets(html: Column) -> Column:
-    """Urls that the page names as its canonical form or sends its reader on to."""
-    tags = F.concat(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0)), F.regexp_extract_all(html, F.lit(REFRESH_TAG), F.lit(0)))
-    return F.transform(tags, lambda t: F.replace(F.regexp_extract(t, TARGET, 0), F.lit("&amp;"), F.lit("&")))
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the tag's first attribute of that name in any letter case, ``&amp;`` read as ``&``; none: null."""
+    found = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: ascii_lower(F.regexp_extract(x, ATTRIBUTE, 1)) == name)
+    first = F.try_element_at(found, F.lit(1))
+    return F.replace(F.concat(*[F.regexp_extract(first, ATTRIBUTE, k) for k in (2, 3, 4)]), F.lit("&amp;"), F.lit("&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its segments ``.`` and ``..`` carried out."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+def resolve(reference: Column, base: Column) -> Column:
+    """The url that ``reference`` means on a page at ``base``; null if it is empty or of another scheme than http and https.
+
+    Absolute (scheme in any case), ``//host/x``, ``/x``, ``x`` and ``../x``, ``?x`` and ``#x``.
+    """
+    ref = F.trim(F.regexp_replace(reference, "[\\t\\n\\r]", ""))
+    site = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
+    way, rest = F.regexp_extract(ref, "(?s)^([^?#]*)", 1), F.regexp_extract(ref, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), "(?s)^/(.*/)", 1))
+    query = F.regexp_extract(base, "(?s)^[^#?]*(\\?[^#]*)", 1)
+    return (F.when(ref == "", None).when(ref.rlike("(?i)^https?://"), ref).when(ref.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+            .when(ref.startswith("//"), F.concat(F.lit("http:"), ref))
+            .when(ref.startswith("/"), F.concat(site, without_dots(way), rest))
+            .when(ref.startswith("?"), F.concat(site, path_of(base), rest))
+            .when(ref.startswith("#"), F.concat(site, path_of(base), query, rest))
+            .otherwise(F.concat(site, without_dots(F.concat(folder, way)), rest)))
 
 
 def _node(place: Column) -> Column:
@@ -48,10 +78,18 @@ def _node(place: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url="url", html="html") -> DataFrame:
-    """(a, b): node of a page and node of the target it names, once each."""
-    named = pages.where(F.col(html).rlike(LINK_TAG) | F.col(html).rlike(REFRESH_TAG))
-    named = named.select(address(F.col(url)).alias("a"), F.explode(targets(F.col(html))).alias("t"))
-    named = named.select("a", address(F.col("t")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    """(a, b): node of a page and node of each url that it names as its canonical form or sends its reader on to, once each.
+
+    Targets are read from ``href`` and from ``content``, and are resolved against the page's url or its base tag.
+    """
+    named = pages.where(F.col(html).rlike(LINK_TAG) | F.col(html).rlike(REFRESH_TAG)).select(F.col(url).alias("url"), F.col(html).alias("html"))
+    base = resolve(attribute(F.regexp_extract("html", BASE_TAG, 0), "href"), F.col("url"))
+    tags = F.concat(*[F.regexp_extract_all("html", F.lit(t), F.lit(0)) for t in (LINK_TAG, REFRESH_TAG)])
+    named = named.select(address(F.col("url")).alias("a"), F.coalesce(base, "url").alias("base"), F.explode(tags).alias("t"))
+    sent = attribute(F.col("t"), "content")
+    sent = F.concat(*[F.regexp_extract(sent, REFRESH, k) for k in (1, 2, 3)])
+    ref = F.when(F.col("t").rlike("(?i)^<link"), attribute(F.col("t"), "href")).otherwise(sent)
+    named = named.select("a", address(resolve(ref, F.col("base"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     return named.select(_node(F.col("a")).alias("a"), _node(F.col("b")).alias("b"), F.col("a").alias("place_a"),
                         F.col("b").alias("place_b"))
 
@@ -61,7 +99,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame = None, id_co
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
     The longest fitting rule decides. A page without a rule takes the verdict of its aliases: pages and targets joined
-    by canonical links, refresh redirects in the html, or rows of ``redirects`` (from_url, to_url). An explicit allow
+    by canonical links, refresh redirects in the html (absolute or relative, see :func:`resolve`), or rows of ``redirects`` (from_url, to_url). An explicit allow
     anywhere among the aliases comes before any block; a block comes before nothing at all; otherwise allow. Pages
     with one address are aliases of each other (their rule is the same). Null or odd urls have an empty host and
     path, fit no rule and have no aliases: allow. Empty tables give an empty result; other columns are not read.

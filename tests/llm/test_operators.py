@@ -243,6 +243,27 @@ def test_url_verdicts_travel_over_aliases(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_relative_targets_carry_verdicts(spark):
+    cases = [  # url, canonical, refresh, verdict
+        ("http://a.net/x", "/es/y", None, "block"), ("http://b.net/x/y?q=/z", None, "/fr/y", "block"),
+        ("http://c.net/es", "es/y", None, "block"), ("http://d.net", "es/", None, "block"), ("http://e.net/a/b/c", "../../es/y", None, "block"),
+        ("http://f.net/a/./b", None, "./../es/./y", "block"), ("http://g.net/a", "../../../fr/", None, "block"),
+        ("http://h.org/x", "//i.net/es/x", None, "block"), ("http://j.org/x", "HTTPS://K.net/es/x", None, "block"),
+        ("http://l.org/x", None, "HTTP://m.net/fr/x", "block"), ("http://n.org/x", "//n.com", None, "allow"),
+        ("http://n.com.org/x", "//n.com/", None, "allow"), ("http://o.net/x", "/en/?u=http://p.net/es/", None, "allow"),
+        ("http://q.net/x", "mailto:a@q.net/es/", None, "allow"), ("http://r.net/x", "#/es/", None, "allow"), ("http://s.net/x", "/a/es/../y", None, "allow"),
+        ("http://t.org/p?a", "?b", None, "block"), ("http://t.org/p?b", "http://t.net/es/", None, "block"),
+        ("http://u.net/es/../x", None, None, "block"), (None, "/es/", None, "allow"), ("no scheme", "/es/", None, "allow")]
+    rows = [page(i, u, c, r) for i, (u, c, r, _) in enumerate(cases)]
+    more = [("http://v.net/x", "<LINK REL=canonical HREF=/es/y>"), ("http://v1.net/x", "<link data-href='/en/' title='href=/en/' href='/es/' rel='canonical'>"),
+            ("http://v2.net/x", "<meta http-equiv=Refresh content=0;URL=/es/>"), ("http://v3.net/x", "<meta http-equiv='refresh' content=\"3, url = '/es/'\">"),
+            ("http://v4.net/x", "<meta http-equiv='refresh' content='0; ../es/'>"), ("http://v5.org/x", "<base href='//v6.net/es/'><link rel='canonical' href='y'>"),
+            ("http://v7.org/p", "<link rel=canonical href='http://v7.net/es/?a=1&amp;b=2'>")]
+    rows += [(len(cases) + i, u, h) for i, (u, h) in enumerate(more)] + [(99, "http://v8.org/es/", "<meta http-equiv='refresh' content='5'>")]
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: v for i, (*_, v) in enumerate(cases)} | {len(cases) + i: "block" for i in range(len(more))} | {99: "allow"}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
