@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
-from . import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality, sharding, toxicity, url_filter
+from . import (decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, near_dedup, packing, quality, sharding,
+               token_counts, toxicity, url_filter, whitening)
 
 Q, SQL = {}, {}
 
@@ -121,5 +122,35 @@ def op10(spark, sf_dir):
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@_query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_token_counts")
+def op12(spark, sf_dir):
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+_MINED = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT a.vec_id AS a, a.label AS al, b.vec_id AS b, b.label AS bl, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM p WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT pos.a AS anchor_id, pos.b AS positive_id,
+ CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+ n.b AS negative_id, pos.s AS positive_score, n.s AS negative_score
+FROM pos JOIN p n ON n.a = pos.a AND n.al <> n.bl AND 30 * pos.s <= 100 * n.s AND 100 * n.s <= 90 * pos.s
+QUALIFY row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b) <= 10"""
+
+
+@_query("op13_hard_negatives", _MINED)
+def op13(spark, sf_dir):
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def registry():
     return Q, SQL
