@@ -83,7 +83,7 @@ def _exact(anchors, columns):
 def _pack(frame: pd.DataFrame) -> dict:
     vectors = np.array(frame["v"].tolist(), np.int32)
     return {"n": len(frame), "tags": frame["tag"].to_numpy(np.int64).tobytes(), "labels": frame["label"].to_numpy(np.int64).tobytes(),
-            "ids": frame["id"].fillna(NO_ID).to_numpy(np.int64).tobytes(), "columns": np.ascontiguousarray(vectors.reshape(len(frame), -1).T).tobytes()}
+            "ids": frame["id"].to_numpy(np.int64).tobytes(), "columns": np.ascontiguousarray(vectors.reshape(len(frame), -1).T).tobytes()}
 
 
 def blocks(rows: DataFrame, size: int, windows: bool = False) -> DataFrame:
@@ -176,7 +176,8 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 10, lea
     scores beyond 2^53, are refused.
     """
     spark = rows.sparkSession
-    tagged = stored(rows.select("id", "label", "v", "anchor").withColumn("tag", F.monotonically_increasing_id()))
+    known = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id")
+    tagged = stored(rows.select(known, "label", "v", "anchor").withColumn("tag", F.monotonically_increasing_id()))
     size = min(max(-(-tagged.count() // (4 * spark.sparkContext.defaultParallelism)), ROWS[0]), ROWS[1])
     candidates = blocks(tagged.drop("anchor"), size)
     anchors = tagged.where("anchor").drop("anchor")

@@ -59,7 +59,8 @@ def leading_components(v: np.ndarray, k: int, least: float = 1e-12):
     The spectrum is sliced by inertia counts of V - s I: bisection narrows an interval until the count at its lower end
     is one more than at its upper end, so it holds one eigenvalue of known number. Rayleigh quotient iteration starts
     from an inverse iteration at its middle; a value that leaves the interval sends the bisection on. Counts on both
-    sides of the value certify its number. Eigenvalues closer to each other than rounding are taken together, with an
+    sides of the value certify its number. Iterations see the matrix without the components already found, so close
+    eigenvalues keep orthogonal vectors; those closer to each other than rounding are taken together, with an
     orthonormal basis of their space. Components below ``least`` of the trace have no direction and are left out.
     """
     v = (np.asarray(v, float) + np.asarray(v, float).T) / 2
@@ -91,17 +92,18 @@ def leading_components(v: np.ndarray, k: int, least: float = 1e-12):
                 low, high = (middle, high) if above(middle) > number else (low, middle)
                 continue
             many, shift = above(low) - number, (low + high) / 2
-            basis = start[:, :many]
+            left, basis = v - (vectors * values) @ vectors.T, start[:, :many]
             for _ in range(4 if many > 1 else 2):
                 basis = basis - vectors @ (vectors.T @ basis)
-                basis = np.linalg.qr(_solve(v, shift, basis))[0]
+                basis = np.linalg.qr(_solve(left, shift, basis))[0]
             if many == 1:
                 x = basis[:, 0]
                 for _ in range(12):
                     rho = float(x @ v @ x)
                     if np.linalg.norm(v @ x - rho * x) <= 4 * EPS * np.abs(v).max():
                         break
-                    x = _solve(v, rho, x)
+                    x = _solve(left, rho, x)
+                    x -= vectors @ (vectors.T @ x)
                     x /= np.linalg.norm(x)
                 rho = float(x @ v @ x)
                 inside = low - tight <= rho <= high + tight
@@ -179,7 +181,7 @@ class Whitening:
 
     def deviations(self, x):
         """n * x - sums, exactly."""
-        if self.n and len(x) and float(self.n) * np.abs(x).max() + np.abs(self.sums).max() >= 2.0 ** 62:
+        if self.n and len(x) and float(self.n) * np.abs(x).max(initial=0) + np.abs(self.sums).max(initial=0) >= 2.0 ** 62:
             raise OverflowError("n * x does not fit a long")
         return self.n * x - self.sums
 
@@ -197,7 +199,7 @@ class Whitening:
             for batch in batches:
                 keys, x = batch.column(0), _matrix(batch, d)
                 far, m = self.deviations(x), len(x)
-                if m and d * float(np.abs(far).max()) ** 2 >= 2.0 ** 63:
+                if m and d * float(np.abs(far).max(initial=0)) ** 2 >= 2.0 ** 63:
                     raise OverflowError("squared deviation does not fit a long")
                 at = pa.array(np.repeat(np.arange(m), k))
                 yield pa.RecordBatch.from_arrays([
