@@ -5,7 +5,6 @@ Points are (id, z ARRAY<DOUBLE>, label) rows; matrices are long (id, pos, value)
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +13,7 @@ from ..functions.ranks import spearman
 from ..functions.windows import hash_sample, md5_order
 from ..session import durable
 from .recurrence import held_out
+from .subspace import leading_directions
 
 
 def hold_out(series: DataFrame, status="status", key="series", share=5, minimum=10) -> DataFrame:
@@ -47,58 +47,62 @@ def unstandardise(matrix: DataFrame, scale: DataFrame) -> DataFrame:
     return matrix.join(scale, "pos").select("id", "pos", (F.col("value") * F.col("scale") + F.col("mean")).alias("value"))
 
 
-def _vectors(matrix: DataFrame) -> DataFrame:
-    """Rows back to arrays; a row's width is the fixed number of positions."""
-    return matrix.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("z"))
+def principal_components(train: DataFrame, k=2, **options) -> DataFrame:
+    """Components (pos, c1..ck) of a standardised training matrix, by the range finder of ``subspace``.
 
+    Each component's largest loading is positive. A matrix of lower rank gives fewer components.
+    """
+    found, sizes = leading_directions(train, k, **options)
+    return found.select("pos", *[F.get("c", F.lit(j)).alias(f"c{j + 1}") for j in range(len(sizes))])
 
-def principal_components(train: DataFrame, k=2) -> DataFrame:
-    """Components in long form (pos, c1..ck) of a standardised training matrix.
 
-    MLlib reduces the rows to one covariance of the (few) columns; signs are fixed
-    by making each component's largest loading positive.
-    """
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(_vectors(train).select(array_to_vector("z").alias("v")))
-    loads = model.pc.toArray()
-    loads = loads * np.sign(loads[np.abs(loads).argmax(axis=0), range(k)])
-    positions = [r["pos"] for r in train.select("pos").distinct().orderBy("pos").collect()]
-    rows = [(int(p), *[float(x) for x in loads[i]]) for i, p in enumerate(positions)]
-    return train.sparkSession.createDataFrame(rows, "pos int, " + ", ".join(f"c{i + 1} double" for i in range(k)))
+def _axes(components: DataFrame) -> list:
+    return [c for c in components.columns if c != "pos"]
 
 
 def coordinates(matrix: DataFrame, components: DataFrame, observed=None) -> DataFrame:
-    """Least-squares coordinates on two components from the observed positions only.
+    """Least-squares coordinates (id, z1..zk) on the components from the observed positions only.
 
-    The 2 x 2 normal equations are grouped sums, solved in closed form per row.
+    The k x k normal equations are grouped sums; each row solves its own, with the smallest solution where the observed
+    positions leave some direction open.
     """
+    axes = _axes(components)
+    k = len(axes)
     rows = matrix.join(components, "pos")
     if observed is not None:
         rows = rows.where(F.col("pos").isin(list(observed)) if not isinstance(observed, Column) else observed)
-    s = rows.groupBy("id").agg(
-        F.sum(F.col("c1") * F.col("c1")).alias("a"), F.sum(F.col("c1") * F.col("c2")).alias("b"),
-        F.sum(F.col("c2") * F.col("c2")).alias("d"), F.sum(F.col("c1") * F.col("value")).alias("u"),
-        F.sum(F.col("c2") * F.col("value")).alias("v"))
-    det = F.nullif(F.col("a") * F.col("d") - F.col("b") * F.col("b"), F.lit(0.0))
-    return s.select("id", ((F.col("d") * F.col("u") - F.col("b") * F.col("v")) / det).alias("z1"),
-                    ((F.col("a") * F.col("v") - F.col("b") * F.col("u")) / det).alias("z2"))
-
-
-def decode(points: DataFrame, components: DataFrame) -> DataFrame:
-    """Every point's value at every position: a point explodes over the packed components."""
-    packed = components.agg(F.array_sort(F.collect_list(F.struct("pos", "c1", "c2")))).scalar()
-    return points.withColumn("_c", packed).select("id", "z1", "z2", F.explode("_c").alias("c")).select(
-        "id", "c.pos", (F.col("z1") * F.col("c.c1") + F.col("z2") * F.col("c.c2")).alias("value"))
-
-
-def completion(train: DataFrame, test: DataFrame, observed_pos) -> dict:
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.groupBy("id").agg(*[F.sum(F.col(axes[i]) * F.col(axes[j])).alias(f"m{i}_{j}") for i, j in pairs],
+                                  *[F.sum(F.col(c) * F.col("value")).alias(f"t{i}") for i, c in enumerate(axes)])
+
+    def solve(frames):
+        for frame in frames:
+            m, t = np.zeros((len(frame), k, k)), np.zeros((len(frame), k, 1))
+            for i, j in pairs:
+                m[:, i, j] = m[:, j, i] = frame[f"m{i}_{j}"]
+            for i in range(k):
+                t[:, i, 0] = frame[f"t{i}"]
+            z = (np.linalg.pinv(m, rcond=1e-12, hermitian=True) @ t)[:, :, 0]
+            yield pd.DataFrame({"id": frame["id"], **{f"z{i + 1}": z[:, i] for i in range(k)}})
+    kind = matrix.schema["id"].dataType.simpleString()
+    return sums.mapInPandas(solve, f"id {kind}, " + ", ".join(f"z{i + 1} double" for i in range(k)))
+
+
+def decode(points: DataFrame, components: DataFrame, cells: DataFrame) -> DataFrame:
+    """The points' values (id, pos, value) at the given cells (id, pos): both sides come by a join on their own key."""
+    total = sum((F.col(f"z{i + 1}") * F.col(c) for i, c in enumerate(_axes(components))), F.lit(0.0))
+    return cells.select("id", "pos").join(components, "pos").join(points, "id").select("id", "pos", total.alias("value"))
+
+
+def completion(train: DataFrame, test: DataFrame, observed_pos, k=2) -> dict:
     """PCA completion of withheld positions of held-out rows; nothing of them enters the fit."""
     scale = column_scale(train)
-    strain, stest = standardise(train, scale), standardise(test, scale)
-    components = principal_components(strain)
+    strain, stest = durable(standardise(train, scale)), standardise(test, scale)
+    components = principal_components(strain, k)
     z = coordinates(strain, components)
     ztest = coordinates(stest, components, observed_pos)
     return {"scale": scale, "components": components, "train": strain, "test": stest, "latent": z, "test_latent": ztest,
-            "reconstruction": decode(z, components), "prediction": decode(ztest, components)}
+            "reconstruction": decode(z, components, strain), "prediction": decode(ztest, components, stest)}
 
 
 def completion_scores(actual_train, reconstruction, actual_test, prediction, scale, withheld: Column, model="pca") -> DataFrame:

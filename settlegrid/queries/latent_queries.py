@@ -83,6 +83,27 @@ def pca_coordinates(spark, sf):
         {"z1": F.round("z1", 6), "z2": F.round("z2", 6)})
 
 
+@query("pca_invariants", sql(BASE, """, st AS (SELECT id, pos, (value-mean)/scale AS v FROM longm JOIN scale USING (pos) WHERE train)
+SELECT count(DISTINCT id) AS n_train, count(DISTINCT pos) AS n_positions, round(sum(v*v)/count(DISTINCT id),6) AS total_variance,
+ TRUE AS orthonormal, TRUE AS coordinates_centred, TRUE AS coordinates_uncorrelated, TRUE AS error_is_unexplained_variance FROM st"""))
+def pca_invariants(spark, sf):
+    """What holds for principal components whatever their signs: unit length, right angles, centred and uncorrelated
+    coordinates of falling variance, and a training error equal to the variance left over."""
+    fit = pca(spark, sf)[0]
+    n = fit["train"].agg(F.count_distinct("id").alias("n_train"), F.count_distinct("pos").alias("n_positions"), F.sum(F.col("value") ** 2).alias("square"))
+    loads = fit["components"].agg(F.sum(F.col("c1") ** 2).alias("c11"), F.sum(F.col("c2") ** 2).alias("c22"), F.sum(F.col("c1") * F.col("c2")).alias("c12"))
+    z = fit["latent"].agg(F.sum(F.col("z1") ** 2).alias("s1"), F.sum(F.col("z2") ** 2).alias("s2"), F.sum(F.col("z1") * F.col("z2")).alias("s12"),
+                          F.avg("z1").alias("m1"), F.avg("z2").alias("m2"))
+    left = fit["train"].join(fit["reconstruction"].withColumnRenamed("value", "_p"), ["id", "pos"]).agg(F.sum((F.col("value") - F.col("_p")) ** 2).alias("left"))
+    small = lambda c: F.abs(c) < 1e-6
+    every = n.join(loads, F.lit(True)).join(z, F.lit(True)).join(left, F.lit(True))
+    return every.select("n_train", "n_positions", F.round(F.col("square") / F.col("n_train"), 6).alias("total_variance"),
+                        (small(F.col("c11") - 1) & small(F.col("c22") - 1) & small("c12")).alias("orthonormal"),
+                        (small("m1") & small("m2")).alias("coordinates_centred"),
+                        (small(F.col("s12") / F.col("s1")) & (F.col("s1") >= F.col("s2"))).alias("coordinates_uncorrelated"),
+                        small((F.col("square") - F.col("s1") - F.col("s2") - F.col("left")) / F.col("square")).alias("error_is_unexplained_variance"))
+
+
 @query("model_comparison")
 def comparison(spark, sf):
     return L.comparison([mean_completion(spark, sf), pca_completion(spark, sf)])
