@@ -13,6 +13,7 @@ from ..checks import ContractError
 from ..functions.windows import over_series
 from ..session import durable
 from .forecast import FeatureSpec, at_origins, backtest, build_features, from_origin, lookup_covariate, training_examples
+from .smoothing import filter_through_gaps, fit_smoothing
 
 
 def training_audit(examples: DataFrame) -> DataFrame:
@@ -190,8 +191,10 @@ def seasonal_ar(panel: DataFrame, origins: range, horizon: int, min_observations
 
     Normal-equation sums are trailing windows, so all origins come from one pass.
     For leads up to 48 the seasonal lags are history and the recursion is a fold
-    over at most 48 known values. Too little data, a singular system or a missing
-    last value gives NULL and a reason.
+    over at most 48 known values. Where a gap hides one of them, the forecast is the
+    conditional mean given everything observed before the origin, from a state-space
+    filter over that series (``smoothing.filter_through_gaps``); nothing is filled in.
+    Too little data or a singular system gives NULL and a reason.
     """
     if horizon > SEASON:
         raise ContractError("Seasonal AR forecasts at most one season ahead")
@@ -203,7 +206,9 @@ def seasonal_ar(panel: DataFrame, origins: range, horizon: int, min_observations
     frame = w.rowsBetween(start, -1)
     seen = w.rowsBetween(Window.unboundedPreceding if train_window is None else -train_window, -1)
     sums = {f"s{i}{j}": F.sum(F.when(usable, xs[i] * xs[j])).over(frame) for i, j in ("11", "12", "13", "22", "23", "33", "1y", "2y", "3y")}
-    rows = lags.withColumns({**sums, "_obs": F.count("value").over(seen), "_last": F.col("_1")})
+    rows = lags.withColumns({**sums, "_obs": F.count("value").over(seen), "_last": F.col("_1"),
+                             "_syy": F.sum(F.when(usable, F.col("value") * F.col("value"))).over(frame),
+                             "_rows": F.count_if(usable).over(frame), "_square": F.avg(F.col("value") * F.col("value")).over(seen)})
     m = {"11": "s11", "12": "s12", "13": "s13", "21": "s12", "22": "s22", "23": "s23", "31": "s13", "32": "s23", "33": "s33"}
     cell = lambda k: F.col(m[k])
 
@@ -217,60 +222,74 @@ def seasonal_ar(panel: DataFrame, origins: range, horizon: int, min_observations
     rows = rows.withColumn("_det", F.when(F.abs(d) > 1e-12 * size, d)).withColumns({
         "_a": det(rhs, col(2), col(3)) / F.col("_det"), "_b": det(col(1), rhs, col(3)) / F.col("_det"),
         "_c": det(col(1), col(2), rhs) / F.col("_det")})
-    targets = at_origins(rows, origins, horizon).withColumn("_o", from_origin(["_a", "_b", "_c", "_last", "_obs"]))
+    left = F.col("_syy") - F.col("_a") * F.col("s1y") - F.col("_b") * F.col("s2y") - F.col("_c") * F.col("s3y")
+    rows = rows.withColumn("_noise", F.greatest(left, F.lit(0.0)) / F.col("_rows"))
+    targets = at_origins(rows, origins, horizon).withColumn("_o", from_origin(["_a", "_b", "_c", "_last", "_obs", "_noise", "_square"]))
     targets = targets.withColumn("_k", F.col("_o._b") * F.col("_48") + F.col("_o._c") * F.col("_49"))
     steps = F.collect_list(F.struct(F.col("_k").alias("k"))).over(
         Window.partitionBy("series", "origin_pos").orderBy("lead").rowsBetween(Window.unboundedPreceding, 0))
     targets = targets.withColumn("_steps", steps)
     path = F.aggregate("_steps", F.col("_o._last"), lambda acc, s: F.col("_o._a") * acc + s["k"])
     minimum = max(min_observations, 2 * SEASON)
-    reason = (F.when(F.col("_o._obs") < minimum, "insufficient_observations").when(F.col("_o._a").isNull(), "singular_system")
-              .when(path.isNull(), "missing_donor").otherwise(""))
-    return targets.withColumn("reason", reason).select(
-        "series", "origin_pos", "pos", "lead", F.when(F.col("reason") == "", path).alias("prediction"), "reason")
-
-
-def _smooth(y, season, grid, phi, stops):
-    """Additive smoothing for all grid points at once; (level, trend, seasonal) of the best one after each of ``stops`` rows."""
-    alpha, beta, gamma = (grid[:, i] for i in range(3))
-    level = np.full(len(grid), y[:season].mean())
-    trend = np.full(len(grid), (y[season:2 * season].mean() - y[:season].mean()) / season if phi else 0.0)
-    seasonal = np.tile(y[:season] - y[:season].mean(), (len(grid), 1))
-    sse, kept, wanted = np.zeros(len(grid)), {}, set(stops)
-    for t in range(season, max(wanted) + 1):
-        if t in wanted:
-            i = int(np.argmin(sse))
-            kept[t] = level[i], trend[i], seasonal[i].copy()
-        if t == max(wanted):
-            break
-        s = seasonal[:, t % season]
-        base = level + phi * trend
-        e = y[t] - base - s
-        sse += e * e
-        level, trend = base + alpha * e, phi * trend + beta * e
-        seasonal[:, t % season] = s + gamma * e
-    return kept
-
-
-def _ets_forecasts(y, stops, horizon, season, trend, damped):
-    """Forecasts after each of ``stops`` rows of ``y`` from one pass: the best grid point does not depend on the scale."""
-    phi = (0.98 if damped else 1.0) if trend else 0.0
-    betas = (0.0, 0.01, 0.05) if trend else (0.0,)
-    grid = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.4, 0.7) for b in betas for g in (0.01, 0.05, 0.1, 0.2)])
+    reason = (F.when(F.col("_o._obs") < minimum, "insufficient_observations").when(F.col("_o._a").isNull(), "singular_system").otherwise(""))
+    targets = targets.withColumns({"reason": reason, "_path": path})
+    # From the first lead that a gap touches on, an origin's leads come from the filter; without gaps it has no groups.
+    hidden = (F.col("reason") == "") & F.col("_path").isNull()
+    gaps = targets.where(hidden).groupBy("series", "origin_pos").agg(F.first("_o").alias("_o"), F.min("lead").alias("_from"), F.max("lead").alias("_to"))
+    folded = targets.where(~hidden).select("series", "origin_pos", "pos", "lead", F.when(F.col("reason") == "", F.col("_path")).alias("prediction"), "reason")
+    out = folded.unionByName(_through_gaps(panel, gaps, train_window).withColumn("reason", F.lit("")))
+    wild = ~(F.abs("prediction") < float("inf"))
+    return out.withColumn("reason", F.when(wild, "nonfinite_forecast").otherwise(F.col("reason"))).withColumn(
+        "prediction", F.when(~wild, F.col("prediction")))
+
+
+def _through_gaps(panel: DataFrame, gaps: DataFrame, train_window) -> DataFrame:
+    """Filtered forecasts of the origins in ``gaps``: a series, as long as the calendar, meets its own origins in one group."""
+    schema = "series string, origin_pos int, pos int, lead int, prediction double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(values: pd.DataFrame, origins: pd.DataFrame) -> pd.DataFrame:
+        if not len(origins):
+            return pd.DataFrame({n: [] for n in names})
+        base, last = int(values["pos"].min()), int(origins["origin_pos"].max())
+        y = np.full(last - base, np.nan)
+        past = values[values["pos"] < last]
+        y[past["pos"].to_numpy() - base] = past["value"].to_numpy(float)
+        origins = origins.sort_values("origin_pos")
+        at, to = origins["origin_pos"].to_numpy() - base, int(origins["_to"].max())
+        first = np.zeros(len(at), int) if train_window is None else np.maximum(at - train_window, 0)
+        found = filter_through_gaps(y, at, origins[["_a", "_b", "_c"]].to_numpy(float), origins["_noise"].to_numpy(float),
+                                    origins["_square"].to_numpy(float), to, first)
+        leads = np.tile(np.arange(1, to + 1), len(at))
+        out = origins.loc[origins.index.repeat(to), ["series", "origin_pos", "_from", "_to"]].assign(lead=leads, prediction=found.ravel())
+        out["pos"] = out["origin_pos"] + leads - 1
+        return out[(leads >= out["_from"]) & (leads <= out["_to"])][names]
+
+    key = F.col("series").alias("series")  # both sides come from one panel; new names keep them apart
+    touched = panel.join(gaps.select("series").distinct(), "series", "left_semi").select(key, "pos", "value")
+    flat = gaps.select(key, "origin_pos", "_o._a", "_o._b", "_o._c", "_o._noise", "_o._square", "_from", "_to")
+    return touched.groupBy("series").cogroup(flat.groupBy("series")).applyInPandas(run, schema)
+
+
+def _ets_forecasts(y, stops, horizon, season, trend, damped, rounds):
+    """{stop: (forecast, converged)} after each of ``stops`` rows of ``y``, whose parameters are fitted side by side."""
     factor = float(np.abs(y[:min(stops)]).max()) or 1.0  # rows that every origin knows
-    steps = np.arange(1, horizon + 1)
-    carry = np.cumsum(phi ** steps) if phi else np.zeros(horizon)
-    return {n: (level + slope * carry + seasonal[(n + steps - 1) % season]) * factor
-            for n, (level, slope, seasonal) in _smooth(y / factor, season, grid, phi, stops).items()}
+    _, phi, _, converged, states, _ = fit_smoothing(y / factor, season, stops, trend, damped, rounds=rounds)
+    steps, out = np.arange(1, horizon + 1), {}
+    for i, n in enumerate(sorted(stops)):
+        carry = np.cumsum(phi[i] ** steps) if trend else np.zeros(horizon)
+        level, slope, seasonal = (part[i] for part in states)
+        out[n] = (level + slope * carry + seasonal[(n + steps - 1) % season]) * factor, bool(converged[i])
+    return out
 
 
 def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=False, damped=False, min_observations=336,
-        train_window: int | None = None) -> DataFrame:
-    """Additive exponential smoothing per series on a fixed smoothing grid, for every origin.
+        train_window: int | None = None, max_rounds: int = 100) -> DataFrame:
+    """Additive exponential smoothing per series with fitted smoothing (and damping) parameters, for every origin.
 
-    One group is one series, whose length the calendar bounds; without a training window one pass over it serves all
-    origins. A gap or too little
-    data gives NULL with a reason; nothing is interpolated. Forecasts scale with the input.
+    One group is one series, whose length the calendar bounds; without a training window the fits of all origins share
+    each pass over it (``smoothing.fit_smoothing``). A gap, too little data, or a fit that has not converged after
+    ``max_rounds`` gives NULL with a reason; nothing is interpolated. Forecasts scale with the input.
     """
     if damped and not trend:
         raise ContractError("Only a trend can be damped")
@@ -283,7 +302,7 @@ def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=Fal
         runs = {}
         if train_window is None:
             stops = [o - base for o in positions if minimum <= o - base <= whole]
-            runs = _ets_forecasts(values[:max(stops)], stops, horizon, season, trend, damped) if stops else {}
+            runs = _ets_forecasts(values[:max(stops)], stops, horizon, season, trend, damped, max_rounds) if stops else {}
         for o in positions:
             y = values[:max(0, o - base)]
             if train_window is not None:
@@ -294,9 +313,12 @@ def ets(panel: DataFrame, origins: range, horizon: int, season=SEASON, trend=Fal
             elif not np.isfinite(y).all():
                 reason = "missing_training_values"
             else:
-                forecast = runs[len(y)] if len(y) in runs else _ets_forecasts(y, [len(y)], horizon, season, trend, damped)[len(y)]
-                if not np.isfinite(forecast).all():
-                    reason, forecast = "nonfinite_forecast", np.full(horizon, np.nan)
+                forecast, converged = (runs if len(y) in runs else _ets_forecasts(
+                    y, [len(y)], horizon, season, trend, damped, max_rounds))[len(y)]
+                reason = "" if converged else "nonconvergence"
+                reason = reason if np.isfinite(forecast).all() else "nonfinite_forecast"
+                if reason:
+                    forecast = np.full(horizon, np.nan)
             out.append(pd.DataFrame({"series": pdf["series"].iloc[0], "origin_pos": o, "pos": range(o, o + horizon),
                                      "lead": range(1, horizon + 1), "prediction": forecast, "reason": reason}))
         return pd.concat(out)

@@ -1,7 +1,7 @@
 """Per-series and pooled model queries."""
 from pyspark.sql import functions as F
 
-from ..operators import models as M, scoring as S
+from ..operators import forecast as W, models as M, scoring as S
 from .forecast_queries import PLAN, covariate
 from .inputs import PANEL, ZPANEL, panel, registrar, sql, zero_panel
 
@@ -25,6 +25,26 @@ def seasonal_ar(spark, sf):
     return p.select("series", "origin_pos", "pos", F.round("prediction", 4).alias("prediction"))
 
 
+@query("seasonal_ar_gap_coverage", sql(PANEL, """, o AS (SELECT CAST(672 + 48*i AS INTEGER) AS o FROM range(0, 10) t(i)),
+lagged AS (SELECT series, pos, value, lag(value,1) OVER w AS a, lag(value,48) OVER w AS b, lag(value,49) OVER w AS c FROM panel WINDOW w AS (PARTITION BY series ORDER BY pos)),
+n AS (SELECT series, o, count(value) AS n, count(*) FILTER (value IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) >= 3 AS fitted,
+ count(*) FILTER (value IS NULL AND pos >= o - 49) > 0 AS gap FROM lagged JOIN o ON pos < o GROUP BY 1, 2)
+SELECT series, o AS origin_pos, gap, CASE WHEN n >= 336 AND fitted THEN 48 ELSE 0 END AS n_predictions,
+ CASE WHEN n < 336 THEN 'insufficient_observations' WHEN fitted THEN '' ELSE 'singular_system' END AS reason FROM n"""))
+def ar_gaps(spark, sf):
+    """Forecasts of the panel as observed: a gap among the last values and donors costs none of the 48 leads."""
+    p = panel(spark, sf)
+    d = M.model_diagnostics(M.seasonal_ar(p, PLAN.positions(), 48))
+    last = W.at_origins(p.select("series", (F.col("pos") + 49).cast("int").alias("pos"), "value"), PLAN.positions(), 49).groupBy(
+        "series", "origin_pos").agg((F.count_if(F.col("value").isNull()) > 0).alias("gap"))
+    return d.join(last, ["series", "origin_pos"]).select("series", "origin_pos", "gap", "n_predictions", "reason")
+
+
+@query("seasonal_ar_gap_forecast")
+def ar_gap_forecast(spark, sf):
+    return M.seasonal_ar(panel(spark, sf), PLAN.positions(), 48).withColumn("prediction", F.round("prediction", 4))
+
+
 @query("seasonal_ar_diagnostics", sql(PANEL, """, o AS (SELECT CAST(672 + 48*i AS INTEGER) AS o FROM range(0, 10) t(i)),
 n AS (SELECT series, o, count(value) AS n FROM panel JOIN o ON pos < o GROUP BY 1, 2)
 SELECT series, o AS origin_pos, n < 560 AS insufficient FROM n"""))
