@@ -5,6 +5,8 @@ y = R * sin(lat). Grid cells stay rectangles there, so the cells a region can
 touch follow from arithmetic and the range join becomes an equi-join on cell
 indexes.
 """
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checks import ContractError, guard
@@ -51,14 +53,6 @@ def _edge_area(ax, ay, bx, by, x0, x1, y0, y1) -> Column:
     return F.when(left != right, (right - left) * mean).otherwise(0.0)
 
 
-def ring_cell_area(px, py, x0, x1, y0, y1) -> Column:
-    """Signed area of a ring (arrays of x and y, the last point joined to the first) inside a rectangle."""
-    n = F.size(px)
-    point = lambda i: (F.get(px, i), F.get(py, i))
-    edge = lambda i: _edge_area(*point(i), *point((i + 1) % n), x0, x1, y0, y1)
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda total, i: total + edge(i))
-
-
 def _candidates(regions, cells, grid):
     """Region x cell pairs whose boxes touch, by index arithmetic and one equi-join."""
     lat0, lon0, dlat, dlon = grid
@@ -87,21 +81,55 @@ def box_weights(regions: DataFrame, cells: DataFrame, grid) -> DataFrame:
     return p.select("region", "cell", area.alias("area")).where("area > 0")
 
 
+def _edges(regions: DataFrame) -> DataFrame:
+    """One row per edge of every ring (region, end points as latitude, x and y); the last point is joined to the first."""
+    n = F.size("lats")
+    ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        F.get("lats", i).alias("a_lat"), F.get("lons", i).alias("a_lon"),
+        F.get("lats", (i + 1) % n).alias("b_lat"), F.get("lons", (i + 1) % n).alias("b_lon")))
+    edges = regions.where(n > 2).select("region", F.explode(ends).alias("e")).select("region", "e.*").where("a_lat <> b_lat")
+    return edges.withColumns({"ax": plane_x("a_lon"), "ay": plane_y("a_lat"), "bx": plane_x("b_lon"), "by": plane_y("b_lat")})
+
+
 def polygon_weights(regions: DataFrame, cells: DataFrame, grid) -> DataFrame:
     """Overlap areas of polygons (``lats``, ``lons`` arrays) and valid cells.
 
-    A region may have several rows: parts, and holes whose points run the other way round. Only boxes are spread over
-    the grid; a ring meets the cells its box touches after that.
+    A region may have several rows: parts, and holes whose points run the other way round. Each edge is dealt to the grid
+    rows it passes and to the cells it crosses there; in such a cell it leaves the signed area between the cell's west
+    side and itself, and all cells west of them take its height in that row times their width. Those heights are summed
+    from the east along a row, so an interior cell costs one row of a run and no ring meets a cell it does not cross: the
+    work is edges, crossed cells and covered cells. A row of the grid bounds the window.
     """
-    boxes = regions.select("region", F.array_min("lats").alias("lat_min"), F.array_max("lats").alias("lat_max"),
-                           F.array_min("lons").alias("lon_min"), F.array_max("lons").alias("lon_max")).groupBy("region").agg(
-        F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max"))
-    near = _candidates(boxes, cells, grid).select("region", "cell", "_x0", "_x1", "_y0", "_y1")
-    rings = regions.where(F.size("lats") > 2).select("region", F.transform("lons", plane_x).alias("_px"), F.transform("lats", plane_y).alias("_py"))
-    p = near.join(rings, "region").withColumn("_a", ring_cell_area(*map(F.col, ("_px", "_py", "_x0", "_x1", "_y0", "_y1"))))
-    whole = F.max((F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))).alias("_whole")
+    lat0, lon0, dlat, dlon = grid
+    south, west, width = lat0 - dlat / 2, lon0 - dlon / 2, math.radians(dlon) * EARTH_RADIUS
+    row = lambda lat: F.floor((lat - south) / dlat).cast("int")
+    column = lambda x: F.floor((x / width) - west / dlon).cast("int")
+    side = lambda i: (i + west / dlon) * width
+    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
+    banded = _edges(regions).withColumn("iy", F.explode(F.sequence(row(low), row(high))))
+    banded = banded.withColumns({"y0": plane_y(south + F.col("iy") * dlat), "y1": plane_y(south + (F.col("iy") + 1) * dlat)})
+    held = lambda y: F.least(F.greatest(F.col(y), F.col("y0")), F.col("y1"))
+    at = lambda y: F.col("ax") + (F.col("bx") - F.col("ax")) * ((held(y) - F.col("ay")) / (F.col("by") - F.col("ay")))
+    banded = banded.withColumns({"climb": held("by") - held("ay"), "first": column(F.least(at("ay"), at("by"))),
+                                 "last": column(F.greatest(at("ay"), at("by")))}).where("climb <> 0")
+    crossed = banded.withColumn("ix", F.explode(F.sequence("first", "last")))
+    part = _edge_area(*map(F.col, ("ay", "ax", "by", "bx", "y0", "y1")), side(F.col("ix")), side(F.col("ix") + 1))
+    events = crossed.groupBy("region", "iy", "ix").agg(
+        F.sum(part).alias("part"), F.sum(F.when(F.col("ix") == F.col("first"), F.col("climb")).otherwise(0.0)).alias("climb"),
+        F.max(F.col("y1") - F.col("y0")).alias("height"))
+    along = Window.partitionBy("region", "iy").orderBy(F.col("ix").desc())
+    east = F.coalesce(F.sum("climb").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    swept = events.withColumns({"east": east, "next": F.lead("ix").over(along)})
+    inner = F.col("east") + F.col("climb")  # what lies between this crossed cell and the next one to the west
+    run = F.when((F.abs(inner) > 1e-9 * F.col("height")) & (F.col("next") < F.col("ix") - 1), F.sequence(F.col("next") + 1, F.col("ix") - 1))
+    here = F.struct("ix", F.abs(F.col("part") + F.col("east") * width).alias("area"))
+    filled = F.transform(F.coalesce(run, F.array().cast("array<int>")), lambda i: F.struct(i.alias("ix"), F.abs(inner * width).alias("area")))
+    covered = swept.select("region", "iy", "height", F.explode(F.concat(F.array(here), filled)).alias("c")).select(
+        "region", "iy", F.col("c.ix").alias("ix"), F.col("c.area").alias("area"), "height")
+    placed = cells.select("cell", row(F.col("lat")).alias("iy"), column(plane_x("lon")).alias("ix"))
     # what the sums leave by rounding is no overlap
-    return p.groupBy("region", "cell").agg(F.abs(F.sum("_a")).alias("area"), whole).where("area > 1e-9 * _whole").drop("_whole")
+    found = covered.where(F.col("area") > 1e-9 * width * F.col("height")).join(placed, ["ix", "iy"])
+    return found.select("region", "cell", "area")
 
 
 def box_area() -> Column:

@@ -58,6 +58,46 @@ def test_polygon_with_hole_and_parts(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def clipped_area(points, x0, x1, y0, y1):
+    """Area of a polygon inside a rectangle: cut by its four sides in turn, then the shoelace formula."""
+    for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        kept = []
+        for p, q in zip(points, points[1:] + points[:1]):
+            dp, dq = sign * (p[axis] - limit), sign * (q[axis] - limit)
+            if dp >= 0:
+                kept.append(p)
+            if dp * dq < 0:
+                kept.append(tuple(a + (b - a) * dp / (dp - dq) for a, b in zip(p, q)))
+        points = kept
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1]))) / 2 if points else 0.0
+
+
+def test_star_polygons_against_clipping(spark):
+    rng = np.random.default_rng(8)
+    lat0, lon0, step = 49.0, -3.0, 0.25
+    grid = [(iy * 30 + ix, lat0 + step * iy, lon0 + step * ix) for iy in range(24) for ix in range(30)]
+    cells = spark.createDataFrame(grid, "cell int, lat double, lon double")
+    rings = []
+    for name, points, size in (("small", 5, 0.05), ("star", 41, 2.4), ("large", 400, 2.7), ("flat", 7, 1.5)):
+        turn = np.sort(rng.random(points)) * 2 * np.pi
+        reach = size * (0.4 + 0.6 * rng.random(points))
+        lats, lons = 51.9 + reach * np.sin(turn) * (0.02 if name == "flat" else 1), 0.55 + reach * np.cos(turn)
+        rings.append((name, lats.tolist(), lons.tolist()) if name != "star" else (name, lats[::-1].tolist(), lons[::-1].tolist()))
+    got = {(r["region"], r["cell"]): r["area"] for r in T.polygon_weights(
+        spark.createDataFrame(rings, "region string, lats array<double>, lons array<double>"), cells, (lat0, lon0, step, step)).collect()}
+    x = lambda lon: math.radians(lon) * T.EARTH_RADIUS
+    y = lambda lat: math.sin(math.radians(lat)) * T.EARTH_RADIUS
+    want = {}
+    for name, lats, lons in rings:
+        points = [(x(b), y(a)) for a, b in zip(lats, lons)]
+        for cell, lat, lon in grid:
+            area = clipped_area(points, x(lon - step / 2), x(lon + step / 2), y(lat - step / 2), y(lat + step / 2))
+            if area > 1e-3:
+                want[name, cell] = area
+    assert got.keys() >= want.keys() and all(math.isclose(got[k], want.get(k, 0), rel_tol=1e-6, abs_tol=2.0) for k in got)
+    assert len(want) > 400
+
+
 def test_half_hours_fill_the_common_axis_with_gaps(spark):
     rows = [("A", at(1), 1.0), ("A", at(2), 3.0), ("A", at(5), 9.0), ("B", at(0), 4.0), ("B", at(6), 8.0)]
     filled = T.half_hourly(spark.createDataFrame(rows, "region string, ts timestamp, temperature_c double"))
