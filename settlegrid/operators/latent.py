@@ -12,6 +12,7 @@ from ..checks import ContractError
 from ..functions.ranks import spearman
 from ..functions.windows import hash_sample, md5_order
 from ..session import durable
+from .neighbours import nearest_neighbours
 from .recurrence import held_out
 from .subspace import leading_directions
 
@@ -129,34 +130,44 @@ def _tiles(points: DataFrame, tile=TILE) -> DataFrame:
 
 
 def _tile_pairs(points: DataFrame, tile=TILE) -> DataFrame:
-    """Each block meets each block once through an equi-join on the second block's number."""
+    """Every unordered pair of blocks once (a block also with itself), by an equi-join on the second block's number."""
     t = _tiles(points, tile)
-    left = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "other", F.col("rows").alias("a"))
-    return left.join(t.select(F.col("tile").alias("other"), F.col("rows").alias("b")), "other").repartition("other", F.xxhash64("a"))
+    left = t.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("blocks") - 1))).select(
+        "tile", "other", F.col("rows").alias("a"))
+    pairs = left.join(t.select(F.col("tile").alias("other"), F.col("rows").alias("b")), "other")
+    return pairs.select(F.col("tile"), "other", (F.col("tile") == F.col("other")).alias("same"), "a", "b").repartition("tile", "other")
 
 
 def _matrix(rows):
     return np.array([r["z"] for r in rows], dtype=float)
 
 
+def _distances(za, zb):
+    """Euclidean distances, one row of differences at a time: exact zeros for equal points and no product of all three axes."""
+    return np.stack([np.sqrt(((zb - row) ** 2).sum(1)) for row in za])
+
+
 def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
     """Per point and label: summed distance to that label's points, and their number.
 
     Distances live inside numpy blocks only; no pair is ever emitted. Each task
     returns one row per (point, label), added up by a partial aggregation.
     """
+    def sums(d, rows, others):
+        labels = np.array([r["label"] for r in others])
+        ids, own = [r["id"] for r in rows], [r["label"] for r in rows]
+        for lab in np.unique(labels):
+            hit = labels == lab
+            yield pd.DataFrame({"id": ids, "label": own, "other": int(lab), "total": d[:, hit].sum(1), "n": int(hit.sum())})
+
     def work(batches):
         for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                za, zb = _matrix(a), _matrix(b)
-                labels = np.array([r["label"] for r in b])
-                d = np.stack([np.sqrt(((zb - row) ** 2).sum(1)) for row in za])
-                ids, own = [r["id"] for r in a], [r["label"] for r in a]
-                for lab in np.unique(labels):
-                    hit = labels == lab
-                    yield pd.DataFrame({"id": ids, "label": own, "other": int(lab), "total": d[:, hit].sum(1), "n": int(hit.sum())})
-    parts = _tile_pairs(points, tile).select("a", "b").mapInPandas(work, "id string, label int, other int, total double, n long")
+            for same, a, b in zip(pdf["same"], pdf["a"], pdf["b"]):
+                d = _distances(_matrix(a), _matrix(b))
+                yield from sums(d, a, b)
+                if not same:
+                    yield from sums(d.T, b, a)
+    parts = _tile_pairs(points, tile).select("same", "a", "b").mapInPandas(work, "id string, label int, other int, total double, n long")
     return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -200,33 +211,10 @@ def centroid_scores(points: DataFrame) -> DataFrame:
 
 
 def nearest_label_agreement(points: DataFrame, k=5, tile=TILE) -> DataFrame:
-    """Mean share of the ``k`` nearest other points that carry a point's label.
-
-    Each block keeps its ``k`` best per point and the bests of all blocks merge by
-    an array aggregate, so partitions hold k rows per point, not the pairs. Ties go
-    to the smaller id.
-    """
-    def work(batches):
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                za, zb = _matrix(a), _matrix(b)
-                ids = np.array([r["id"] for r in b])
-                labels = np.array([r["label"] for r in b])
-                order = np.argsort(ids, kind="stable")
-                zb, ids, labels = zb[order], ids[order], labels[order]
-                out = []
-                for r, row in zip(a, za):
-                    d = np.sqrt(((zb - row) ** 2).sum(1))
-                    d[ids == r["id"]] = np.inf
-                    best = np.argsort(d, kind="stable")[:k]
-                    out += [(r["id"], int(r["label"]), float(d[j]), str(ids[j]), int(labels[j])) for j in best if np.isfinite(d[j])]
-                yield pd.DataFrame(out, columns=["id", "label", "distance", "other", "other_label"])
-    near = _tile_pairs(points, tile).select("a", "b").mapInPandas(
-        work, "id string, label int, distance double, other string, other_label int")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "other_label"))), 1, k)
-    per = near.groupBy("id", "label").agg(best.alias("n"))
-    share = F.aggregate("n", F.lit(0.0), lambda s, x: s + (x["other_label"] == F.col("label")).cast("double")) / F.size("n")
-    return per.agg(F.avg(share).alias("knn_label_agreement"))
+    """Mean share of the ``k`` nearest other points that carry a point's label. Ties go to the smaller id."""
+    near = nearest_neighbours(points, k, tile)[0]
+    share = F.avg((F.col("other_label") == F.col("label")).cast("double"))
+    return near.groupBy("id").agg(share.alias("s")).agg(F.avg("s").alias("knn_label_agreement"))
 
 
 def latent_metrics(points: DataFrame) -> DataFrame:
@@ -252,15 +240,14 @@ def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFr
 
     def work(batches):
         for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
+            for same, a, b in zip(pdf["same"], pdf["a"], pdf["b"]):
                 za, zb, w = _matrix(a), _matrix(b), a[0]["label"]
-                ia, ib = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
                 for i, row in enumerate(za):
-                    later = ib > ia[i]
-                    if later.any():
-                        diff = (zb[later] - row) ** 2
+                    later = zb[i + 1:] if same else zb
+                    if len(later):
+                        diff = (later - row) ** 2
                         yield pd.DataFrame({"x": np.sqrt(diff[:, :w].sum(1)), "y": np.sqrt(diff[:, w:].sum(1))})
-    rows = _tile_pairs(packed, tile).select("a", "b").mapInPandas(work, "x double, y double").withColumn("g", F.lit(1))
+    rows = _tile_pairs(packed, tile).select("same", "a", "b").mapInPandas(work, "x double, y double").withColumn("g", F.lit(1))
     return spearman(durable(rows), ["g"], "x", "y").select("n_paired", F.col("spearman").alias("distance_rank_stability"))
 
 

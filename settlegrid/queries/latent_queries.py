@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import latent as L
+from ..operators.neighbours import nearest_neighbours
 from .inputs import registrar, sql, table
 
 Q, SQL, query = registrar()
@@ -139,6 +140,13 @@ def agreement(spark, sf):
     return L.nearest_label_agreement(points(spark, sf)).withColumn("knn_label_agreement", F.round("knn_label_agreement", 6))
 
 
+@query("nearest_neighbours", sql(DIST, """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, CAST(other AS VARCHAR)) AS rank FROM d)
+SELECT CAST(id AS VARCHAR) AS id, CAST(rank AS INTEGER) AS rank, CAST(other AS VARCHAR) AS other, round(d,6) AS distance FROM r WHERE rank <= 5"""))
+def neighbours(spark, sf):
+    rows = nearest_neighbours(points(spark, sf), tile=64)[0]
+    return rows.select("id", "rank", "other", F.round("distance", 6).alias("distance"))
+
+
 @query("latent_metrics", f"SELECT * FROM ({SQL['label_silhouette']}) a, ({SQL['centroid_scores']}) b, ({SQL['nearest_label_agreement']}) c")
 def metrics(spark, sf):
     m = L.latent_metrics(points(spark, sf))
