@@ -91,53 +91,82 @@ def best_fit(lengths, limit: int = LIMIT):
     return bins, made
 
 
-def improve(lengths, bins, limit: int = LIMIT, patience: int = 25):
+def improve(lengths, bins, limit: int = LIMIT):
     """Empty the least filled bins by moves, one-for-one and two-for-one exchanges into fuller underfull bins.
 
-    The step taken is always the one that adds most to the sum of squared fills, so the search ends. ``patience``
-    bins in a row that could not be emptied stop it.
+    The step taken is always the one that adds most to the sum of squared fills, so the search ends: at the bound (all
+    lengths over ``limit``, rounded up), or when a pass over all underfull bins empties none. Partners are found in a
+    table of the (length, free space) pairs that underfull bins offer, so equal lengths are looked at once.
     """
-    size, home = np.asarray(lengths, np.int64), np.array(bins, np.int64)
-    if not len(size):
+    home = np.array(bins, np.int64)
+    if not len(home):
         return home
+    size = np.asarray(lengths, np.int64)
     fill = np.bincount(home, size).astype(np.int64)
-    tried, failed = set(), 0
-    while failed < patience:
-        order = [b for b in np.argsort(fill, kind="stable")[:len(tried) + 1 + int((fill == 0).sum())] if fill[b] and b not in tried]
-        if not order or fill[order[0]] >= limit:
-            break
-        source = order[0]
-        tried.add(source)
-        while fill[source]:
-            own = np.flatnonzero(home == source)
-            others = np.flatnonzero((home != source) & (fill[home] < limit) & (fill[home] >= fill[source]))
-            best = (0, None)
-            gaps = np.where((fill > 0) & (fill < limit), limit - fill, 0)
-            gaps[source] = 0
-            for x in own:  # move
-                fits = np.where(gaps >= size[x], fill, -1)
-                b = int(fits.argmax())
-                if fits[b] >= 0:
-                    gain = 2 * size[x] * (fill[b] - fill[source] + size[x])
-                    best = max(best, (int(gain), ((int(x),), None, b)), key=lambda t: t[0])
-            sets = [(int(x),) for x in own] + [(int(x), int(y)) for k, x in enumerate(own) for y in own[:k]]
-            for out in sets if len(others) else ():
-                shift = size[list(out)].sum() - size[others]
-                room = limit - fill[home[others]]
-                gain = np.where((shift > 0) & (shift <= room), 2 * shift * (fill[home[others]] - fill[source] + shift), 0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), (out, int(others[k]), int(home[others[k]])))
-            if best[1] is None:
+    left = int((fill > 0).sum()) - int(-(-size.sum() // limit))
+    content = {int(b): {} for b in np.flatnonzero((fill > 0) & (fill < limit))}
+    for i, b in enumerate(home.tolist()):
+        if b in content:
+            content[b].setdefault(int(size[i]), []).append(i)
+    width, offers = limit + 1, {}  # length * width + free space: bins; length 0 stands for a plain move
+
+    def place(b, add):
+        free = limit - int(fill[b])
+        for y in (0, *content[b]):
+            if add:
+                offers.setdefault(y * width + free, set()).add(b)
+            else:
+                at = offers[y * width + free]
+                at.discard(b)
+                if not at:
+                    del offers[y * width + free]
+
+    def hand_over(length, a, b):
+        """One piece of this length goes from bin a to bin b."""
+        i = content[a][length].pop()
+        if not content[a][length]:
+            del content[a][length]
+        content[b].setdefault(length, []).append(i)
+        home[i] = b
+        fill[a] -= length
+        fill[b] += length
+
+    for b in content:
+        place(b, True)
+    gained = True
+    while gained and left > 0:
+        gained = False
+        for source in sorted(content, key=lambda b: (fill[b], b)):
+            if left <= 0:
                 break
-            out, back, b = best[1]
-            moved = size[list(out)].sum() - (size[back] if back is not None else 0)
-            home[list(out)] = b
-            if back is not None:
-                home[back] = source
-            fill[b] += moved
-            fill[source] -= moved
-        failed = failed + 1 if fill[source] else 0
+            if not 0 < fill[source] < limit:
+                continue
+            place(source, False)
+            while fill[source]:
+                own = sorted(content[source])
+                out = [(x,) for x in own] + [(x, y) for k, x in enumerate(own) for y in own[k:] if x != y or len(content[source][x]) > 1]
+                table = np.fromiter(offers, np.int64, len(offers))
+                back, free = table // width, table % width
+                near = free <= limit - fill[source]
+                back, free = back[near], free[near]
+                shift = np.array([sum(o) for o in out])[:, None] - back
+                gain = np.where((shift > 0) & (shift <= free), shift * (limit - free - fill[source] + shift), 0)
+                if not gain.size or not gain.max():
+                    break
+                k, j = np.unravel_index(int(gain.argmax()), gain.shape)
+                target = min(offers[int(back[j]) * width + int(free[j])])
+                place(target, False)
+                for x in out[k]:
+                    hand_over(x, source, target)
+                if back[j]:
+                    hand_over(int(back[j]), target, source)
+                if fill[target] < limit:
+                    place(target, True)
+            if fill[source]:
+                place(source, True)
+            else:
+                left, gained = left - 1, True
+        content = {b: c for b, c in content.items() if 0 < fill[b] < limit}
     return home
 
 
