@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices, stored
+
 WINDOW = 10
 BLOCK_BYTES = 4_000_000
 #: Byte table of the word rule: A-Z lower-cased, other ASCII outside 0-9 and a-z made a space, all else kept.
@@ -73,7 +75,7 @@ def spans_of(text: str, runs) -> list:
 def _scanner(patterns):
     def run(batches):
         machine = automaton(patterns)
-        for batch in batches:
+        for batch in slices(batches):
             n, hit, ids, spans = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 count, runs, items = scan(machine, text)
@@ -90,7 +92,7 @@ def _scanner(patterns):
 
 
 def item_blocks(bench: DataFrame, id_col="item_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> list:
-    """The items in blocks whose texts together stay near ``block_bytes``; only one block is on the driver at a time."""
+    """The items in blocks whose texts together stay near ``block_bytes``; the driver gets one block at a time."""
     size = bench.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     rows = bench.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
@@ -116,21 +118,22 @@ def scan_documents(docs: DataFrame, bench: DataFrame, width: int = WINDOW, text_
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     if len(blocks) == 1:
         return one(rows, blocks[0], kinds)
-    # rows under one id are told apart by their texts; equal rows have equal hits
-    rows, kinds, found = rows.withColumn("_v", F.xxhash64("_text")), f"{kinds}, _v bigint", None
+    # Rows are stored once under a tag; a block's patterns are gone from the driver when its hits are stored.
+    rows = stored(rows.withColumn("_tag", F.monotonically_increasing_id()))
+    found = None
     for block in blocks:
-        hits = one(rows, block, kinds)
+        hits = stored(one(rows.select("_tag", "_text"), block, "_tag long"))
         found = hits if found is None else found.unionByName(hits)
-    merged = found.groupBy(*keep, "_v").agg(
+    merged = found.groupBy("_tag").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return _joined(merged, rows, keep)
 
 
-def _joined(merged, texts, keep):
+def _joined(merged, rows, keep):
     """Spans of several blocks over one text overlap: count the words under their union."""
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hit = []
             for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
                 marked = np.zeros(len(text or "") + 1, bool)
@@ -139,7 +142,7 @@ def _joined(merged, texts, keep):
                 hit.append(sum(1 for m in WORD.finditer(text or "") if marked[m.start()]) if spans else 0)
             cols = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in cols] + [pa.array(hit, pa.int64())], cols + ["n_hit"])
-    both = texts.join(merged, [texts[k].eqNullSafe(merged[k]) for k in (*keep, "_v")]).select(*[texts[k] for k in keep], "_text", "n_words", "items", "spans")
+    both = rows.join(merged, "_tag").select(*keep, "_text", "n_words", "items", "spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.drop("_text").schema)
     return both.mapInArrow(count, f"{kinds}, n_hit long")
 

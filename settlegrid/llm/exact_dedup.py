@@ -190,13 +190,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; the rules of :func:`exact_groups`."""
-    key = digest_of(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("digest"),
-                       F.lit(0).cast("long").alias("tag"), F.lit(1).cast("long").alias("size"))
-    kept = index_digests(rows).select(F.col("digest").alias("_key"), F.coalesce("keep_id", F.lit(-1)).alias("_id"),
-                                      F.col("keep_id").isNull().alias("_none"))
-    tagged = docs.withColumns({"_key": key, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)),
-                               "_none": F.col(id_col).isNull()})
-    on = ["_key", "_id", "_none"]
-    return tagged.join(kept, on).dropDuplicates(on).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns whatever their names; the rules of :func:`exact_groups`.
+
+    Rows travel as one struct beside the keys, so no name of theirs can clash. Of repeated rows one stays; they meet after
+    a combination on the map side.
+    """
+    given, key = F.col(id_col).cast("long"), digest_of(F.col(text_col))
+    rows = docs.select(given.alias("doc_id"), key.alias("digest"), F.lit(0).cast("long").alias("tag"), F.lit(1).cast("long").alias("size"))
+    kept = index_digests(rows).select("digest", F.coalesce("keep_id", F.lit(-1)).alias("id"), F.col("keep_id").isNull().alias("none"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tagged = docs.select(whole, key.alias("digest"), F.coalesce(given, F.lit(-1)).alias("id"), F.col(id_col).isNull().alias("none"))
+    on = ["digest", "id", "none"]
+    return tagged.join(kept, on).dropDuplicates(on).select("row.*")

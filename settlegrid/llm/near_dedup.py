@@ -248,7 +248,8 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, parts: DataFrame, best: bo
     return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col="doc_id", text_col="text") -> DataFrame:
+def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col="doc_id", text_col="text",
+                    with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Rows with equal shingle sets are one class from the start, however many. Classes are linked step by step: each with its
@@ -256,7 +257,8 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
     different components. Every link is confirmed on the full sets of whole texts. Two similar texts share a list always if
     one has at most ``LISTED`` shingles, else with a probability of 1 - 1e-8; sketches then rule out pairs ``SIGMAS``
     deviations below the similarity. Null and empty texts have no shingles and are linked with nothing, rows without an id neither: they are their own component
-    (null id: null) and kept. Repeated rows share a component. Empty input gives an empty result.
+    (null id: null) and kept. Repeated rows share a component. Empty input gives an empty result. ``with_key`` adds set_key,
+    the digest of the row's set.
     """
     table = stored(shingle_table(docs, words, id_col=id_col, text_col=text_col))
     full = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -280,7 +282,7 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+                      (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), *["set_key"] * with_key)
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, words: int = WORDS, id_col="doc_id", text_col="text") -> DataFrame:
@@ -302,8 +304,31 @@ def _same_set(words):
     return run
 
 
+def _keys(words):
+    """Task: the digest of the set of each text in the first column; the rest is handed on."""
+    def run(batches):
+        for batch in slices(batches):
+            keys = [hashlib.blake2b(shingle_set(t, words).tobytes(), digest_size=16).digest() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.binary())], [*batch.schema.names[1:], "set_key"])
+    return run
+
+
 def drop_near_copies(docs: DataFrame, words: int = WORDS, share: int = SHARE, text_col="text", id_col="doc_id") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with their columns."""
-    found = near_components(docs, words, share, id_col, text_col)
-    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost["_gone"], "left_anti")
+    """The rows of ``docs`` that are the smallest id of their component, with their columns.
+
+    An id whose rows are all lost goes by an anti-join on the id. Where an id stands over several texts of which only
+    some are lost, its rows are told apart by their sets, so the other texts stay.
+    """
+    found = near_components(docs, words, share, id_col, text_col, True)
+    lost = stored(found.where("NOT kept").select("doc_id", "set_key").distinct())
+    stays = found.where("kept").join(lost.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    mixed = stored(stays)
+    given = docs[id_col].cast("long")
+    ids = lost.select(F.col("doc_id").alias("_gone")).distinct()
+    others = docs.join(ids, given == ids["_gone"], "left_anti")
+    some = mixed.select(F.col("doc_id").alias("_some"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.join(some, given == some["_some"], "left_semi").select(F.col(text_col).alias("text"), whole, F.col(id_col).cast("long").alias("doc_id"))
+    kinds = f"row {held.schema['row'].dataType.simpleString()}, doc_id long, set_key binary"
+    told = held.mapInArrow(_keys(words), kinds).join(lost, ["doc_id", "set_key"], "left_anti").select("row.*")
+    return others.unionByName(told)

@@ -96,13 +96,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
     """Fit on at most ``sample`` labelled rows outside fold 0, taken in hash order of their ids.
 
     The driver gets their vectors (8 kB each, 32 MB at most), never a text. Labels other than 0 and 1 and rows without
-    an id are left out; without any label the score is 0.5 everywhere.
+    an id are left out, and repeated rows of one id and text count once, before the limit; without any label the score is
+    0.5 everywhere.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max("quality").cast("int").alias("quality"))
     known = known.where(fold(F.col("_id")) != 0).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "_id").select("text", "quality")  # at most ``sample`` rows are broadcast
+    found = texts.join(F.broadcast(known), "_id")  # at most ``sample`` rows are broadcast
+    one = found.groupBy("_id", F.xxhash64("text").alias("_hash")).agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = one.orderBy(F.xxhash64("_id"), "_id", "_hash").limit(sample).select("text", "quality")
     got = rows.mapInArrow(_vectors, "counts binary, shapes binary, quality int").collect()
     if not got:
         return NeighbourVote(None, None, None, 0.5)

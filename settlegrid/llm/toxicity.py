@@ -110,18 +110,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
     """Fit on at most ``sample`` labelled rows outside fold 0, taken in hash order of their ids.
 
     Folds 1 and 2 give the lexicon, fold 3 the trees, which so see lexicon counts of texts the lexicon was not made
-    from, and fold 4 the calibration. Labels other than 0 and 1 and rows without an id are left out.
+    from, and fold 4 the calibration. Where fold 3 lacks a class, all four folds together give lexicon and trees, without
+    a calibration; where all of them lack one, every score is the share of toxic rows. Labels other than 0 and 1 and rows
+    without an id are left out; repeated rows of one id and text count once, before the limit.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_fold", fold(F.col("_id"))).where("_fold <> 0")
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(texts.join(F.broadcast(known), "_id").select("_fold", "text", "toxic"))  # at most ``sample`` rows are broadcast
+    found = texts.join(F.broadcast(known), "_id")  # at most ``sample`` rows are broadcast
+    one = found.groupBy("_id", F.xxhash64("text").alias("_hash")).agg(F.first("_fold").alias("_fold"), F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = stored(one.orderBy(F.xxhash64("_id"), "_id", "_hash").limit(sample).select("_fold", "text", "toxic"))
     share = rows.agg(F.avg("toxic")).first()[0]
     kinds = {(r[0], r[1]) for r in rows.select("_fold", "toxic").distinct().collect()}
-    if not {(3, 0), (3, 1)} <= kinds:
+    if len({label for _, label in kinds}) < 2:
         return ToxicityModel(None, None, None, float(share or 0.0))
-    lexicon = learn_lexicon(rows.where(F.col("_fold").isin(1, 2)))
+    if not {(3, 0), (3, 1)} <= kinds:
+        rows, kinds, words = rows.withColumn("_fold", F.lit(3)), set(), rows
+    else:
+        words = rows.where(F.col("_fold").isin(1, 2))
+    lexicon = learn_lexicon(words)
     described = stored(featurise(rows.where(F.col("_fold").isin(3, 4)), lexicon).drop("text").coalesce(2))
     trees = GBTClassifier(featuresCol="_x", labelCol="toxic", maxIter=15, maxDepth=3, stepSize=0.3, seed=7, predictionCol="_predicted")
     trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(described.where("_fold = 3"))
@@ -133,7 +141,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Null text scores as empty; nothing but the text is read."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    Null text scores as empty, texts are read whole, repeated rows score alike, a null id is not held out. An empty table
+    gives an empty result. Nothing but the text is read, so names of other columns do not matter.
+    """
     model = fit_toxicity(docs, labels, sample, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = model.score(rows)
@@ -141,6 +153,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
                          (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, text_col="text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their columns."""
-    return fit_toxicity(docs, labels, sample, text_col=text_col).score(docs, text_col).where(F.col("_score") < threshold).select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, text_col="text", id_col="doc_id") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns, whatever these are called."""
+    model = fit_toxicity(docs, labels, sample, id_col, text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # none begins like the columns of the model
+    scored = model.score(docs.toDF(*names), names[docs.columns.index(text_col)])
+    return scored.where(F.col("_score") < threshold).select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns)])

@@ -129,7 +129,7 @@ def test_local_search_empties_bins_and_keeps_limits():
         first, made = packing.best_fit(lengths, 100)
         worse = list(range(400))  # one bin each: the search alone has to do the work
         for start in (first, worse):
-            home = packing.improve(lengths, start, 100, patience=60)
+            home = packing.improve(lengths, start, 100)
             fill = Counter()
             for b, n in zip(home.tolist(), lengths):
                 fill[b] += n
