@@ -83,42 +83,35 @@ def linear_fill(gated: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFr
         "source": F.when(ok, "linear").otherwise(F.col("source"))}).drop("_v0", "_v1", "_p0", "_p1")
 
 
-def sorted_median(values):
-    """Median of an ascending array Column (NULL when empty)."""
-    n = F.size(values)
-    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int"))
-                          + F.get(values, F.floor(n / 2).cast("int"))) / 2)
-
-
 def seasonal_fill(filled: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:
     """Same clock slot and day type on other dates, median of day values.
 
-    Cells fold into one row per (series, slot, day type): at most one entry per
-    local day, so the calendar bounds it. The panel is read once, keeps its series
-    partitioning, and needs no join. A date shares a slot at most twice (autumn),
-    so its average is its median.
+    The days of a slot and day type are ranked once; the median without one of them lies on the middle ranks or one
+    beside them, so three values and the number of days serve every open cell of the group. All windows lead with the
+    series, whose partitioning they keep; nothing is packed, paired or joined. A date shares a slot at most twice
+    (autumn), so its average is its median.
     """
     if policy.method == "none":
         return filled
-    names = [c for c in filled.columns if c not in by]
-    days = filled.groupBy(*by, clock_slot("ts").alias("_slot"), local_date("ts").alias("_date")).agg(
-        F.collect_list(F.struct(*names)).alias("cells"), F.avg("value").alias("v"),
-        F.max(F.col("filled").isNull() & F.col("allowed")).alias("open"))
-    groups = days.groupBy(*by, "_slot", day_type("_date").alias("_type")).agg(
-        F.collect_list(F.struct(F.col("_date").alias("date"), "v", "open", "cells")).alias("days"))
-
-    def donated(day):
-        others = F.filter("days", lambda e: e["v"].isNotNull() & (e["date"] != day["date"]))
-        ordered = F.array(F.array_sort(F.transform(others, lambda e: e["v"])))
-        return F.transform(ordered, lambda v: F.when(F.size(v) >= policy.min_donor_days, sorted_median(v)))[0]
-
-    per_day = groups.select(*by, F.explode(F.transform("days", lambda d: F.struct(
-        d["cells"].alias("cells"), F.when(d["open"], donated(d)).alias("m")))).alias("d"))
-    cells = per_day.select(*by, F.col("d.m").alias("_donated"), F.explode("d.cells").alias("c")).select(
-        *by, "c.*", "_donated")
-    hit = F.col("filled").isNull() & F.col("allowed") & F.col("_donated").isNotNull()
-    return cells.withColumns({"source": F.when(hit, "seasonal_median").otherwise(F.col("source")),
-                              "filled": F.when(hit, F.col("_donated")).otherwise(F.col("filled"))}).drop("_donated")
+    group = [*by, "_slot", "_type"]
+    day, every = Window.partitionBy(*group, "_date"), Window.partitionBy(*group)
+    rows = filled.withColumns({"_slot": clock_slot("ts"), "_date": local_date("ts")}).withColumn("_type", day_type("_date"))
+    rows = rows.withColumn("_own", F.avg("value").over(day)).withColumn(
+        "_day", F.when(F.row_number().over(day.orderBy("pos")) == 1, F.col("_own")))
+    rows = rows.withColumns({"_n": F.count("_day").over(every), "_rank": F.row_number().over(every.orderBy(F.col("_day").asc_nulls_last())) - 1})
+    half = F.floor(F.col("_n") / 2)
+    rows = rows.withColumns({f"_s{k}": F.max(F.when(F.col("_rank") == half + k - 1, F.col("_day"))).over(every) for k in range(3)})
+    # Taking the own day out moves up every rank from its value on.
+    low, middle, own = F.col("_s0"), F.col("_s1"), F.col("_own")
+    below = F.when(low < own, low).otherwise(middle)
+    above = F.when(middle < own, middle).otherwise(F.col("_s2"))
+    odd = F.col("_n") % 2 == 1
+    without = F.when(odd, (below + above) / 2).otherwise(below)
+    donated = F.when(own.isNotNull(), without).when(odd, middle).otherwise((low + middle) / 2)
+    others = F.col("_n") - own.isNotNull().cast("int")
+    hit = F.col("filled").isNull() & F.col("allowed") & (others >= policy.min_donor_days) & donated.isNotNull()
+    return rows.withColumns({"source": F.when(hit, "seasonal_median").otherwise(F.col("source")),
+                             "filled": F.when(hit, donated).otherwise(F.col("filled"))}).select(*filled.columns)
 
 
 def fill_gaps(panel: DataFrame, policy=FillPolicy(), by=("series",)) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from settlegrid.functions.clock import clock_slot, local_date
 from settlegrid.operators import features as X, gaps as G
 
 
@@ -156,3 +157,27 @@ def test_legacy_psd_matches_fft(make_panel):
     v = np.r_[p[-6:], p[:7]]
     want = (v[0] + v[-1] + 4 * v[1:-1:2].sum() + 2 * v[2:-1:2].sum()) / 240 / 3
     assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_seasonal_median_without_the_own_day_equals_brute_force(make_panel):
+    """Any number of donor days, ties, and an autumn day whose other cell of the slot is known."""
+    rng = np.random.default_rng(6)
+    n = 48 * 30 + 2
+    values = rng.integers(0, 4, n).astype(float)
+    values[rng.random(n) < 0.3] = np.nan
+    panel = make_panel({"A": values, "B": np.where(rng.random(n) < 0.85, np.nan, values)}, "2022-10-09T23:00:00")
+    open_all = G.FillPolicy(max_missing_fraction=0.99, max_gap=n, linear_max_gap=1)
+    gated = G.gate(panel, open_all).withColumn("filled", F.col("value"))  # without the line, so that every gap is open
+    got = G.seasonal_fill(gated, open_all)
+    rows = got.select("series", "pos", "value", "filled", "source", clock_slot("ts").alias("slot"), local_date("ts").alias("date")).collect()
+    days = {}
+    for r in rows:
+        days.setdefault((r["series"], r["slot"], r["date"].weekday() >= 5), {}).setdefault(r["date"], []).append(r["value"])
+    for r in rows:
+        if r["value"] is not None:
+            assert r["filled"] == r["value"]
+            continue
+        known = [[v for v in vs if v is not None] for d, vs in days[r["series"], r["slot"], r["date"].weekday() >= 5].items() if d != r["date"]]
+        donors = [np.median(vs) for vs in known if vs]
+        want = float(np.median(donors)) if len(donors) >= open_all.min_donor_days else None
+        assert r["filled"] == want and r["source"] == ("missing" if want is None else "seasonal_median")
