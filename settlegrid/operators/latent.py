@@ -271,33 +271,6 @@ def marginal_members(points: DataFrame, ranges: dict, per_region=2, seed=7) -> D
     return hash_sample(inside, ["region"], per_region, md5_order(F.lit(seed), "region", "id"))
 
 
-def transfer_scores(inputs: DataFrame, members: DataFrame, width=48) -> DataFrame:
-    """Representative-profile transfer: early vectors through two components to later slot medians.
-
-    ``inputs`` has (series, phase, vector), ``members`` (series, held_out). One row
-    per model: persistence and PCA, with RMSE, MAE and training reconstruction error.
-    """
-    rows = inputs.join(members, "series")
-    early = rows.where("phase = 'development'").select(F.col("series").alias("id"), "held_out", F.posexplode(F.slice("vector", 1, width)).alias("pos", "value"))
-    late = rows.where("phase = 'holdout'").where("held_out").select(F.col("series").alias("id"), F.posexplode(F.slice("vector", 1, 48)).alias("pos", "later"))
-    train = early.where(~F.col("held_out")).select("id", "pos", "value")
-    test = early.where("held_out").select("id", "pos", "value")
-    fit = completion(train, test, F.lit(True))
-    decoded = unstandardise(fit["prediction"], fit["scale"])
-    recon = fit["train"].join(fit["reconstruction"].withColumnRenamed("value", "_p"), ["id", "pos"]).agg(
-        F.avg((F.col("_p") - F.col("value")) ** 2)).scalar()
-    out = None
-    for name, predicted in (("persistence", test), ("pca", decoded)):
-        err = F.col("value") - F.col("later")
-        score = predicted.join(late, ["id", "pos"]).agg(
-            F.count_distinct("id").alias("test_series"), F.sqrt(F.avg(err * err)).alias("later_median_rmse"),
-            F.avg(F.abs(err)).alias("later_median_mae")).withColumns({
-                "model": F.lit(name), "representation": F.lit(f"width{width}"),
-                "reconstruction_mse_scaled": recon if name == "pca" else F.lit(None).cast("double")})
-        out = score if out is None else out.unionByName(score)
-    return out
-
-
 def comparison(results) -> DataFrame:
     """One table of the models' one-row results."""
     out = None

@@ -180,13 +180,3 @@ def marginal(spark, sf):
 @query("series_sub_sample", "SELECT vec_id AS id FROM embeddings ORDER BY md5(concat_ws('|', 7, vec_id)), vec_id LIMIT 40")
 def sub_sample(spark, sf):
     return L.sub_sample(points(spark, sf).select("id"), 40, "id")
-
-
-@query("representative_transfer")
-def transfer(spark, sf):
-    """Customers' vectors stand in for profiles: odd ids are the early phase, even ids the later one."""
-    p = points(spark, sf)
-    rows = p.select(F.concat(F.lit("S"), F.floor(F.col("id") / 2).cast("string")).alias("series"),
-                    F.when(F.col("id") % 2 == 1, "development").otherwise("holdout").alias("phase"), F.col("z").alias("vector"))
-    out = L.transfer_scores(rows, L.held_out(rows.select("series").distinct()))
-    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})

@@ -1,7 +1,7 @@
 """Seasonal recurrence queries (gaps read as 0 here, because a full context is needed)."""
 from pyspark.sql import functions as F
 
-from ..operators import recurrence as R
+from ..operators import recurrence as R, transfer as T
 from ..session import durable
 from .inputs import ZPANEL, panel, registrar, sql, zero_panel
 
@@ -203,6 +203,37 @@ def persistence(spark, sf):
     return rounded(R.persistence_score(R.representative_slots(d, p), members), "later_median_rmse", "later_median_mae")
 
 
+def _transfer(spark, sf):
+    """Earlier and later representative vectors; the panel has eight series, so five make a cohort here."""
+    d, p = stored(spark, sf), R.profiles(zero_panel(spark, sf))
+    vectors, summary = R.representative_inputs(d, p), R.summarize_days(d, RULE)
+    return vectors, summary, R.cohort(summary, vectors)
+
+
+@query("representative_transfer")
+def transfer(spark, sf):
+    vectors, _, members = _transfer(spark, sf)
+    return rounded(T.regime_transfer(vectors, members, minimum=5), "later_median_rmse", "later_median_mae", "reconstruction_mse_scaled")
+
+
+@query("transfer_persistence", sql(COHORT, """, m AS (SELECT *, CAST('0x' || substr(md5(series), 1, 8) AS BIGINT) % 5 = 0 AS held FROM cohort),
+n AS (SELECT season, day_type, count(*) FILTER (NOT held) AS train_series, count(*) FILTER (held) AS test_series FROM m GROUP BY 1,2 HAVING count(*) >= 5)
+SELECT n.season, n.day_type, any_value(train_series) AS train_series, any_value(test_series) AS test_series,
+ round(sqrt(avg((a.median-b.median)**2)),6) AS later_median_rmse, round(avg(abs(a.median-b.median)),6) AS later_median_mae
+FROM n LEFT JOIN m ON m.season=n.season AND m.day_type=n.day_type AND m.held
+LEFT JOIN slots a ON a.season=m.season AND a.day_type=m.day_type AND a.series=m.series AND a.phase='development'
+LEFT JOIN slots b ON b.season=m.season AND b.day_type=m.day_type AND b.series=m.series AND b.phase='holdout' AND b.slot=a.slot GROUP BY 1,2"""))
+def transfer_persistence(spark, sf):
+    return transfer(spark, sf).where("model = 'persistence'").drop("representation", "model", "reconstruction_mse_scaled")
+
+
+@query("transfer_eligibility", sql(COHORT, """SELECT s.season, s.day_type, count(DISTINCT s.series) AS total_series, count(DISTINCT c.series) AS eligible_series,
+ count(DISTINCT c.series) >= 10 AS fitted FROM summary s LEFT JOIN cohort c USING (season, day_type, series) GROUP BY 1,2"""))
+def transfer_eligibility(spark, sf):
+    _, summary, members = _transfer(spark, sf)
+    return T.eligibility(summary, members)
+
+
 @query("regime_summary", sql(SUMMARY, """, pairs AS (SELECT season, day_type, series, max(observed_pattern_frequency_6h) FILTER (phase='development') AS e, max(observed_pattern_frequency_6h) FILTER (phase='holdout') AS l FROM summary GROUP BY 1,2,3),
 rk AS (SELECT *, rank() OVER (PARTITION BY season, day_type ORDER BY e) + (count(*) OVER (PARTITION BY season, day_type, e) - 1)/2 AS re,
  rank() OVER (PARTITION BY season, day_type ORDER BY l) + (count(*) OVER (PARTITION BY season, day_type, l) - 1)/2 AS rl FROM pairs WHERE e IS NOT NULL AND l IS NOT NULL),
