@@ -1,8 +1,9 @@
 """Sources and sinks end to end: tables are written to the shared folder and read back."""
 from pyspark.sql import functions as F
 
+from ..functions.clock import SettlementCalendar
 from ..operators import gaps as G, panel as P, revisions as R, weather as T
-from ..session import scratch
+from ..session import durable, scratch
 from ..sources import panels as S, records as SR
 from .forecast_queries import CASES, cases
 from .gap_queries import POLICY, QUALITY
@@ -54,6 +55,36 @@ def case_sink(spark, sf):
     return stored.groupBy("model", "origin_pos").agg(F.count("*").alias("n"))
 
 
+@query("case_table_by_origin", sql(CASES, "SELECT model, CAST(origin_pos AS INTEGER) AS origin_pos, count(*) AS n FROM cases GROUP BY 1, 2"))
+def case_by_origin(spark, sf):
+    """A study cut off after four origins and then run again: only the committed origins are skipped."""
+    rows, root = durable(cases(spark, sf)), scratch(spark)
+    origins = [r[0] for r in rows.select("origin_pos").distinct().orderBy("origin_pos").collect()]
+    of = lambda origin: rows.where(F.col("origin_pos") == origin)
+    S.append_origins(spark, root, origins[:4], of, "plan")
+    of(origins[4]).limit(3).drop("origin_pos").write.parquet(f"{root}/cases/origin_pos={origins[4]}")  # left behind without an entry
+    S.append_origins(spark, root, origins, of, "plan")
+    return S.read_origins(spark, root).groupBy("model", "origin_pos").agg(F.count("*").alias("n"))
+
+
+@query("pruned_record_sources", sql(PANEL, """SELECT series, count(value) AS observed, round(sum(value),6) AS total,
+ TRUE AS fewer_files FROM panel WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-11' GROUP BY 1"""))
+def pruned_sources(spark, sf):
+    """A folder a week; the stored zone map leaves one of them to be opened for the second week."""
+    day = F.datediff(F.to_date("settle_date", "yyyyMMdd"), F.lit("2024-01-05").cast("date"))
+    raw = raw_text(spark, sf).withColumn("part", F.floor(day / 7).cast("int"))
+    base, names = scratch(spark), SR.COLUMNS
+    raw.select("part", *[F.col(c).alias(n) for c, n in names.items()]).write.partitionBy("part").option("header", True).csv(f"{base}/files")
+    folders = [f"{base}/files/part={r[0]}" for r in raw.select("part").distinct().collect()]
+    zones = spark.read.parquet(S.write_table(SR.zone_map(spark, folders), f"{base}/zones"))
+    week = SettlementCalendar("2024-01-05", "2024-01-11")
+    files = SR.load_records(spark, None, week.start, week.end, "signed_net", zones)
+    held = len(files.inputFiles())
+    p = P.build_panel(R.parse_records(files), week)
+    return p.groupBy("series").agg(F.count("value").alias("observed"), F.round(F.sum("value"), 6).alias("total")).withColumn(
+        "fewer_files", F.lit(held) < zones.agg(F.count("*")).scalar())
+
+
 @query("monthly_temperature_sink", sql(HALF, """SELECT strftime(ts, '%Y-%m') AS month, region, count(*) AS n, count(temperature_c) AS known FROM half GROUP BY 1, 2"""))
 def monthly(spark, sf):
     path = S.write_monthly_temperature(T.temperature_table(grid(spark, sf), weights(spark, sf)), scratch(spark))

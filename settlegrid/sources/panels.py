@@ -1,4 +1,5 @@
 """Panel tables: source choice, contract, sinks."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checks import ContractError
@@ -72,6 +73,52 @@ def write_cases(cases: DataFrame, path: str) -> str:
     return write_table(cases.withColumn("origin_day", F.to_date("origin")), path, ("model", "origin_day"))
 
 
+COMMIT = "origin_pos int, rows long, settings string"
+
+
+def committed_origins(spark: SparkSession, root: str) -> dict:
+    """{origin: (rows, settings)} of the origins whose entry stands; an entry is one short row."""
+    try:
+        found = spark.read.schema(COMMIT).option("recursiveFileLookup", True).parquet(f"{root}/commits").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["origin_pos"]: (r["rows"], r["settings"]) for r in found}
+
+
+def append_origins(spark: SparkSession, root: str, origins, cases_of, settings: str = "") -> list:
+    """Write a study's case rows one origin at a time; returns the origins written by this call.
+
+    ``cases_of(origin)`` gives the rows of one origin. They are written first and the origin's entry in the manifest last,
+    so a run that ends in between leaves no entry. A later run skips what is committed and writes the rest over whatever
+    was left there. Origins committed under other ``settings`` are refused: one table never mixes two studies.
+    """
+    done = committed_origins(spark, root)
+    others = {o: s for o, (_, s) in done.items() if s != settings}
+    if others:
+        raise ContractError(f"Origins {sorted(others)} were written with other settings")
+    written = []
+    for origin in origins:
+        if origin in done:
+            continue
+        place = f"{root}/cases/origin_pos={origin}"
+        cases_of(origin).drop("origin_pos").write.mode("overwrite").parquet(place)
+        rows = spark.read.parquet(place).count()
+        entry = spark.createDataFrame([(origin, rows, settings)], COMMIT).coalesce(1)
+        entry.write.mode("overwrite").parquet(f"{root}/commits/entry-{origin}")
+        written.append(origin)
+    return written
+
+
+def read_origins(spark: SparkSession, root: str) -> DataFrame:
+    """The case rows of the committed origins; folders without an entry are not opened."""
+    done = committed_origins(spark, root)
+    if not done:
+        raise ContractError("No origin is committed")
+    return spark.read.option("basePath", f"{root}/cases").parquet(*[f"{root}/cases/origin_pos={o}" for o in sorted(done)])
+
+
 def write_monthly_temperature(temperature: DataFrame, path: str) -> str:
     monthly = temperature.withColumn("month", F.date_format("ts", "yyyy-MM"))
     return write_table(monthly, path, ("month",))
