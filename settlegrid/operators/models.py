@@ -107,14 +107,17 @@ def _levels(examples: DataFrame) -> DataFrame:
     return examples.join(level, ["series", "origin_pos"])
 
 
-def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=()) -> PooledModel:
+def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=(), kept=False) -> PooledModel:
     """Fit on observed targets of all series and leads; repeated fits are identical.
 
+    ``kept`` says that ``examples`` is a filter of a stored table, so that it needs no copy of its own.
+
     A series is told by its lags and by its mean target outside the row's own inner origin: one encoding for any
     number of series, and no table per series in the tree.
     """
     names = [*settings.spec.names, *extra]
-    examples = durable(examples)  # the fit reads it many times; its lineage is long
+    if not kept:
+        examples = durable(examples)  # the fit reads it many times; its lineage is long
     counts = examples.groupBy("series").agg(F.count("target").alias("n_train_examples"), F.avg("target").alias(LEVEL))
     if (counts.agg(F.sum("n_train_examples")).first()[0] or 0) < settings.min_training_rows:
         return PooledModel(settings, names, None, counts)
@@ -129,13 +132,12 @@ def fit_pooled(examples: DataFrame, settings=PooledTree(), extra=()) -> PooledMo
     return PooledModel(settings, names, Pipeline(stages=stages).fit(ordered), counts)
 
 
-def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="validation", covariate: DataFrame | None = None):
-    """One fit per origin, predictions of all origins as case rows, and the importance tables.
+def fit_origins(panel: DataFrame, plan, settings=PooledTree(), split="validation", covariate: DataFrame | None = None):
+    """({origin: model or None}, target rows of all origins with their features): one fit per origin.
 
     The row budget is checked for the longest history before any feature is built. Without a training window the inner
     origins of one origin are those of the last that have ended, so features are built once. An origin with less
-    history than ``min_history`` and a horizon gets NULL predictions and no fit, as do series without training
-    targets; leads beyond the trained horizon are refused.
+    history than ``min_history`` and a horizon gets no fit; leads beyond the trained horizon are refused.
     """
     if plan.longest > settings.horizon:
         raise ContractError(f"Leads up to {plan.longest} were asked of a model trained for {settings.horizon}")
@@ -156,19 +158,33 @@ def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="valida
     targets = durable(attach(build_features(panel.where(F.col("pos") < origins[-1] + plan.longest), origins, plan.longest, settings.spec)))
 
     def fitted(origin):
-        if enough(origin):
-            return fit_pooled(built(origin) if whole is None else whole.where(F.col("origin_pos") <= origin - settings.horizon), settings, extra)
+        if not enough(origin):
+            return None
+        if whole is None:
+            return fit_pooled(built(origin), settings, extra)
+        return fit_pooled(whole.where(F.col("origin_pos") <= origin - settings.horizon), settings, extra, True)
     with ThreadPoolExecutor(settings.parallelism) as pool:  # a fit is many small jobs, so a few run side by side
-        models = dict(zip(origins, pool.map(fitted, origins)))
-    importance, predicted = [], {}
+        return dict(zip(origins, pool.map(fitted, origins))), targets
+
+
+def predict_origins(models: dict, rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``prediction`` of their own origin's model: each model scores all rows of its origin in one pass."""
+    out = None
     for origin, model in models.items():
-        rows = targets.where(F.col("origin_pos") == origin)
-        if model is None:
-            predicted[origin] = rows.select("series", "origin_pos", "pos", F.lit(None).cast("double").alias("prediction"))
-            continue
-        predicted[origin] = model.predict(rows).select("series", "origin_pos", "pos", "prediction")
-        if model.pipeline is not None:
-            importance.append(model.importance(origin))
+        mine = rows.where(F.col("origin_pos") == origin)
+        scored = mine.withColumn("prediction", F.lit(None).cast("double")) if model is None else model.predict(mine)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def pooled_backtest(panel: DataFrame, plan, settings=PooledTree(), split="validation", covariate: DataFrame | None = None):
+    """Predictions of :func:`fit_origins` as case rows, and the importance tables.
+
+    Origins without a fit and series without training targets get NULL predictions.
+    """
+    models, targets = fit_origins(panel, plan, settings, split, covariate)
+    predicted = {o: predict_origins({o: m}, targets).select("series", "origin_pos", "pos", "prediction") for o, m in models.items()}
+    importance = [m.importance(o) for o, m in models.items() if m is not None and m.pipeline is not None]
     return backtest(panel, plan, {"pooled_tree": lambda _, at, __: predicted[at.start]}, split), importance
 
 

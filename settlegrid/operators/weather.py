@@ -164,14 +164,16 @@ def regional_mean(grid: DataFrame, weights: DataFrame, value="temperature_c") ->
         F.try_divide(F.sum(w * F.col(value)), F.nullif(F.sum(w), F.lit(0.0))).alias(value))
 
 
-def hour_axis(hourly: DataFrame) -> DataFrame:
-    """Every hour from the first to the last one present."""
-    span = hourly.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
+def hour_axis(hourly: DataFrame, by=()) -> DataFrame:
+    """Every hour from the first to the last one present, of all rows or of each ``by``."""
+    span = hourly.groupBy(*by).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return span.select(*by, F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
 
 
-def missing_hours(hourly: DataFrame) -> DataFrame:
-    return hour_axis(hourly).join(hourly.select("ts").distinct(), "ts", "left_anti")
+def missing_hours(hourly: DataFrame, by=()) -> DataFrame:
+    """Hours of the axis without a row; with ``by``, the holes inside each cell's or source's own span."""
+    keys = [*by, "ts"]
+    return hour_axis(hourly, by).join(hourly.select(*keys).distinct(), keys, "left_anti")
 
 
 def half_hourly(hourly: DataFrame, value="temperature_c") -> DataFrame:

@@ -1,10 +1,10 @@
 """Association queries over a multi-year daily study made from orders."""
 from pyspark.sql import functions as F
 
-from ..operators import association as A, forecast as W
+from ..operators import association as A, forecast as W, models as M
 from ..session import durable
 from .forecast_queries import CASES, COVARIATE, PLAN, covariate, features
-from .inputs import CALENDAR, registrar, sql, table
+from .inputs import CALENDAR, panel, registrar, sql, table
 
 Q, SQL, query = registrar()
 YEAR = 1995
@@ -197,14 +197,14 @@ def stability(spark, sf):
 
 
 def study_origins(spark, sf):
-    """Every thirteenth study day as an origin."""
+    """Every study day as an origin."""
     days = study(spark, sf).select(F.to_date("ts").alias("d")).distinct()
     pos = F.date_diff("d", F.lit("1995-01-01").cast("date"))
-    return days.select(pos.alias("origin_pos"), F.col("d").cast("timestamp").alias("origin")).where(F.col("origin_pos") % 13 == 0)
+    return days.select(pos.alias("origin_pos"), F.col("d").cast("timestamp").alias("origin"))
 
 
 DERANGE = STUDY + """,
-o AS (SELECT DISTINCT date_diff('day', DATE '1995-01-01', date) AS origin_pos, season FROM study WHERE date_diff('day', DATE '1995-01-01', date) % 13 = 0),
+o AS (SELECT DISTINCT date_diff('day', DATE '1995-01-01', date) AS origin_pos, season FROM study),
 r AS (SELECT *, md5(concat_ws('|', 7, repeat, origin_pos)) AS h FROM o, (SELECT unnest([0,1]) AS repeat)),
 donors AS (SELECT repeat, season, origin_pos, coalesce(lag(origin_pos) OVER w, last_value(origin_pos) OVER (PARTITION BY repeat, season ORDER BY h, origin_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor_origin_pos
  FROM r WINDOW w AS (PARTITION BY repeat, season ORDER BY h, origin_pos))"""
@@ -250,6 +250,15 @@ def permutation(spark, sf):
     return rounded(d, "original_abs", "permuted_abs")
 
 
+@query("pooled_permutation_summary")
+def pooled_permutation(spark, sf):
+    """The same study through the fitted model: every origin's trees score its rows with their own and with lent temperatures."""
+    models, rows = M.fit_origins(panel(spark, sf), PLAN, covariate=covariate(spark, sf))
+    found = A.permutation_detail(rows, donors(spark, sf), lambda df: M.predict_origins(models, df))
+    s = A.permutation_summary(durable(found))
+    return rounded(s, *[c for c, t in s.dtypes if t == "double"])
+
+
 @query("permutation_summary", sql(PERMUTE, """, per AS (SELECT horizon, repeat, sum(original_abs)/sum(n) AS o, sum(permuted_abs)/sum(n) AS p, sqrt(sum(permuted_squared)/sum(n)) - sqrt(sum(original_squared)/sum(n)) AS dr FROM det GROUP BY 1,2)
 SELECT CAST(horizon AS INTEGER) AS horizon, round(avg(o),6) AS original_mae, round(avg(p),6) AS mean_permuted_mae, round(avg(p-o),6) AS mean_delta_mae, round(stddev_samp(p-o),6) AS std_delta_mae, round(min(p-o),6) AS min_delta_mae,
  round(max(p-o),6) AS max_delta_mae, round(avg(dr),6) AS mean_delta_rmse, count(*) AS n_repeats FROM per GROUP BY 1"""))

@@ -51,11 +51,13 @@ def axis(spark, sf):
     return T.hour_axis(hourly(spark, sf)).select(clock())
 
 
-@query("missing_grid_hours", sql(GRID, """, v AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'view')
-SELECT strftime(t, '%Y-%m-%d %H:%M') AS ts FROM (SELECT unnest(generate_series((SELECT min(ts) FROM v), (SELECT max(ts) FROM v), INTERVAL 1 HOUR)) AS t) WHERE t NOT IN (SELECT ts FROM v)"""))
+@query("missing_grid_hours", """WITH v AS (SELECT DISTINCT user_id % 50 AS cell, date_trunc('hour', ts) AS ts FROM events),
+a AS (SELECT cell, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM v GROUP BY cell)
+SELECT CAST(cell AS BIGINT) AS cell, strftime(ts, '%Y-%m-%d %H:%M') AS ts FROM a ANTI JOIN v USING (cell, ts)""")
 def gaps(spark, sf):
-    e = events(spark, sf).where("event_type = 'view'").select(F.date_trunc("hour", "ts").alias("ts"))
-    return T.missing_hours(e).select(clock())
+    """Holes of each of fifty cells that the users' events fill."""
+    e = events(spark, sf).select((F.col("user_id") % 50).cast("long").alias("cell"), F.date_trunc("hour", "ts").alias("ts"))
+    return T.missing_hours(e, ("cell",)).select("cell", clock())
 
 
 @query("half_hour_temperature", sql(HALF, "SELECT region, strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(temperature_c+1e-10,6) AS temperature_c FROM half"))

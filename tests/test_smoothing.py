@@ -1,8 +1,11 @@
 """The filter through gaps against dense Gaussian conditionals; fitted smoothing against its grid and random search."""
+from datetime import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from settlegrid.operators import models as M
+from settlegrid.operators import association as A, forecast as W, models as M
 from settlegrid.operators.smoothing import filter_through_gaps, fit_smoothing, parameters, smooth
 
 COEF = (0.5, 0.4, -0.2)
@@ -99,3 +102,27 @@ def test_a_fit_that_does_not_converge_gives_no_forecast(make_panel):
     assert {r["reason"] for r in whole} == {""} and all(r["prediction"] is not None for r in whole)
     trailing = M.ets(panel, range(400, 449, 48), 8, trend=True, damped=True, train_window=360).collect()
     assert {r["reason"] for r in trailing} == {""}
+
+
+def test_permutation_goes_through_the_fitted_models(make_panel, spark):
+    t = np.arange(700)
+    warm = 10 + 5 * np.sin(2 * np.pi * t / 48) + np.random.default_rng(7).normal(size=700)
+    panel = make_panel({"A": 20 - warm + np.random.default_rng(8).normal(size=700) * 0.1, "B": 3 * warm})
+    covariate = panel.select("series", "ts", "pos").join(
+        spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(warm)], "pos int, temperature_c double"), "pos").drop("pos")
+    plan = W.WalkForward(432, 650, 700, step=96, horizons=(8,))
+    small = M.PooledTree(horizon=8, min_history=96, training_step=24, iterations=4, depth=3, min_training_rows=50, spec=W.FeatureSpec((1, 48), (), (), 1, (48,)))
+    models, rows = M.fit_origins(panel, plan, small, covariate=covariate)
+    assert len(models) == len(plan.positions()) > 1 and all(m.pipeline is not None for m in models.values())
+    folds = spark.createDataFrame([(o, datetime(2022, 6, 1)) for o in models], "origin_pos int, origin timestamp")
+    donors = A.season_derangement(folds, 2, seed=5)
+    detail = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in A.permutation_detail(
+        rows, donors, lambda df: M.predict_origins(models, df), (8,)).collect())
+    found = detail()
+    assert found == detail() and len(found) == 2 * 2 * len(models)  # series, repeats, origins
+    cases, _ = M.pooled_backtest(panel, plan, small, covariate=covariate)
+    error = {(r["series"], r["origin_pos"]): r["e"] for r in cases.groupBy("series", "origin_pos").agg(
+        F.sum(F.abs(F.col("prediction") - F.col("actual"))).alias("e")).collect()}
+    for series, origin, _, _, n, original, *_ in found:
+        assert n == 8 and np.isclose(original, error[series, origin])
+    assert sum(r[6] for r in found) > sum(r[5] for r in found)  # lent temperatures tell less
