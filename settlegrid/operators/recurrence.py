@@ -12,6 +12,7 @@ from ..functions.clock import (as_col, clock_slot, day_type, local_date, monday_
 from ..functions.ranks import exact_quantiles, spearman
 from ..functions.spectrum import day_fractions, day_moments
 from ..functions.windows import md5_order, over_series, whole
+from ..session import durable
 from .features import low_runs
 
 
@@ -125,30 +126,41 @@ def profiles(panel: DataFrame) -> DataFrame:
         F.avg("value").alias("value"))
 
 
-def bootstrap_interval(blocks, repetitions: int, seed: int):
-    """95% interval of sum(s)/sum(n) over resampled week blocks; NULL below 4 blocks.
+def draw_table(sizes: DataFrame, repetitions: int, seed: int) -> DataFrame:
+    """(_w, _draws): for each number of weeks ``_w`` of ``sizes``, how often each repetition takes each week.
 
-    ``blocks`` is an array of (s, n) per week, bounded by the weeks of a season, so
-    the resampling is array arithmetic in place: nothing is exploded or shuffled.
-    Draw j of repetition r is the start of md5("seed|r|j"), so positions of one resample are independent of each other.
+    Draw j of repetition r is the start of md5("seed|r|j"), so positions of one resample are independent of each other
+    and every group of as many weeks shares them: hashes are made per number of weeks, not per group.
     """
-    size = F.size(blocks)
+    places = sizes.select("_w", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(repetitions).cast("long"))).alias("r")).select(
+        "_w", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_w").cast("long") - 1)).alias("j"))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")).cast("binary"))
+    taken = places.select("_w", "r", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("_w")).cast("int").alias("i"))
+    counts = taken.groupBy("_w", "r", "i").agg(F.count("*").alias("c"))
+    return counts.groupBy("_w", "r").agg(F.collect_list(F.struct("i", "c")).alias("picks")).groupBy("_w").agg(
+        F.collect_list("picks").alias("_draws"))
+
 
-    def ratio(r):
-        def add(acc, j):
-            mark = F.md5(F.concat_ws("|", F.lit(str(seed)), r.cast("string"), j.cast("string")).cast("binary"))
-            b = F.get(blocks, (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % size).cast("int"))
-            return F.struct((acc["s"] + b["s"]).alias("s"), (acc["n"] + b["n"]).alias("n"))
+def bootstrap_interval(blocks, draws, repetitions: int):
+    """95% interval of sum(s)/sum(n) over resampled week blocks; NULL below 4 blocks.
+
+    ``blocks`` is an array of (s, n) per week, bounded by the weeks of a season, and ``draws`` the entry of its size in
+    :func:`draw_table`: one short weighted sum per repetition, in place.
+    """
+    def ratio(picks):
+        def add(acc, p):
+            b = F.get(blocks, p["i"])
+            return F.struct((acc["s"] + p["c"] * b["s"]).alias("s"), (acc["n"] + p["c"] * b["n"]).alias("n"))
         zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), size.cast("long") - 1), zero, add, lambda a: F.try_divide(a["s"], a["n"]))
-    draws = F.array_sort(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(repetitions).cast("long")), ratio))
+        return F.aggregate(picks, zero, add, lambda a: F.try_divide(a["s"], a["n"]))
+    ordered = F.array_sort(F.transform(draws, ratio))
 
     def quantile(values, p):
         h = (repetitions - 1) * p
         lo, frac = int(h), h - int(h)
         return F.get(values, F.lit(lo)) * (1 - frac) + F.get(values, F.lit(min(lo + 1, repetitions - 1))) * frac
-    pair = F.transform(F.array(draws), lambda v: F.struct(quantile(v, 0.025).alias("low"), quantile(v, 0.975).alias("high")))[0]
-    return F.when(size >= 4, pair)
+    pair = F.transform(F.array(ordered), lambda v: F.struct(quantile(v, 0.025).alias("low"), quantile(v, 0.975).alias("high")))[0]
+    return F.when((F.size(blocks) >= 4) & draws.isNotNull(), pair)
 
 
 def summarize_days(daily: DataFrame, rule=RecurrenceRule(), weekly=False) -> DataFrame:
@@ -168,14 +180,18 @@ def summarize_days(daily: DataFrame, rule=RecurrenceRule(), weekly=False) -> Dat
     enough = (F.col("valid_days") >= rule.min_valid_days) & (coverage >= rule.min_coverage)
     out = out.withColumns({"coverage": coverage, "evidence_status": F.when(enough, "sufficient").otherwise(
         "insufficient_evidence")})
+    if not weekly:
+        out = durable(out)  # one row per group: read for the sizes and again for the intervals
+        sizes = out.select(F.size("_blocks").alias("_w")).where("_w >= 4").distinct()
+        out = out.withColumn("_w", F.size("_blocks")).join(draw_table(sizes, rule.repetitions, rule.seed), "_w", "left").drop("_w")
     for h in rule.durations:
         out = out.withColumn(f"observed_pattern_frequency_{h}h", F.try_divide(f"qualifying_days_{h}h", "valid_days"))
         if not weekly:
             pairs = F.transform("_blocks", lambda b: F.struct(b[f"q{h}"].alias("s"), b["n"].alias("n")))
-            ci = F.transform(F.array(pairs), lambda p: bootstrap_interval(p, rule.repetitions, rule.seed))[0]
+            ci = F.transform(F.array(pairs), lambda p: bootstrap_interval(p, F.col("_draws"), rule.repetitions))[0]
             out = out.withColumn("_ci", ci).withColumns(
                 {f"ci_low_{h}h": F.col("_ci.low"), f"ci_high_{h}h": F.col("_ci.high")}).drop("_ci")
-    return out if weekly else out.drop("_blocks")
+    return out if weekly else out.drop("_blocks", "_draws")
 
 
 def representative_slots(daily: DataFrame, profile: DataFrame) -> DataFrame:

@@ -103,7 +103,8 @@ def test_bootstrap_width_equals_independent_draws(spark):
     for weeks in (4, 8, 26):
         blocks = [(int(rng.integers(0, 6)), 5) for _ in range(weeks)]
         df = spark.createDataFrame([(blocks,)], "b array<struct<s:long,n:long>>")
-        low, high = df.select(R.bootstrap_interval(F.col("b"), 1000, 7).alias("c")).select("c.*").first()
+        df = df.join(R.draw_table(spark.range(weeks, weeks + 1).select(F.col("id").cast("int").alias("_w")), 1000, 7), F.lit(True))
+        low, high = df.select(R.bootstrap_interval(F.col("b"), F.col("_draws"), 1000).alias("c")).select("c.*").first()
         s = np.array([x for x, _ in blocks])
         want = np.quantile(s[rng.integers(0, weeks, (4000, weeks))].sum(1) / (5 * weeks), [0.025, 0.975])
         assert abs((high - low) - (want[1] - want[0])) < 0.12 * (want[1] - want[0]) + 0.01
