@@ -36,8 +36,7 @@ def _ringed(points: DataFrame, tile: int):
     blocks = ordered.groupBy("pivot", F.floor(F.col("position") / tile).alias("cut")).agg(
         F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"),
         F.collect_list(F.struct("id", "z", "label", "away")).alias("rows"))
-    seq = Window.partitionBy(F.lit(0)).orderBy("pivot", "cut")  # one short row per block
-    return blocks, pivots, blocks.select("pivot", "cut", "n", "low", "high").withColumn("block", F.row_number().over(seq) - 1)
+    return blocks, pivots
 
 
 def _best(d, ids, k):
@@ -71,9 +70,10 @@ def nearest_neighbours(points: DataFrame, k=5, tile=512):
     point on either side; each such pair is computed once for both. Points whose ball stays off the other ring are left
     out of it. ``visits`` has one row: blocks, all_pairs, visited_pairs.
     """
-    stored_blocks, pivots, index = _ringed(points, tile)
-    blocks = durable(stored_blocks)
-    index = durable(index.select("pivot", "cut", "n", "low", "high", "block"))
+    ringed, pivots = _ringed(points, tile)
+    blocks = durable(ringed)
+    seq = Window.partitionBy(F.lit(0)).orderBy("pivot", "cut")  # one short row per block; the order is total, so numbers stay
+    index = blocks.select("pivot", "cut", "n", "low", "high").withColumn("block", F.row_number().over(seq) - 1)
     named = blocks.join(index.select("pivot", "cut", "block"), ["pivot", "cut"])
     schema = "id string, label int, distance double, other string, other_label int"
 
@@ -112,8 +112,8 @@ def nearest_neighbours(points: DataFrame, k=5, tile=512):
     reaches = held.join(reach, "id", "left").join(farthest, "block", "left").withColumn("reach", F.coalesce("reach", "most", F.lit(float("inf"))))
     limits = durable(reaches.groupBy("block").agg(F.max("reach").alias("reach"), F.collect_list(F.struct("id", "reach")).alias("reaches")))
     limit = lambda p: limits.select(F.col("block").alias(p), F.col("reach").alias(f"{p}_reach"))
-    pairs = durable(bounds.join(limit("a"), "a").join(limit("b"), "b").where(
-        F.col("least") <= F.greatest("a_reach", "b_reach") * (1 + SLACK) + SLACK * F.col("most")).select("a", "b"))
+    pairs = bounds.join(limit("a"), "a").join(limit("b"), "b").where(
+        F.col("least") <= F.greatest("a_reach", "b_reach") * (1 + SLACK) + SLACK * F.col("most")).select("a", "b")
     packed = named.select("block", "rows", "pivot", "low", "high").join(limits.select("block", "reaches"), "block")
     load = lambda p: packed.select(F.col("block").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rows", "pivot", "low", "high", "reaches")])
     loaded = pairs.join(load("a"), "a").join(load("b"), "b").repartition("a", "b")
