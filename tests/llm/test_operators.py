@@ -156,6 +156,48 @@ def test_licenses_against_plain_search(spark):
     assert license_scan.scan_licenses(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def plain_notice_scores(words, frequency, rare=6, agree=3, drift=3):
+    """[(label, score)] of every notice, each start tried."""
+    out = []
+    for label, key, notice in license_scan.TEMPLATES:
+        t, k = notice.split(), key.split()
+        key_at = next(i for i in range(len(t)) if t[i:i + len(k)] == k)
+        rarest = sorted(set(t), key=lambda w: (frequency[w], w))
+        chosen, best = [w for w in rarest if w in words][:rare], 0.0
+        for o in {i - p for i, w in enumerate(words) if w in chosen for p, x in enumerate(t) if x == w}:
+            placed = [w for p, w in enumerate(t) if w in words[max(o + p - drift, 0):max(o + p + drift + 1, 0)]]
+            key_stands = any(words[at:at + len(k)] == k for at in range(max(o + key_at - drift, 0), max(o + key_at + drift + 1, 0)))
+            if key_stands and len(set(placed) & set(chosen)) >= min(agree, len(rarest)):
+                best = max(best, len(placed) / len(t))
+        out.append((label, best))
+    return out
+
+
+def test_license_notices_against_every_start(spark):
+    r, texts = random.Random(5), []
+    noise = ["lorem", "the", "software", "license", "of", "x1", "permission", "public"]
+    for _ in range(120):
+        words = []
+        for _, _, notice in r.sample(license_scan.TEMPLATES, r.choice([0, 1, 1, 2])):
+            words += r.choices(noise, k=r.randint(0, 25))
+            for w in notice.split():
+                words += r.choices(noise, k=r.choice([0] * 14 + [1, 2])) + ([w] if r.random() < 0.95 else [])
+        texts.append(" ".join(words + r.choices(noise, k=r.randint(0, 9))))
+    texts += [n for _, _, n in license_scan.TEMPLATES] + ["mit license " * 4_000]
+    rows = list(enumerate(texts))
+    docs = docs_of(spark, rows)
+    frequency, count = license_scan.document_frequency(docs)
+    assert count == len(rows)
+    got, partial = {x.doc_id: x for x in license_scan.scan_licenses(docs).collect()}, 0
+    for doc, text in rows[:-1]:
+        scores, base = plain_notice_scores(text.split(), frequency), got[doc].base_labels
+        labels = {label for label, x in scores if x >= 0.6} | set(base.split(",") if base else [])
+        assert got[doc].labels == ",".join(sorted(labels))
+        assert got[doc].score == (1.0 if base else max(x for _, x in scores))
+        partial += 0 < got[doc].score < 1
+    assert partial > 10 and got[len(rows) - 1].labels == "mit" and got[len(rows) - 1].n_base == 4_000
+
+
 def test_shards_are_even_whole_and_gapless(spark):
     r = random.Random(6)
     rows = [(d, "same text " * 30 if d % 3 == 0 else "t" * r.randint(0, 900)) for d in range(3000)] + [(None, None), (1, None), (1, None)]
