@@ -8,7 +8,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 ATTRIBUTE = "([^\\s\"'<>/=]+)\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
 REFRESH = "(?is)^\\s*+[\\d.]*+\\s*+[;,]?+\\s*+(?:url\\s*+=\\s*+)?+(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
 BASE_TAG = "(?i)<base\\b[^>]*\\bhref\\b[^>]*>"
-LINK_TAG = "(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>"
+LINK_TAG = ("(?i)<link\\b[^>]*\\brel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?=[\\s\"])|'(?:[^'>]*\\s)?canonical(?=[\\s'])"
+            "|canonical(?=[\\s/>]))[^>]*>")
+COMMENT = "(?s)<!--.*?(?:-->|\\z)"
 REFRESH_TAG = "(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 
 
@@ -80,9 +82,11 @@ def _node(place: Column) -> Column:
 def page_edges(pages: DataFrame, url="url", html="html") -> DataFrame:
     """(a, b): node of a page and node of each url that it names as its canonical form or sends its reader on to, once each.
 
-    Targets are read from ``href`` and from ``content``, and are resolved against the page's url or its base tag.
+    Targets are read from ``href`` and from ``content``, and are resolved against the page's url or its base tag. ``canonical``
+    may be one of several words of ``rel``. What stands in an html comment (an open one ends with the text) names nothing.
     """
-    named = pages.where(F.col(html).rlike(LINK_TAG) | F.col(html).rlike(REFRESH_TAG)).select(F.col(url).alias("url"), F.col(html).alias("html"))
+    named = pages.where(F.col(html).rlike(LINK_TAG) | F.col(html).rlike(REFRESH_TAG)).select(
+        F.col(url).alias("url"), F.regexp_replace(html, COMMENT, "").alias("html"))
     base = resolve(attribute(F.regexp_extract("html", BASE_TAG, 0), "href"), F.col("url"))
     tags = F.concat(*[F.regexp_extract_all("html", F.lit(t), F.lit(0)) for t in (LINK_TAG, REFRESH_TAG)])
     named = named.select(address(F.col("url")).alias("a"), F.coalesce(base, "url").alias("base"), F.explode(tags).alias("t"))

@@ -333,3 +333,15 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
             machine = decontaminate.automaton(decontaminate.windows_of([tuple(x) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 10))
             assert lost == {d for d, t in before.items() if decontaminate.scan(machine, t)[1]}
     assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == set(after)
+
+
+def test_links_in_comments_and_words_of_rel(spark):
+    target = 'href="http://t.net/es/"'
+    cases = [(f"<!-- <link rel=canonical {target}> -->", "allow"), (f"<!-- x --><link rel=canonical {target}><!-- y -->", "block"),
+             (f'<link rel="alternate canonical" {target}>', "block"), (f"<link rel='canonical alternate' {target}/>", "block"),
+             (f'<link rel="canonical-x" {target}>', "allow"), (f'<link rel="x-canonical" {target}>', "allow"),
+             (f"<!-- open <link rel=canonical {target}>", "allow"), ("<!-- a\nb --" + "> " + f"<LINK REL=CANONICAL {target}>", "block"),
+             ("<!--" + "x" * 200_000 + f"--><link {target} rel=canonical>", "block"), (None, "allow"), ("", "allow")]
+    rows = [(i, f"http://p{i}.org/a", html) for i, (html, _) in enumerate(cases)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {x.page_id: x.verdict for x in got.collect()} == {i: v for i, (_, v) in enumerate(cases)}
