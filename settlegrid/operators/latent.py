@@ -4,14 +4,13 @@ Points are (id, z ARRAY<DOUBLE>, label) rows; matrices are long (id, pos, value)
 """
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..checks import ContractError
 from ..functions.ranks import spearman
 from ..functions.windows import hash_sample, md5_order
 from ..session import durable
+from .clusters import agglomerate
 from .neighbours import nearest_neighbours
 from .recurrence import held_out
 from .subspace import leading_directions
@@ -251,11 +250,9 @@ def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFr
     return spearman(durable(rows), ["g"], "x", "y").select("n_paired", F.col("spearman").alias("distance_rank_stability"))
 
 
-def two_way_clusters(points: DataFrame, seed=7) -> DataFrame:
-    """Two clusters of coordinates (bisecting k-means)."""
-    rows = points.withColumn("v", array_to_vector(F.col("z").cast("array<double>")))
-    model = BisectingKMeans(k=2, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows)
-    return model.transform(rows).drop("v")
+def two_way_clusters(points: DataFrame, weight=None) -> DataFrame:
+    """Two clusters of coordinates by Ward's agglomeration."""
+    return agglomerate(points, 2, weight)
 
 
 def marginal_members(points: DataFrame, ranges: dict, per_region=2, seed=7) -> DataFrame:

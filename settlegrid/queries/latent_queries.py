@@ -169,6 +169,41 @@ def clusters(spark, sf):
     return L.two_way_clusters(points(spark, sf)).groupBy("cluster", "label").agg(F.count("*").alias("n"))
 
 
+def _ward_sql(k):
+    """The pair of groups whose union adds least to the sum of squares, until ``k`` groups are left."""
+    return f"""WITH RECURSIVE dims AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x, count(*) AS n
+ FROM embeddings, range(1, 4097) t(i) WHERE i <= len(embedding) AND label IS NOT NULL GROUP BY label, i),
+start AS (SELECT label, [label] AS members, CAST(max(n) AS DOUBLE) AS n, list(x ORDER BY i) AS z FROM dims GROUP BY label),
+r(step, id, members, n, z) AS (SELECT 0, label, members, n, z FROM start UNION ALL
+ SELECT r.step + 1, r.id, CASE WHEN r.id = m.a THEN list_concat(r.members, m.members) ELSE r.members END,
+  CASE WHEN r.id = m.a THEN r.n + m.n ELSE r.n END,
+  CASE WHEN r.id = m.a THEN list_transform(range(1, len(r.z) + 1), lambda j: (r.n * r.z[j] + m.n * m.z[j]) / (r.n + m.n)) ELSE r.z END
+ FROM r, (SELECT a.id AS a, b.id AS b, b.members, b.n, b.z FROM r a JOIN r b ON a.id < b.id
+  ORDER BY a.n * b.n / (a.n + b.n) * list_distance(a.z, b.z) ** 2, a.id, b.id LIMIT 1) m
+ WHERE r.id <> m.b AND (SELECT count(*) FROM r) > {k}),
+last AS (SELECT id, members, n FROM r WHERE step = (SELECT max(step) FROM r)),
+named AS (SELECT id, members, CAST(row_number() OVER (ORDER BY n DESC, id) - 1 AS INTEGER) AS cluster FROM last)
+SELECT label, cluster FROM (SELECT unnest(members) AS label, cluster FROM named)"""
+
+
+def label_means(spark, sf):
+    """(label, w, z): number and mean vector of each label's points."""
+    x = points(spark, sf).where("label IS NOT NULL").select("id", "label", F.posexplode("z").alias("i", "x"))
+    means = x.groupBy("label", "i").agg(F.avg("x").alias("x"), F.count("*").alias("w"))
+    lists = means.groupBy("label").agg(F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("z"))  # one a dimension
+    return lists.select("label", "w", F.transform("z", lambda p: p["x"]).alias("z"))
+
+
+@query("label_agglomeration", _ward_sql(4))
+def label_agglomeration(spark, sf):
+    return L.agglomerate(label_means(spark, sf), 4, "w").select("label", "cluster")
+
+
+@query("two_way_label_clusters", _ward_sql(2))
+def two_way_labels(spark, sf):
+    return L.two_way_clusters(label_means(spark, sf), "w").select("label", "cluster")
+
+
 @query("marginal_members", """WITH r AS (SELECT unnest([{'n':'left','a':1,'lo':-9.0,'hi':-0.05},{'n':'right','a':1,'lo':0.05,'hi':9.0},{'n':'bottom','a':2,'lo':-9.0,'hi':-0.05},{'n':'top','a':2,'lo':0.05,'hi':9.0}]) AS r),
 m AS (SELECT r.n AS region, vec_id AS id, row_number() OVER (PARTITION BY r.n ORDER BY md5(concat_ws('|', 7, r.n, vec_id)), vec_id) AS rn FROM embeddings, r WHERE CAST(embedding[r.a] AS DOUBLE) > r.lo AND CAST(embedding[r.a] AS DOUBLE) < r.hi)
 SELECT region, id FROM m WHERE rn <= 2""")
