@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X, gaps as G
 from ..session import durable
-from .gap_queries import QUALITY, filled
+from .gap_queries import QUALITY, RECOVERY, features_of, filled, masked
 from .inputs import PANEL, ZPANEL, panel, records, registrar, sql, table, zero_panel
 
 Q, SQL, query = registrar()
@@ -204,3 +204,37 @@ def legacy(spark, sf):
 def legacy_class(spark, sf):
     psd = X.legacy_low_frequency_psd(unsigned(spark, sf))
     return X.legacy_class(psd, X.LEGACY_THRESHOLDS["weekdays"]).select("series", "psd_index")
+
+
+# Copies that are complete again and the truth itself, as series of their own.
+AGAIN = """,
+back AS (SELECT series, pattern, method FROM recovered GROUP BY 1, 2, 3 HAVING count(*) = count(filled)),
+again AS (SELECT concat_ws('|', m.series, m.pattern, b.method) AS series, m.pos, m.date, CASE WHEN m.masked THEN r.filled ELSE m.value END AS value
+ FROM back b JOIN masked m USING (series, pattern)
+ LEFT JOIN recovered r ON r.series = m.series AND r.pattern = m.pattern AND r.method = b.method AND r.pos = m.pos
+ UNION ALL SELECT series, pos, date, value FROM zpanel),""" + welch_sql("again") + "," + temporal_sql("again") + """,
+judged AS (SELECT *, qualifying_day_fraction >= 0.2 AND 0.8*least(greatest(qualifying_day_fraction,0),1)
+ + (1-0.8)*least(greatest(fraction_20_28h,0),1) >= 0.25 AS candidate FROM temporal JOIN spectral USING (series)),
+changes AS (SELECT b.series, b.pattern, b.method, c.candidate <> t.candidate AS changed,
+ c.longest_observed_low_hours - t.longest_observed_low_hours AS low_error, c.fraction_6_8h - t.fraction_6_8h AS band_error
+ FROM back b JOIN judged c ON c.series = concat_ws('|', b.series, b.pattern, b.method) JOIN judged t ON t.series = b.series)"""
+
+
+@query("mask_label_changes", sql(RECOVERY, AGAIN + """
+SELECT method, pattern, count(*) AS profiles, CAST(sum(masked_periods) AS BIGINT) AS masked_periods,
+ CAST(sum(filled_periods) AS BIGINT) AS filled_periods, round(avg(normalized_rmse),6) AS mean_normalized_rmse,
+ count(changed) AS assessed_labels, round(avg(CAST(changed AS INTEGER)),6) AS label_flip_fraction,
+ round(sum(filled_periods)/sum(masked_periods),6) AS filled_fraction
+FROM errors LEFT JOIN changes USING (series, pattern, method) GROUP BY 1, 2"""))
+def label_changes(spark, sf):
+    s = G.recovery_summary(G.recovery_details(durable(masked(spark, sf)), feature_fn=features_of))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_normalized_rmse", "label_flip_fraction", "filled_fraction")})
+
+
+@query("mask_feature_errors", sql(RECOVERY, AGAIN + """
+SELECT series, pattern, method, changed AS candidate_changed, round(low_error,6) AS low_duration_error_hours,
+ round(band_error,6) AS band_fraction_error FROM errors LEFT JOIN changes USING (series, pattern, method)"""))
+def feature_errors(spark, sf):
+    d = G.recovery_details(durable(masked(spark, sf)), feature_fn=features_of)
+    return d.select("series", "pattern", "method", "candidate_changed", F.round("low_duration_error_hours", 6).alias("low_duration_error_hours"),
+                    F.round("band_fraction_error", 6).alias("band_fraction_error"))

@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import features as X, gaps as G, panel as P
-from ..session import durable
 from .inputs import PANEL, ZPANEL, panel, registrar, sql, zero_panel
 
 Q, SQL, query = registrar()
@@ -169,9 +168,3 @@ def recovery_summary(spark, sf):
     s = G.recovery_summary(errors).drop("assessed_labels", "label_flip_fraction")
     return s.withColumns({"mean_normalized_rmse": F.round("mean_normalized_rmse", 6),
                           "filled_fraction": F.round("filled_fraction", 6)})
-
-
-@query("mask_label_changes")
-def label_changes(spark, sf):
-    d = G.recovery_details(durable(masked(spark, sf)), feature_fn=features_of)
-    return G.recovery_summary(d)
