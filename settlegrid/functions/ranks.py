@@ -46,11 +46,15 @@ def _with_bucket(df, cuts, by, value):
 
 
 def value_counts(df: DataFrame, by, value: str) -> DataFrame:
-    """Distinct values with ``n``, rows below (``below``) and group size (``size``)."""
+    """Distinct values with ``n``, rows below (``below``) and group size (``size``).
+
+    Buckets are stored: a sum of doubles or a sketch may come out differently when it is computed again, and the counts
+    inside a bucket and the totals of the buckets have to come from one computation.
+    """
     by = list(by)
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*by, value).agg(F.count("*").alias("n"))
-    bucketed = _with_bucket(counts, _cut_points(counts, by, value), by, value)
+    bucketed = durable(_with_bucket(counts, _cut_points(counts, by, value), by, value))
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_t"))
     # At most two rows per cut point and group reach this window.
     seq = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -64,7 +68,8 @@ def value_counts(df: DataFrame, by, value: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, by, value: str, out: str) -> DataFrame:
-    """Add the exact average rank of ``value``; equal values meet again by an equi-join."""
+    """Add the exact average rank of ``value``; equal values meet again by an equi-join, so they are stored first."""
+    df = durable(df)
     return df.join(_value_ranks(df, by, value, out), [*by, value])
 
 
@@ -73,9 +78,13 @@ def _value_ranks(df: DataFrame, by, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by, x: str, y: str) -> DataFrame:
-    """Pair counts, distinct counts, Pearson and Spearman for groups of any size."""
+    """Pair counts, distinct counts, Pearson and Spearman for groups of any size.
+
+    Pairs are stored before they are ranked: ranks come back by a join on the values, which loses every pair whose value
+    is a sum that another run of the same plan adds up in another order.
+    """
     by = list(by)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    pairs = durable(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y))
     ranked = pairs.join(_value_ranks(pairs, by, x, "_rx"), [*by, x]).join(_value_ranks(pairs, by, y, "_ry"), [*by, y])
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n_paired"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
