@@ -4,12 +4,14 @@ Points are (id, z ARRAY<DOUBLE>, label) rows; matrices are long (id, pos, value)
 """
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..checks import ContractError
 from ..functions.ranks import spearman
 from ..functions.windows import hash_sample, md5_order
-from ..session import durable
+from ..session import durable, stored
+from .blocks import COLUMNS, ROWS, block_count, exact, numbers, paired, squares, vectors
 from .clusters import agglomerate
 from .neighbours import nearest_neighbours
 from .recurrence import held_out
@@ -147,27 +149,79 @@ def _distances(za, zb):
 
 
 def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
-    """Per point and label: summed distance to that label's points, and their number.
+    """Per point and label: summed distance to that label's points, and their number (the point itself included).
 
-    Distances live inside numpy blocks only; no pair is ever emitted. Each task
-    returns one row per (point, label), added up by a partial aggregation.
+    Blocks hold their points in order of the label, so a label's share of a row of distances is one run. Distances come
+    from products of blocks; those that rounding could touch, because they are small beside the vectors, are taken from the
+    differences. A pair of blocks leaves one array per block and label, and arrays of a block add up.
     """
-    def sums(d, rows, others):
-        labels = np.array([r["label"] for r in others])
-        ids, own = [r["id"] for r in rows], [r["label"] for r in rows]
-        for lab in np.unique(labels):
-            hit = labels == lab
-            yield pd.DataFrame({"id": ids, "label": own, "other": int(lab), "total": d[:, hit].sum(1), "n": int(hit.sum())})
-
-    def work(batches):
-        for pdf in batches:
-            for same, a, b in zip(pdf["same"], pdf["a"], pdf["b"]):
-                d = _distances(_matrix(a), _matrix(b))
-                yield from sums(d, a, b)
-                if not same:
-                    yield from sums(d.T, b, a)
-    parts = _tile_pairs(points, tile).select("same", "a", "b").mapInPandas(work, "id string, label int, other int, total double, n long")
-    return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = points.select(F.col("id").cast("string").alias("id"), F.col("z").cast("array<double>").alias("z"), "label")
+    _, count = block_count(rows, tile)
+
+    def pack(table):
+        table = table.sort_by([("label", "ascending")])  # NULL labels come last
+        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.string())),
+                         "labels": pa.array([table["label"].to_pylist()], pa.list_(pa.int32())), "z": [vectors(table["z"]).tobytes()]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).repartition(count, "block")
+    blocks = stored(dealt.groupBy("block").applyInArrow(pack, "block int, ids array<string>, labels array<int>, z binary"))
+
+    def side(table, row):
+        labels = table["labels"][row].as_py()
+        runs = {lab: at for at, lab in reversed(list(enumerate(labels))) if lab is not None}  # each label's first place
+        return numbers(table["z"][row]).reshape(len(labels), -1), list(runs)[::-1], np.array(list(runs.values())[::-1], int), sum(
+            lab is not None for lab in labels)
+
+    def work(table):
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        if i != j and len(table) == 1:  # the hash left the other block empty
+            return parts.slice(0, 0)
+        at = {b: row for row, b in enumerate(table["block"].to_pylist())}
+        (za, la, sa, ka), (zb, lb, sb, kb) = side(table, at[i]), side(table, at[j])
+        shift = za.mean(0)
+        left, right, _ = squares(za - shift, zb - shift)
+        to_a, to_b = np.zeros((len(lb), len(za))), np.zeros((len(la), len(zb)))
+        room = np.empty((min(ROWS, len(za)), len(zb)))
+        na, nb = left[:, -2], right[:, -1]
+        for r in range(0, len(za), ROWS):
+            full = room[:len(za[r:r + ROWS])]
+            for c in range(0, len(zb), COLUMNS):
+                d = full[:, c:c + COLUMNS]
+                np.matmul(left[r:r + ROWS], right[c:c + COLUMNS].T, out=d)
+                x, y = np.nonzero(d < 1e-5 * (na[r:r + ROWS, None] + nb[c:c + COLUMNS].max()))
+                small = d[x, y] < 1e-5 * (na[x + r] + nb[y + c])
+                x, y = x[small], y[small]
+                d[x, y] = 0.0
+                np.sqrt(d, out=d)
+                d[x, y] = exact(za, zb, x + r, y + c)
+            if len(lb):
+                to_a[:, r:r + ROWS] = np.add.reduceat(full[:, :kb], sb, axis=1).T
+            if i != j:
+                for lab in range(len(la)):
+                    lo, hi = max(sa[lab], r), min(sa[lab + 1] if lab + 1 < len(la) else ka, r + ROWS)
+                    if lo < hi:
+                        to_b[lab] += full[lo - r:hi - r].sum(0)
+        out = [(i, lab, to_a[m].tobytes()) for m, lab in enumerate(lb)]
+        out += [(j, lab, to_b[m].tobytes()) for m, lab in enumerate(la)] if i != j else []
+        return pa.table({name: pa.array([o[m] for o in out], kind) for m, (name, kind) in enumerate(zip(parts.column_names, parts.schema.types))})
+
+    def add(table):
+        total = sum(numbers(cell) for cell in table["totals"])
+        return pa.table({"block": table["block"][:1], "other": table["other"][:1], "totals": [total.tobytes()]})
+
+    def unpack(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                yield pd.DataFrame({"id": list(r.ids), "label": pd.array(list(r.labels), "Int32"), "other": r.other, "total": np.frombuffer(r.totals)})
+
+    parts = pa.table({"block": pa.array([], pa.int32()), "other": pa.array([], pa.int32()), "totals": pa.array([], pa.binary())})
+    shape = "block int, other int, totals binary"
+    met = paired(blocks.select("block", "labels", "z"), count * (count + 1) // 2, F.sequence(F.lit(0), F.lit(count - 1)))
+    sums = met.groupBy("i", "j").applyInArrow(work, shape).groupBy("block", "other").applyInArrow(add, shape)
+    found = sums.join(blocks.select("block", "ids", "labels"), "block").select("ids", "labels", "other", "totals").mapInPandas(
+        unpack, "id string, label int, other int, total double")
+    sizes = rows.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
+    return found.join(sizes, "other").select("id", "label", "other", "total", "n")
 
 
 def silhouette(points: DataFrame, tile=TILE) -> DataFrame:
