@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from settlegrid.operators.neighbours import nearest_neighbours
+from settlegrid.operators.neighbours import _ringed, nearest_neighbours
 
 
 def points(spark, z, labels):
@@ -37,3 +37,16 @@ def test_neighbours_equal_brute_force(spark, case):
     assert v["blocks"] <= v["visited_pairs"] <= v["all_pairs"]
     if case == "clusters":
         assert v["visited_pairs"] < 0.5 * v["all_pairs"]
+
+
+@pytest.mark.parametrize("case", ["uniform", "copies", "far"])
+def test_few_blocks_are_shipped_and_hold_many_rings(spark, case):
+    r = np.random.default_rng(6)
+    z = {"uniform": lambda: r.normal(size=(1200, 8)), "copies": lambda: np.r_[np.ones((700, 3)), r.normal(size=(500, 3)).round(1)],
+         "far": lambda: 1e5 + r.normal(size=(1100, 3))}[case]()
+    rows, visits = nearest_neighbours(points(spark, z, np.arange(len(z)) % 3), 5, 16)
+    _, blocks, _, number = _ringed(points(spark, z, np.zeros(len(z))), 16, 5)
+    assert blocks.count() == number == 3 and visits.first()["blocks"] >= len(z) / 16
+    got = {(x["id"], x["rank"]): (x["other"], x["distance"]) for x in rows.collect()}
+    want = {(i, n + 1): near for i, found in brute(z, 5).items() for n, near in enumerate(found)}
+    assert got == want
