@@ -5,10 +5,9 @@ Points are (id, z ARRAY<DOUBLE>, label) rows; matrices are long (id, pos, value)
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checks import ContractError
-from ..functions.ranks import spearman
 from ..functions.windows import hash_sample, md5_order
 from ..session import durable, stored
 from .blocks import COLUMNS, ROWS, block_count, exact, numbers, paired, squares, vectors
@@ -121,33 +120,6 @@ def completion_scores(actual_train, reconstruction, actual_test, prediction, sca
 TILE = 512
 
 
-def _tiles(points: DataFrame, tile=TILE) -> DataFrame:
-    """Points packed into blocks of about ``tile`` rows by hash of their id, whatever their label."""
-    n = points.agg(F.count("*")).scalar()
-    blocks = F.greatest(F.ceil(F.col("_n") / tile), F.lit(1))
-    numbered = points.withColumn("_n", n).withColumns({"_blocks": blocks}).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    return numbered.groupBy("tile").agg(F.first("_blocks").alias("blocks"),
-                                        F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "z", "label")).alias("rows"))
-
-
-def _tile_pairs(points: DataFrame, tile=TILE) -> DataFrame:
-    """Every unordered pair of blocks once (a block also with itself), by an equi-join on the second block's number."""
-    t = _tiles(points, tile)
-    left = t.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("blocks") - 1))).select(
-        "tile", "other", F.col("rows").alias("a"))
-    pairs = left.join(t.select(F.col("tile").alias("other"), F.col("rows").alias("b")), "other")
-    return pairs.select(F.col("tile"), "other", (F.col("tile") == F.col("other")).alias("same"), "a", "b").repartition("tile", "other")
-
-
-def _matrix(rows):
-    return np.array([r["z"] for r in rows], dtype=float)
-
-
-def _distances(za, zb):
-    """Euclidean distances, one row of differences at a time: exact zeros for equal points and no product of all three axes."""
-    return np.stack([np.sqrt(((zb - row) ** 2).sum(1)) for row in za])
-
-
 def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
     """Per point and label: summed distance to that label's points, and their number (the point itself included).
 
@@ -281,27 +253,114 @@ def latent_metrics(points: DataFrame) -> DataFrame:
     return out.select(*[F.when(ok, F.col(m)).alias(m) for m in ("silhouette", "davies_bouldin", "calinski_harabasz")], "knn_label_agreement")
 
 
+PAIR_ROWS, BUCKET = 2048, 2_000_000
+
+
+def _bucketed(cuts, values):
+    """Odd buckets hold one value (a cut point), even ones the values between."""
+    below = np.searchsorted(cuts, values)
+    return 2 * below + (cuts[np.minimum(below, len(cuts) - 1)] == values)
+
+
+def _runs(order_by):
+    """(order, [(key, from, to)]) of equal keys."""
+    order = np.argsort(order_by, kind="stable")
+    keys, starts = np.unique(order_by[order], return_index=True)
+    return order, list(zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]))
+
+
+def _local_ranks(bucket, values):
+    """Average ranks inside a bucket, from 1; 0 where all its values are one, as the bucket's total tells the rank."""
+    if bucket % 2:
+        return np.zeros(len(values))
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
 def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFrame:
     """Rank agreement of two embeddings' distances (id, z in both); NULL when either is constant.
 
-    The statistic's sample is the set of distances itself. Blocks compute them in
-    numpy, they are stored once, and the ranks come from distributed value counts.
-    The cost grows with the square of the number of *series*, as the definition does.
+    The statistic's sample is the set of distances itself, so the cost grows with the square of the number of *series*.
+    Pairs of blocks leave packed distances, dealt by buckets of the first one; there they get their rank inside the bucket
+    and are dealt by buckets of the second one, where sums of products are left. A rank is the bucket's offset plus the
+    rank inside, so offsets enter the sums at the end. Cut points come from a sample; ranks are exact whatever they are,
+    and a value that fills a bucket is a bucket of its own, in as many parts as there were pairs of blocks.
     """
     both = first.select("id", F.col("z").alias("p")).join(second.select("id", F.col("z").alias("q")), "id")
-    packed = both.select("id", F.concat(F.col("p").cast("array<double>"), F.col("q").cast("array<double>")).alias("z"), F.size("p").alias("label"))
-
-    def work(batches):
-        for pdf in batches:
-            for same, a, b in zip(pdf["same"], pdf["a"], pdf["b"]):
-                za, zb, w = _matrix(a), _matrix(b), a[0]["label"]
-                for i, row in enumerate(za):
-                    later = zb[i + 1:] if same else zb
-                    if len(later):
-                        diff = (later - row) ** 2
-                        yield pd.DataFrame({"x": np.sqrt(diff[:, :w].sum(1)), "y": np.sqrt(diff[:, w:].sum(1))})
-    rows = _tile_pairs(packed, tile).select("same", "a", "b").mapInPandas(work, "x double, y double").withColumn("g", F.lit(1))
-    return spearman(durable(rows), ["g"], "x", "y").select("n_paired", F.col("spearman").alias("distance_rank_stability"))
+    width = both.agg(F.coalesce(F.max(F.size("p")), F.lit(0))).first()[0]
+    rows = both.select("id", F.concat(F.col("p").cast("array<double>"), F.col("q").cast("array<double>")).alias("z"))
+    n, count = block_count(rows, tile)
+    count = max(count, -(-n // PAIR_ROWS))
+    seen = np.array([r["z"] for r in rows.orderBy(md5_order(F.lit(5), "id"), "id").limit(1000).select("z").collect()], float)
+
+    def distances(za, zb, same):
+        x, y = np.full((len(za), len(zb)), np.nan), np.full((len(za), len(zb)), np.nan)
+        for i, row in enumerate(za):
+            lo = i + 1 if same else 0
+            diff = (zb[lo:] - row) ** 2
+            x[i, lo:], y[i, lo:] = np.sqrt(diff[:, :width].sum(1)), np.sqrt(diff[:, width:].sum(1))
+        known = np.triu(np.ones(x.shape, bool), 1) if same else np.ones(x.shape, bool)
+        return x[known], y[known]
+
+    shares = np.linspace(0, 1, max(8, n * (n - 1) // 2 // BUCKET) + 1)
+    cut_x, cut_y = [np.unique(np.quantile(v, shares, method="nearest")) for v in distances(seen, seen, True)] if n > 1 else [np.zeros(1)] * 2
+
+    def pack(table):
+        return pa.table({"block": table["block"][:1], "n": pa.array([len(table)], pa.int32()), "z": [vectors(table["z"]).tobytes()]})
+
+    def packed(out, shape):
+        return pa.table({name: pa.array([o[m] for o in out], kind) for m, (name, kind) in enumerate(shape)})
+
+    def by_first(table):
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        blocks = dict(zip(table["block"].to_pylist(), [numbers(z).reshape(k, -1) for z, k in zip(table["z"], table["n"].to_pylist())]))
+        x, y = distances(blocks[i], blocks[j], i == j) if len(blocks) == 1 + (i != j) else (np.zeros(0), np.zeros(0))
+        order, runs = _runs(_bucketed(cut_x, x))
+        x, y = x[order], y[order]
+        return packed([(bx, i * count + j if bx % 2 else 0, x[lo:hi].tobytes(), y[lo:hi].tobytes()) for bx, lo, hi in runs],
+                      [("bx", pa.int32()), ("part", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+
+    def by_second(table):
+        bx, part = table["bx"][0].as_py(), table["part"][0].as_py()
+        x, y = [np.concatenate([numbers(cell) for cell in table[c]]) for c in "xy"]
+        order, runs = _runs(_bucketed(cut_y, y))
+        ranks, y = _local_ranks(bx, x)[order], y[order]
+        return packed([(bx, by, bx * count * count + part if by % 2 else 0, ranks[lo:hi].tobytes(), y[lo:hi].tobytes()) for by, lo, hi in runs],
+                      [("bx", pa.int32()), ("by", pa.int32()), ("part", pa.int64()), ("r", pa.binary()), ("y", pa.binary())])
+
+    def sums(table):
+        by = table["by"][0].as_py()
+        r, y = [[numbers(cell) for cell in table[c]] for c in "ry"]
+        bx = np.repeat(table["bx"].to_numpy(), [len(v) for v in r])
+        r, s = np.concatenate(r), _local_ranks(by, np.concatenate(y))
+        order, runs = _runs(bx)
+        r, s = r[order], s[order]
+        parts = [(x, by, hi - lo, *[float(v[lo:hi].sum()) for v in (r, s, r * r, s * s, r * s)]) for x, lo, hi in runs]
+        return packed(parts, [("bx", pa.int32()), ("by", pa.int32()), ("n", pa.int64())] + [(c, pa.float64()) for c in ("r", "s", "rr", "ss", "rs")])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    blocks = stored(dealt.groupBy("block").applyInArrow(pack, "block int, n int, z binary"))
+    met = paired(blocks, count * (count + 1) // 2, F.sequence(F.lit(0), F.lit(count - 1)))
+    table = met.groupBy("i", "j").applyInArrow(by_first, "bx int, part long, x binary, y binary")
+    table = table.repartition(2 * len(cut_x) + 1, "bx", "part").groupBy("bx", "part").applyInArrow(
+        by_second, "bx int, by int, part long, r binary, y binary")
+    table = stored(table.repartition(2 * len(cut_y) + 1, "by", "part").groupBy("by", "part").applyInArrow(
+        sums, "bx int, by int, n long, r double, s double, rr double, ss double, rs double"))
+
+    def offsets(bucket, out):
+        total = table.groupBy(bucket).agg(F.sum("n").alias("_t"))
+        seq = Window.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # two rows per cut point at most
+        below = F.coalesce(F.sum("_t").over(seq), F.lit(0))
+        return total.select(bucket, (below + F.when(F.col(bucket) % 2 == 1, (F.col("_t") + 1) / 2).otherwise(0.0)).alias(out))
+
+    u, v = [F.col(c) - F.lit((n * (n - 1) // 2 + 1) / 2) for c in ("_x", "_y")]  # from the mean rank
+    m = F.col("n")
+    moments = table.join(offsets("bx", "_x"), "bx").join(offsets("by", "_y"), "by").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_paired"), F.sum(m * u * u + 2 * u * F.col("r") + F.col("rr")).alias("xx"),
+        F.sum(m * v * v + 2 * v * F.col("s") + F.col("ss")).alias("yy"),
+        F.sum(m * u * v + u * F.col("s") + v * F.col("r") + F.col("rs")).alias("xy"))
+    varies = (F.col("n_paired") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0)
+    return moments.select("n_paired", F.when(varies, F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("distance_rank_stability"))
 
 
 def two_way_clusters(points: DataFrame, weight=None) -> DataFrame:

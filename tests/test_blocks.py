@@ -39,3 +39,19 @@ def test_silhouette_of_copies_far_from_the_origin(spark):
     for x in rows:
         hit = known == x["other"]
         assert x["n"] == hit.sum() and math.isclose(x["total"], d[int(x["id"]), hit].sum(), rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_ranks_of_all_distances_come_from_packed_buckets(spark, monkeypatch):
+    """Copies make a third of all distances one value; several blocks, several buckets, no row per pair."""
+    monkeypatch.setattr(L, "PAIR_ROWS", 40)
+    r = np.random.default_rng(8)
+    z = np.r_[np.ones((110, 4)), r.normal(size=(80, 4)).round(1)]
+    first, second = (cloud(spark, part, [0] * len(z)) for part in (z[:, :2], z[:, 2:] + r.normal(size=(len(z), 1)).round()))
+    p, q = (np.array([x["z"] for x in part.orderBy("id").collect()]) for part in (first, second))
+    at = np.triu_indices(len(z), 1)
+    x, y = (np.sqrt(((v[at[0]] - v[at[1]]) ** 2).sum(1)) for v in (p, q))
+    rank = lambda v: (lambda u, i, n: (np.cumsum(n) - (n - 1) / 2)[i])(*np.unique(v, return_inverse=True, return_counts=True))
+    got = L.distance_stability(first, second, 16).first()
+    assert got["n_paired"] == len(x) and math.isclose(got["distance_rank_stability"], np.corrcoef(rank(x), rank(y))[0, 1], rel_tol=1e-9)
+    alone = L.distance_stability(first.limit(1), second.limit(1)).first()
+    assert alone["n_paired"] == 0 and alone["distance_rank_stability"] is None
