@@ -4,7 +4,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from settlegrid.operators import latent as L
+from settlegrid.operators import latent as L, neighbours as N
 from settlegrid.operators.blocks import BLOCKS, block_count, paired
 
 
@@ -55,3 +55,30 @@ def test_ranks_of_all_distances_come_from_packed_buckets(spark, monkeypatch):
     assert got["n_paired"] == len(x) and math.isclose(got["distance_rank_stability"], np.corrcoef(rank(x), rank(y))[0, 1], rel_tol=1e-9)
     alone = L.distance_stability(first.limit(1), second.limit(1)).first()
     assert alone["n_paired"] == 0 and alone["distance_rank_stability"] is None
+
+
+def scored(spark, monkeypatch, score):
+    """(the score, blocks shipped in each step, points, labels) of 1,400 points with tile 9."""
+    r = np.random.default_rng(9)
+    lab = r.integers(0, 4, 1400)
+    z = r.normal(size=(1400, 5)) + lab[:, None] * 0.7
+    shipped = []
+    for module in (L, N):
+        real = module.paired
+        monkeypatch.setattr(module, "paired", lambda blocks, *a, real=real: shipped.append(blocks.count()) or real(blocks, *a))
+    return score(cloud(spark, z, lab.tolist())).first(), shipped, z, lab
+
+
+def brute_scores(z, lab):
+    d = np.sqrt(((z[:, None] - z) ** 2).sum(-1))
+    mean = np.stack([d[:, lab == x].sum(1) / ((lab == x).sum() - (lab == x)) for x in range(4)], 1)
+    a, rest = mean[np.arange(len(z)), lab], mean.copy()
+    rest[np.arange(len(z)), lab] = np.inf
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1)[:, :5]
+    return ((rest.min(1) - a) / np.maximum(a, rest.min(1))).mean(), (lab[near] == lab[:, None]).mean()
+
+
+def test_label_agreement_ships_few_blocks(spark, monkeypatch):
+    got, shipped, z, lab = scored(spark, monkeypatch, lambda p: L.nearest_label_agreement(p, tile=9))
+    assert math.isclose(got[0], brute_scores(z, lab)[1], rel_tol=1e-9) and shipped and max(shipped) <= BLOCKS
