@@ -82,3 +82,10 @@ def brute_scores(z, lab):
 def test_label_agreement_ships_few_blocks(spark, monkeypatch):
     got, shipped, z, lab = scored(spark, monkeypatch, lambda p: L.nearest_label_agreement(p, tile=9))
     assert math.isclose(got[0], brute_scores(z, lab)[1], rel_tol=1e-9) and shipped and max(shipped) <= BLOCKS
+
+
+def test_latent_metrics_ship_few_blocks(spark, monkeypatch):
+    got, shipped, z, lab = scored(spark, monkeypatch, L.latent_metrics)
+    silhouette, agreement = brute_scores(z, lab)
+    assert math.isclose(got["silhouette"], silhouette, rel_tol=1e-9) and math.isclose(got["knn_label_agreement"], agreement, rel_tol=1e-9)
+    assert len(shipped) == 2 and max(shipped) <= BLOCKS
