@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BLOCKS = 24             # 300 pairs: enough tasks for a few dozen cores
-BLOCK_BYTES = 2 ** 24   # 32,768 points of 64 doubles
+BLOCKS = 12             # 78 pairs: enough tasks for a few dozen cores
+BLOCK_BYTES = 2 ** 25   # 65,536 points of 64 doubles
 ROWS, COLUMNS = 256, 2048
 
 
@@ -25,6 +25,19 @@ def vectors(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def to_bytes(z: np.ndarray) -> bytes:
+    """A matrix as bytes, in single precision where that loses nothing; the first byte tells."""
+    with np.errstate(over="ignore"):
+        single = z.astype("f4")
+    return b"f" + single.tobytes() if np.array_equal(single, z, equal_nan=True) else b"d" + z.tobytes()
+
+
+def from_bytes(cell, rows: int) -> np.ndarray:
+    """The matrix of ``to_bytes`` in double precision."""
+    kept = cell.as_py()
+    return np.frombuffer(kept, "f4" if kept[:1] == b"f" else "f8", offset=1).astype(float).reshape(rows, -1)
+
+
 def numbers(cell, kind=float) -> np.ndarray:
     """A packed cell as a flat array that may be written to."""
     return np.frombuffer(cell.as_py(), kind).copy()

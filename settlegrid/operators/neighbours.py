@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.ranks import ordered_positions
 from ..functions.windows import md5_order
 from ..session import stored
-from .blocks import COLUMNS, ROWS, block_count, exact, numbers, paired, squares, vectors
+from .blocks import COLUMNS, ROWS, block_count, exact, from_bytes, numbers, paired, squares, to_bytes, vectors
 
 PIVOTS = 512        # at most; with one vector each they are the only points that every task sees
 SLACK = 1e-9        # relative; a bound that rounding lowers by less than this visits one block more
 NONE = np.iinfo(np.int64).max
 
-PACKED = "block int, n int, z binary, own binary, pivot binary, away binary, near binary, other binary, ring binary, visited long"
+PACKED = "block int, n int, z binary, own binary, pivot binary, away binary, near binary, other binary, reach binary, ring binary, visited long"
 SUMMARY = ("start", "pivot", "low", "high", "reach")
 
 
@@ -152,9 +152,9 @@ def _ringed(points: DataFrame, tile: int, k: int):
         np.fill_diagonal(close, True)
         _search(side, side, start, start, close, True)
         ring["reach"] = np.maximum.reduceat(side.reach, start)
-        cells = {"z": side.z, "own": own, "pivot": pivot, "away": away, "near": side.near, "other": side.other,
+        cells = {"own": own, "pivot": pivot, "away": away, "near": side.near, "other": side.other, "reach": side.near[:, -1],
                  "ring": np.stack([np.asarray(ring[c], float) for c in SUMMARY], 1)}
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "n": pa.array([len(own)], pa.int32()),
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "n": pa.array([len(own)], pa.int32()), "z": pa.array([to_bytes(side.z)], pa.binary()),
                          **{name: pa.array([cell.tobytes()], pa.binary()) for name, cell in cells.items()}, "visited": [int(close.sum())]})
 
     dealt = ordered.withColumn("block", F.floor(F.col("position") * number / F.col("size")).cast("int")).drop("place", "size")
@@ -183,15 +183,14 @@ def nearest_neighbours(points: DataFrame, k=5, tile=512):
     pairs = far.select("a", "b", "a_ring", "b_ring").mapInArrow(reachable, "a int, b int")
     partners = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("block"), F.col("b").alias("_other")),
                                               F.struct(F.col("b").alias("block"), F.col("a").alias("_other")))).alias("p")).select("p.*")
-    loaded = blocks.select("block", "z", "own", "near", "ring").join(
+    loaded = blocks.select("block", "z", "own", "reach", "ring").join(
         partners.groupBy("block").agg(F.collect_list("_other").alias("_others")), "block")  # at most one entry per block
 
     def across(table):
         sides, rings = [], []
         for at in np.argsort(table["block"].to_numpy()).tolist():
             own = numbers(table["own"][at], np.int64)
-            reach = numbers(table["near"][at]).reshape(len(own), k)[:, -1].copy()
-            sides.append(Side(numbers(table["z"][at]).reshape(len(own), -1), own, k, reach))
+            sides.append(Side(from_bytes(table["z"][at], len(own)), own, k, numbers(table["reach"][at])))
             rings.append(_summary(table["ring"][at]))
         close = _close(*rings, apart)
         _search(*sides, rings[0]["start"], rings[1]["start"], close, False)

@@ -2,10 +2,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from settlegrid.operators import latent as L, neighbours as N
-from settlegrid.operators.blocks import BLOCKS, block_count, paired
+from settlegrid.operators.blocks import BLOCKS, block_count, from_bytes, paired, to_bytes
 
 
 def cloud(spark, z, labels):
@@ -89,3 +91,43 @@ def test_latent_metrics_ship_few_blocks(spark, monkeypatch):
     silhouette, agreement = brute_scores(z, lab)
     assert math.isclose(got["silhouette"], silhouette, rel_tol=1e-9) and math.isclose(got["knn_label_agreement"], agreement, rel_tol=1e-9)
     assert len(shipped) == 2 and max(shipped) <= BLOCKS
+
+
+def shipped_bytes(monkeypatch):
+    """What each step ships, in bytes of packed columns; filled when the step is planned."""
+    found = []
+    for module in (L, N):
+        real = module.paired
+
+        def watched(blocks, *a, real=real):
+            met = real(blocks, *a)
+            cells = [c for c, kind in met.dtypes if kind == "binary" and c != "ring"]
+            found.append(met.agg(sum(F.sum(F.octet_length(c)) for c in cells)).first()[0])
+            return met
+
+        monkeypatch.setattr(module, "paired", watched)
+    return found
+
+
+def test_no_more_than_a_dozen_blocks_until_they_outgrow_memory(spark):
+    def count(n, width):
+        return block_count(spark.range(n).select(F.array_repeat(F.lit(0.0), width).alias("z")), 512)[1]
+    assert count(100_000, 64) == count(20_000, 1) == BLOCKS <= 12 and count(1_000_000, 64) > BLOCKS
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_bytes_of_vectors_lose_nothing(single):
+    z = np.random.default_rng(4).normal(size=(7, 3)) * [1.0, 1e-30, 1e30]
+    z = z.astype("f4").astype(float) if single else np.r_[z, [[np.inf, np.nan, 1e300]]]
+    kept = to_bytes(z)
+    assert np.array_equal(from_bytes(pa.scalar(kept), len(z)), z, equal_nan=True) and len(kept) == 1 + z.size * (4 if single else 8)
+
+
+def test_label_agreement_ships_single_precision_and_reach(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    lab = r.integers(0, 4, 1400)
+    z = (r.normal(size=(1400, 6)) + lab[:, None] * 0.7).astype("f4").astype(float)
+    found = shipped_bytes(monkeypatch)
+    got = L.nearest_label_agreement(cloud(spark, z, lab.tolist()), tile=9).first()[0]
+    assert math.isclose(got, brute_scores(z, lab)[1], rel_tol=1e-9)
+    assert len(found) == 1 and found[0] <= 2 * (1400 * (6 * 4 + 8 + 8) + 3)  # three blocks, two partners each; numbers and reach
