@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..checks import ContractError
 from ..functions.windows import hash_sample, md5_order
 from ..session import durable, stored
-from .blocks import COLUMNS, ROWS, block_count, exact, numbers, paired, squares, vectors
+from .blocks import COLUMNS, ROWS, block_count, exact, from_bytes, numbers, paired, squares, to_bytes, vectors
 from .clusters import agglomerate
 from .neighbours import nearest_neighbours
 from .recurrence import held_out
@@ -133,7 +133,7 @@ def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
     def pack(table):
         table = table.sort_by([("label", "ascending")])  # NULL labels come last
         return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.string())),
-                         "labels": pa.array([table["label"].to_pylist()], pa.list_(pa.int32())), "z": [vectors(table["z"]).tobytes()]})
+                         "labels": pa.array([table["label"].to_pylist()], pa.list_(pa.int32())), "z": [to_bytes(vectors(table["z"]))]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).repartition(count, "block")
     blocks = stored(dealt.groupBy("block").applyInArrow(pack, "block int, ids array<string>, labels array<int>, z binary"))
@@ -141,7 +141,7 @@ def distances_by_label(points: DataFrame, tile=TILE) -> DataFrame:
     def side(table, row):
         labels = table["labels"][row].as_py()
         runs = {lab: at for at, lab in reversed(list(enumerate(labels))) if lab is not None}  # each label's first place
-        return numbers(table["z"][row]).reshape(len(labels), -1), list(runs)[::-1], np.array(list(runs.values())[::-1], int), sum(
+        return from_bytes(table["z"][row], len(labels)), list(runs)[::-1], np.array(list(runs.values())[::-1], int), sum(
             lab is not None for lab in labels)
 
     def work(table):

@@ -131,3 +131,15 @@ def test_label_agreement_ships_single_precision_and_reach(spark, monkeypatch):
     got = L.nearest_label_agreement(cloud(spark, z, lab.tolist()), tile=9).first()[0]
     assert math.isclose(got, brute_scores(z, lab)[1], rel_tol=1e-9)
     assert len(found) == 1 and found[0] <= 2 * (1400 * (6 * 4 + 8 + 8) + 3)  # three blocks, two partners each; numbers and reach
+
+
+def test_latent_metrics_ship_single_precision_in_both_steps(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    lab = r.integers(0, 4, 1400)
+    z = (r.normal(size=(1400, 6)) + lab[:, None] * 0.7).astype("f4").astype(float)
+    found = shipped_bytes(monkeypatch)
+    got = L.latent_metrics(cloud(spark, z, lab.tolist())).first()
+    silhouette, agreement = brute_scores(z, lab)
+    assert math.isclose(got["silhouette"], silhouette, rel_tol=1e-9) and math.isclose(got["knn_label_agreement"], agreement, rel_tol=1e-9)
+    to_all, to_others = 3 * (1400 * 6 * 4 + 3), 2 * (1400 * (6 * 4 + 8 + 8) + 3)  # three blocks; the silhouette meets itself too
+    assert len(found) == 2 and found[0] <= to_all and found[1] <= to_others
