@@ -2,6 +2,8 @@
 
 Points are (id, z ARRAY<DOUBLE>, label) rows; matrices are long (id, pos, value).
 """
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +16,7 @@ from .blocks import COLUMNS, ROWS, block_count, exact, from_bytes, numbers, pair
 from .clusters import agglomerate
 from .neighbours import nearest_neighbours
 from .recurrence import held_out
+from .stability import bounded_rank_agreement
 from .subspace import leading_directions
 
 
@@ -254,6 +257,7 @@ def latent_metrics(points: DataFrame) -> DataFrame:
 
 
 PAIR_ROWS, BUCKET = 2048, 2_000_000
+PACKED_PAIRS = 2 ** 23  # 0.3 GB of disk
 
 
 def _bucketed(cuts, values):
@@ -277,20 +281,34 @@ def _local_ranks(bucket, values):
     return (np.cumsum(n) - (n - 1) / 2)[at]
 
 
-def distance_stability(first: DataFrame, second: DataFrame, tile=TILE) -> DataFrame:
+def distance_stability(first: DataFrame, second: DataFrame, tile=TILE, digits=6) -> DataFrame:
     """Rank agreement of two embeddings' distances (id, z in both); NULL when either is constant.
 
-    The statistic's sample is the set of distances itself, so the cost grows with the square of the number of *series*.
-    Pairs of blocks leave packed distances, dealt by buckets of the first one; there they get their rank inside the bucket
-    and are dealt by buckets of the second one, where sums of products are left. A rank is the bucket's offset plus the
-    rank inside, so offsets enter the sums at the end. Cut points come from a sample; ranks are exact whatever they are,
-    and a value that fills a bucket is a bucket of its own, in as many parts as there were pairs of blocks.
+    The statistic's sample is the set of distances itself, so the arithmetic grows with the square of the number of *series*.
+    Up to ``PACKED_PAIRS`` pairs are ranked one by one. Beyond, no pair is kept (``stability``): the result is bounded from
+    both sides until its rounding to ``digits`` decimal places is certain; pairs are ranked one by one if it never is.
     """
     both = first.select("id", F.col("z").alias("p")).join(second.select("id", F.col("z").alias("q")), "id")
     width = both.agg(F.coalesce(F.max(F.size("p")), F.lit(0))).first()[0]
     rows = both.select("id", F.concat(F.col("p").cast("array<double>"), F.col("q").cast("array<double>")).alias("z"))
     n, count = block_count(rows, tile)
-    count = max(count, -(-n // PAIR_ROWS))
+    if n * (n - 1) // 2 > PACKED_PAIRS:
+        rows = stored(rows)
+        value = bounded_rank_agreement(rows, n, width, digits, tile)
+        if value is not None:
+            result = F.lit(None if math.isnan(value) else value).cast("double")
+            return rows.sparkSession.range(1).select(F.lit(n * (n - 1) // 2).cast("long").alias("n_paired"), result.alias("distance_rank_stability"))
+    return _packed_stability(rows, n, width, max(count, -(-n // PAIR_ROWS)))
+
+
+def _packed_stability(rows, n, width, count):
+    """Rank agreement with every pair ranked: 32 bytes of disk for each.
+
+    Pairs of blocks leave packed distances, dealt by buckets of the first one; there they get their rank inside the bucket
+    and are dealt by buckets of the second one, where sums of products are left. A rank is the bucket's offset plus the
+    rank inside, so offsets enter the sums at the end. Cut points come from a sample; ranks are exact whatever they are,
+    and a value that fills a bucket is a bucket of its own, in as many parts as there were pairs of blocks.
+    """
     seen = np.array([r["z"] for r in rows.orderBy(md5_order(F.lit(5), "id"), "id").limit(1000).select("z").collect()], float)
 
     def distances(za, zb, same):

@@ -143,3 +143,45 @@ def test_latent_metrics_ship_single_precision_in_both_steps(spark, monkeypatch):
     assert math.isclose(got["silhouette"], silhouette, rel_tol=1e-9) and math.isclose(got["knn_label_agreement"], agreement, rel_tol=1e-9)
     to_all, to_others = 3 * (1400 * 6 * 4 + 3), 2 * (1400 * (6 * 4 + 8 + 8) + 3)  # three blocks; the silhouette meets itself too
     assert len(found) == 2 and found[0] <= to_all and found[1] <= to_others
+
+
+def brute_ranks(p, q):
+    at = np.triu_indices(len(p), 1)
+    x, y = (np.sqrt(((v[at[0]] - v[at[1]]) ** 2).sum(1)) for v in (p, q))
+    rank = lambda v: (lambda u, i, n: (np.cumsum(n) - (n - 1) / 2)[i])(*np.unique(v, return_inverse=True, return_counts=True))
+    return np.corrcoef(rank(x), rank(y))[0, 1]
+
+
+@pytest.mark.parametrize("kind", ["far and outliers", "few values"])
+def test_ranks_of_many_distances_keep_no_pair(spark, monkeypatch, kind):
+    """Only blocks of points are shipped; the bounds hold with several blocks, outliers, an offset and ties."""
+    from settlegrid.operators import stability as S
+    monkeypatch.setattr(L, "PACKED_PAIRS", 10_000)
+    monkeypatch.setattr(L, "_packed_stability", lambda *a: pytest.fail("pairs were packed"))
+    monkeypatch.setattr(S, "BINS", 400_000)
+    monkeypatch.setattr(S, "HELD_BYTES", 2 ** 15)
+    found = []
+    real = S._bounds
+    monkeypatch.setattr(S, "_bounds", lambda *a: found.append(real(*a)) or found[-1])
+    r = np.random.default_rng(12)
+    z = r.normal(size=(900, 6)) if kind == "far and outliers" else r.integers(0, 3, (900, 6)).astype(float)
+    if kind == "far and outliers":
+        z[5], z[17] = z[5] * 1e3, z[17] * 1e6
+        z += 100
+    first, second = (cloud(spark, part, [0] * len(z)) for part in (z[:, :3], z[:, 3:]))
+    got = L.distance_stability(first, second, 64, digits=3).first()
+    want = brute_ranks(z[:, :3], z[:, 3:])
+    assert got["n_paired"] == 900 * 899 // 2 and round(got["distance_rank_stability"], 3) == round(want, 3)
+    assert found and all(abs(value - want) <= by < 1e-4 for value, by in found)
+
+
+def test_ranks_of_many_distances_without_sure_rounding_are_packed(spark, monkeypatch):
+    from settlegrid.operators import stability as S
+    monkeypatch.setattr(L, "PACKED_PAIRS", 100)
+    monkeypatch.setattr(S, "BINS", 8)
+    z = np.random.default_rng(13).normal(size=(120, 4))
+    first, second = (cloud(spark, part, [0] * len(z)) for part in (z[:, :2], z[:, 2:]))
+    got = L.distance_stability(first, second, 16, digits=9).first()[1]
+    assert math.isclose(got, brute_ranks(z[:, :2], z[:, 2:]), rel_tol=1e-9)
+    flat = cloud(spark, np.ones((120, 2)), [0] * 120)
+    assert L.distance_stability(first, flat, 16).first()[1] is None
